@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: id that stands for a null id in orders: after all others
 LAST_ID = 2**63 - 1
 #: rows and bytes up to which a side of a join is sent to all executors
-SMALL_ROWS, SMALL_BYTES = 500_000, 8 << 20
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -223,9 +223,16 @@ def _cut(n_schema_cols: int):
     return run
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, th, text: (id, th) is a row's key. th tells texts of one id apart; 0 where no id comes twice, as it costs bytes."""
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
+    twice = src.groupBy("id").count().filter("count > 1").limit(1).count()
+    return src.select("id", (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("th"), "text")
+
+
 def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, spans array<struct<lo,hi>>) of the documents that lose words; hi is exclusive."""
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    src = _keyed(docs, id_col, text_col)
     anchors = materialize(src.mapInArrow(_anchor_rows(min_words), "anchor long, id long, th long, pos int"))
     owners = anchors.groupBy("anchor").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").drop("last")
     hits = anchors.join(owners, "anchor").groupBy("id", "th").agg(F.collect_list(F.struct("pos", "owner")).alias("hits"))
@@ -264,6 +271,10 @@ def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
     """
     spans = materialize(removed_spans(docs, min_words, id_col, text_col))
     rows, pieces = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text_col).alias("th"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"))
+    if spans.filter("th <> 0").limit(1).count():
+        src = src.withColumn("th", F.xxhash64("text"))
+    else:
+        src = src.withColumn("th", F.lit(0).cast("long"))
     joined = src.join(small_or_shuffled(spans, rows, 32 + 16 * (pieces or 0) / max(rows, 1)), ["id", "th"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut(3), "doc_id long, kept string, n_words long, n_removed long, spans array<struct<lo int, hi int>>")
