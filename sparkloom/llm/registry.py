@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import langid, licenses, pieces, pii, quality, simhash, substring_dedup, toxicity
+from sparkloom.llm import ann, langid, licenses, pieces, pii, quality, simhash, substring_dedup, toxicity
 from sparkloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("notices")
+
+
+@_query
+def op7_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=20, k=20)
