@@ -5,7 +5,10 @@ a document with a smaller id.  Windows are judged on the input.
 
 1. Anchors.  In each window the run of ``_ANCHOR`` words with the smallest hash is its anchor: equal
    windows have equal anchors, and neighbouring windows mostly share one, so about a fifth of the
-   places is shuffled.  An anchor that occurs in two documents names its *owner*, the smallest id.
+   places is shuffled, once.  All places of an anchor that two documents have get one id, its
+   *owner*: the smallest that the sorted stream of its places begins with.  Anchors with
+   ``HEAVY`` documents in a single block of text are found beforehand; they get their owner from that
+   list, are spread over all tasks and never meet in one.
 2. Segments.  Runs of windows whose anchors have one owner are cut out as texts.  All occurrences of
    a window have the same anchor, hence the same owner: they meet in one reference shard.
 3. Reference shards.  Distinct segment texts (a text carries its smallest id) are grouped by owner
@@ -32,14 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
-from sparkloom.llm.common import LAST_ID, materialize, small_or_shuffled
+from sparkloom.llm.common import LAST_ID, materialize, partitions, small_or_shuffled
 
 MIN_WORDS = 13
 #: words of an anchor
 _ANCHOR = 5
 #: words of distinct reference text in a shard, about, and at most before it is split
 SHARD_WORDS, SPLIT_WORDS = 100_000, 400_000
-_NONE = np.iinfo(np.int64).max
+_NONE, _OPEN = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+#: documents of a block of text from which an anchor counts as heavy
+HEAVY = 8
 
 
 class SuffixAutomaton:
@@ -143,6 +148,65 @@ def _anchor_rows(n: int):
     return run
 
 
+def _heavy_rows(n: int):
+    """(anchor, smallest id) of the anchors that HEAVY rows of one block have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            buf, off = vec.text_buffer(batch.column(2))
+            for a, b in vec.blocks(off):
+                _, _, _, row, _, place, gram = _anchors(buf[off[a] : off[b]], off[a : b + 1] - off[a], n)
+                new = np.ones(len(place), bool)
+                new[1:] = place[1:] != place[:-1]
+                key, at = gram[place[new]], row[new]
+                order = np.lexsort((at, key))
+                key, at = key[order], at[order]
+                once = np.ones(len(key), bool)
+                once[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
+                key, at = key[once], ids[a + at[once]]
+                begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                many = np.diff(np.append(begin, len(key))) >= HEAVY
+                least = np.minimum.reduceat(at, begin)[many] if len(key) else at
+                yield pa.RecordBatch.from_arrays([pa.array(key[begin[many]].view(np.int64)), pa.array(least)], ["anchor", "owner"])
+
+    return run
+
+
+def _owned_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, th, pos, owner) of shared anchors, from (anchor, id, th, pos, owner or _OPEN) sorted by anchor and id.
+
+    A group's first id is its owner.  Between batches it keeps that id once a second one was seen, or
+    else the group's rows so far, which are of one document.
+    """
+    names = ["id", "th", "pos", "owner"]
+    known: tuple[int, int] | None = None
+    held: list[np.ndarray] | None = None
+    out = lambda cols: pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+    for batch in batches:
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
+        if held is not None:
+            rows = [np.concatenate([x, y]) for x, y in zip(held, rows)]
+            held = None
+        anchor, ids, th, pos, owner = rows
+        if not len(anchor):
+            continue
+        begin = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        size = np.diff(np.append(begin, len(anchor)))
+        first, last = ids[begin].copy(), ids[begin + size - 1]
+        shared = first != last
+        if known is not None and known[0] == anchor[0]:
+            first[0], shared[0] = known[1], True
+        known = (int(anchor[-1]), int(first[-1])) if shared[-1] else None
+        ready = np.repeat(shared, size)
+        got = np.where(owner != _OPEN, owner, np.repeat(first, size))
+        ready |= owner != _OPEN
+        if known is None and owner[-1] == _OPEN:
+            held = [c[begin[-1] :] for c in rows]
+            ready[begin[-1] :] = False
+        yield out([ids[ready], th[ready], pos[ready], got[ready]])
+
+
 def _segment_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,9 +297,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, spans array<struct<lo,hi>>) of the documents that lose words; hi is exclusive."""
     src = _keyed(docs, id_col, text_col)
-    anchors = materialize(src.mapInArrow(_anchor_rows(min_words), "anchor long, id long, th long, pos int"))
-    owners = anchors.groupBy("anchor").agg(F.min("id").alias("owner"), F.max("id").alias("last")).filter("owner < last").drop("last")
-    hits = anchors.join(owners, "anchor").groupBy("id", "th").agg(F.collect_list(F.struct("pos", "owner")).alias("hits"))
+    heavy = materialize(src.mapInArrow(_heavy_rows(min_words), "anchor long, owner long").groupBy("anchor").agg(F.min("owner").alias("owner")))
+    anchors = src.mapInArrow(_anchor_rows(min_words), "anchor long, id long, th long, pos int")
+    anchors = anchors.join(small_or_shuffled(heavy, heavy.count()), "anchor", "left").select("anchor", "id", "th", "pos", F.coalesce("owner", F.lit(int(_OPEN))).alias("owner"))
+    spread = F.when(F.col("owner") != int(_OPEN), F.pmod("id", F.lit(4096))).otherwise(F.lit(0))
+    met = anchors.repartition(partitions(docs.sparkSession), "anchor", spread).sortWithinPartitions("anchor", "id")
+    hits = met.mapInArrow(_owned_rows, "id long, th long, pos int, owner long").groupBy("id", "th").agg(F.collect_list(F.struct("pos", "owner")).alias("hits"))
     segments = materialize(src.join(hits, ["id", "th"]).select("id", "th", "text", "hits").mapInArrow(_segment_rows(min_words), "id long, th long, owner long, start int, n int, segment string").withColumns({"t1": F.xxhash64("segment"), "t2": F.xxhash64("segment", F.lit(1))}))
 
     texts = segments.groupBy("owner", "t1", "t2").agg(F.min("id").alias("first_id"), F.first("segment").alias("segment"), F.first("n").alias("n"))
@@ -243,14 +310,13 @@ def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     shards = int(total // SHARD_WORDS) + 1
     texts = materialize(texts.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int")))
     sizes = texts.groupBy("shard").agg(F.greatest(F.ceil(F.sum(F.col("n").cast("long")) / SPLIT_WORDS), F.lit(1)).cast("int").alias("parts"))
-    spread = F.sequence(F.lit(0), F.col("parts") - 1)
-    sized = texts.join(sizes, "shard")
-    one = sized.filter("parts = 1").withColumns({"part": F.lit(0), "slice": F.lit(0), "builds": F.lit(True), "streams": F.lit(True)})
-    many = sized.filter("parts > 1").withColumn("mine", F.pmod("t1", F.col("parts")).cast("int"))
-    build = many.withColumns({"part": F.col("mine"), "slice": F.explode(spread), "builds": F.lit(True), "streams": F.lit(False)})
-    stream = many.withColumns({"part": F.explode(spread), "slice": F.col("mine"), "builds": F.lit(False), "streams": F.lit(True)})
-    cols = ["shard", "part", "slice", "owner", "t1", "t2", "first_id", "segment", "builds", "streams"]
-    work = one.select(cols).unionByName(build.select(cols)).unionByName(stream.select(cols))
+    sized = texts.join(small_or_shuffled(sizes, shards), "shard")
+    mine, every = F.pmod("t1", F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+    role = lambda part, slice, builds, streams: F.struct(part.alias("part"), slice.alias("slice"), F.lit(builds).alias("builds"), F.lit(streams).alias("streams"))
+    roles = F.when(F.col("parts") == 1, F.array(role(F.lit(0), F.lit(0), True, True))).otherwise(
+        F.concat(F.transform(every, lambda i: role(mine, i, True, False)), F.transform(every, lambda i: role(i, mine, False, True)))
+    )
+    work = sized.withColumn("role", F.explode(roles)).select("shard", "role.*", "owner", "t1", "t2", "first_id", "segment")
     runs = work.groupBy("shard", "part", "slice").applyInPandas(_match_shard(min_words), "owner long, t1 long, t2 long, lo int, hi int, first_id long")
     return (
         segments.select("id", "th", "start", "owner", "t1", "t2")
