@@ -181,7 +181,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span replaced by its kind in angle brackets; overlapping spans become one. Columns stay."""
+    """docs with each span replaced by its kind in angle brackets, n_chars set anew for those rows; columns stay.
+
+    Overlapping spans become one.  Null texts stay null.
+    """
     src = docs.select(F.col(text_col).alias("__text"))
     weights = fit(candidates(src, "__text").select("__base", "__more"))
     rows = candidates(docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))), "__text").withColumn("__spans", chosen(weights))
@@ -192,4 +195,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     joined = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("__text"), acc["at"] + 1, F.length("__text"))))
     text = F.when(F.size("__spans") > 0, joined).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).drop("__text", "__base", "__more", "__spans")
+    rows = rows.withColumn(text_col, text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.drop("__text", "__base", "__more", "__spans")

@@ -25,6 +25,7 @@ corpus is broadcast.  Hashes choose candidates only; real words decide.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -344,3 +345,47 @@ def remove_repeated(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
         src = src.withColumn("th", F.lit(0).cast("long"))
     joined = src.join(small_or_shuffled(spans, rows, 32 + 16 * (pieces or 0) / max(rows, 1)), ["id", "th"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut(3), "doc_id long, kept string, n_words long, n_removed long, spans array<struct<lo int, hi int>>")
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without the words of the spans and the gap after each; the rest stays as it is."""
+    data = text.encode("utf-8", "replace")
+    begin = [m.start() for m in _WORD.finditer(data)] + [len(data)]
+    out, to = [], 0
+    for lo, hi in sorted(spans):
+        if begin[hi] > to:
+            out.append(data[to : max(begin[lo], to)])
+            to = begin[hi]
+    return b"".join([*out, data[to:]]).decode("utf-8", "replace")
+
+
+def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows of documents with repeated spans cut out of text and n_chars set anew for those; all columns stay.
+
+    Texts that lose nothing stay as they are.  A text that loses all words becomes empty, its row stays.
+    """
+    spans = materialize(removed_spans(docs, min_words))
+    rows, pieces = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    th = F.xxhash64("text") if spans.filter("th <> 0").limit(1).count() else F.lit(0).cast("long")
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__th": th})
+    side = small_or_shuffled(spans.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans")), rows, 32 + 16 * (pieces or 0) / max(rows, 1))
+    joined = keyed.join(side, ["__id", "__th"], "left").select(*docs.columns, "__spans")
+    n_chars = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols, names = batch.columns[:-1], batch.schema.names[:-1]
+            found = batch.column(len(names)).to_pylist()
+            at = names.index("text")
+            if any(found):
+                text = [t if not s else _cut_out(t, [(x["lo"], x["hi"]) for x in s]) for t, s in zip(cols[at].to_pylist(), found)]
+                cols[at] = pa.array(text, cols[at].type)
+                if n_chars is not None:
+                    i = names.index("n_chars")
+                    cols[i] = pa.array([len(t) if s else n for t, s, n in zip(text, found, cols[i].to_pylist())], cols[i].type)
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return joined.mapInArrow(run, docs.schema)
