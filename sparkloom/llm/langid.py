@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import materialize, small_or_shuffled
 
 ORDER = 4
 TRAIN_ROWS = 2000
@@ -104,7 +104,8 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", r
     src = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     sizes = src.groupBy("lang").agg((F.lit(float(rows)) / F.count("*")).alias("share"))
     u = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    sample = src.join(sizes, "lang").filter(u < F.col("share")).select("lang", "text")
+    sizes = materialize(sizes)
+    sample = src.join(small_or_shuffled(sizes, sizes.count(), 64), "lang").filter(u < F.col("share")).select("lang", "text")
     counts = materialize(sample.mapInArrow(_count, "lang string, k int, ctx long, sym int, n long").groupBy("lang", "k", "ctx", "sym").agg(F.sum("n").alias("n")))
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     if not langs:
