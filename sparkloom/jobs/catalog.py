@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from sparkloom.jobs import q_columns, q_evaluate  # noqa: E402,F401  they register their queries
+from sparkloom.jobs import q_columns, q_evaluate, q_rules  # noqa: E402,F401  they register their queries

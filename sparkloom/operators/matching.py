@@ -61,7 +61,7 @@ def match_colored(tree: list[tuple[str, int]], source: DataFrame, target: DataFr
     k = len(tree)
     trials = max(1, int(math.log(1 / eps) * math.exp(k)))
     weights = {(r["x"], r["y"]): r["weight"] for r in both_ways(source).filter(F.col("x").isin([v for v, _ in tree])).collect()}
-    color = lambda c: F.shiftleft(F.lit(1), F.floor(uniform("trial", c, seed=seed) * k).cast("int"))
+    color = lambda c: F.pow(F.lit(2), F.floor(uniform("trial", c, seed=seed) * k)).cast("int")
     edges = both_ways(target).select(F.col("x").alias("__from"), F.col("y").alias("__to"), F.col("weight").alias("__w"))
     trial = F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")
     out = vsim.filter(F.col("x") == tree[0][0]).select(trial, "y", "sim").select("trial", color("y").alias("mask"), F.array("y").alias("path"), F.col("sim").alias("score"))
