@@ -27,15 +27,17 @@ def kambiguate(df: DataFrame, attrs: list[str], k: int) -> DataFrame:
     taken (own duplicates add none).  With fewer than k other rows every cell goes.  Distinct tuples
     are sent to the tasks as integer codes while they fit the bound; beyond it an error says so.
     """
-    tuples = materialize(collapse(df, attrs))
+    tuples = materialize(collapse(df, attrs).withColumn("__i", F.monotonically_increasing_id()))
     found = discern.codes(tuples, attrs)
     if found is None:
         raise ValueError(f"more than {discern.BLOCK_ROWS} distinct tuples: coarsen the columns first")
     rows, code = found
-    shared = df.sparkSession.sparkContext.broadcast((code, rows["n"].to_numpy() if len(rows) else np.zeros(0, np.int64)))
+    place = {int(x): i for i, x in enumerate(rows["__i"])}
+    shared = df.sparkSession.sparkContext.broadcast((code, rows["n"].to_numpy(), place))
 
-    def cells(i: int) -> list[str]:
-        code, n = shared.value
+    def cells(number: int) -> list[str]:
+        code, n, place = shared.value
+        i = place[number]
         if n.sum() - 1 < k:
             return list(attrs)
         left = n.copy()
@@ -52,15 +54,12 @@ def kambiguate(df: DataFrame, attrs: list[str], k: int) -> DataFrame:
             left[j] = 0
         return [a for a, g in zip(attrs, gone) if g]
 
-    at = tuples.sparkSession.createDataFrame(rows.assign(__i=range(len(rows)))[["__i"]] if len(rows) else pd.DataFrame({"__i": pd.Series([], dtype="int64")}), "__i long")
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"__i": b["__i"], "suppressed": [cells(int(i)) for i in b["__i"]]})
 
-    chosen = at.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, "__i long, suppressed array<string>")
-    known = df.sparkSession.createDataFrame([(i, *(None if pd.isna(v) else (v.item() if hasattr(v, "item") else v) for v in r)) for i, r in enumerate(rows[attrs].itertuples(index=False))], "__i long, " + ", ".join(f"`__{f.name}` {f.dataType.simpleString()}" for f in tuples.select(*attrs).schema))
-    plan = materialize(known.join(chosen, "__i"))
+    chosen = tuples.select("__i").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, "__i long, suppressed array<string>")
+    plan = materialize(tuples.select("__i", *(F.col(a).alias(f"__{a}") for a in attrs)).join(chosen, "__i"))
     on = None
     for a in attrs:
         c = F.col(a).eqNullSafe(F.col(f"__{a}"))
