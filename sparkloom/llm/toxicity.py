@@ -24,7 +24,8 @@ from sparkloom.llm.common import materialize
 BITS = 20
 TRAIN_ROWS = 12_000
 EPOCHS = 5
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.0
+#: L1 is this times the root of the number of training rows, as noise in summed gradients grows
+ALPHA, BETA, L1_RATE, L2 = 1.0, 1.0, 0.055, 0.0
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -62,12 +63,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Ftrl:
     """FTRL-proximal state for binary features; place 2**BITS is the bias, without L1."""
 
-    def __init__(self) -> None:
+    def __init__(self, rows: int) -> None:
+        self.l1 = L1_RATE * rows**0.5
         self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z = self.z[at]
-        l1 = np.where(at == 1 << BITS, 0.0, L1)
+        l1 = np.where(at == 1 << BITS, 0.0, self.l1)
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
 
     def learn(self, x: np.ndarray, y: int) -> None:
@@ -86,7 +88,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, flat = x.offsets.to_numpy(), x.values.to_numpy()
         rows += [(o, y, flat[a:b].copy()) for o, y, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1], ends[1:])]
     rows.sort(key=lambda r: (r[0], len(r[2]), r[1]))
-    model = Ftrl()
+    model = Ftrl(len(rows))
     for _ in range(EPOCHS):
         for _, y, x in rows:
             model.learn(x, y)
