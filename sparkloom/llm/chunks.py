@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 
+class _Numbers(dict):
+    """Numbers keys in the order of their first use."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class ChunkTable:
-    """Chunk -> ids, for chunks whose ids do not depend on their neighbours.
+    """Chunk -> ids, for chunks whose ids do not depend on their neighbours. A chunk is any string key.
 
-    ``encode`` maps a list of chunks to a list of id lists; ``note`` maps both to what
+    ``encode`` maps a list of keys to a list of id lists; ``note`` maps both to what
     else is kept of each distinct chunk, in ``notes``.  The table holds at most ``limit`` chunks
     and starts anew when it is full, so a worker's memory stays bounded however many chunks come.
     """
@@ -20,7 +29,7 @@ class ChunkTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[str, int] = _Numbers()
         self.notes: list = []
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1, np.int64)
@@ -36,22 +45,21 @@ class ChunkTable:
         self.flat[used : used + more] = np.fromiter((x for y in ids for x in y), np.uint32, more)
         self.ends = np.concatenate([self.ends, used + np.cumsum(size)])
 
-    def join(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    def join(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all rows one after the other, ids in each row, numbers of all chunks)."""
         if len(self.at) > self.limit:
             self._clear()
         at = self.at
         known = len(at)
-        number = [at.setdefault(c, len(at)) for row in rows for c in row]
+        chunks = np.fromiter(map(len, rows), np.int64, len(rows))
+        nth = np.fromiter(map(at.__getitem__, chain.from_iterable(rows)), np.int64, int(chunks.sum()))
         if len(at) > known:
             fresh = list(at)[known:]
             self._learn(fresh)
-        nth = np.array(number, np.int64)
         begin = self.ends[nth]
         size = self.ends[nth + 1] - begin
         stop = np.cumsum(size)
         ids = self.flat[np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
-        chunks = np.fromiter(map(len, rows), np.int64, len(rows))
         stop = np.concatenate([[0], stop])
         last = np.cumsum(chunks)
-        return ids, stop[last] - stop[last - chunks], number
+        return ids, stop[last] - stop[last - chunks], nth

@@ -26,44 +26,49 @@ from sparkloom.llm.common import materialize, small_or_shuffled
 
 ORDER = 4
 TRAIN_ROWS = 2000
-NODES, MODEL_BYTES = 6000, 96 << 20
+NODES, MODEL_BYTES = 4000, 64 << 20
 UNDETERMINED = "und"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, order, context, symbol, n) of a batch of (lang, text)."""
+    """(lang, order, context, symbol, n) of (lang, text), block by block."""
     for batch in batches:
-        langs = batch.column(0).to_pylist()
+        langs = np.array(batch.column(0).to_pylist(), object)
         buf, off = vec.text_buffer(batch.column(1))
-        found: dict[tuple[str, int], list[np.ndarray]] = {}
-        for i, lang in enumerate(langs):
-            b = buf[off[i] : off[i + 1]].astype(np.int64)
-            key = b.copy()
-            for k in range(ORDER + 1):
-                if k:
-                    key = key[1:] + (b[: len(b) - k] << (8 * k))
-                found.setdefault((lang, k), []).append(key)
-        for (lang, k), keys in found.items():
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(np.full(len(key), k, np.int32)), pa.array(key >> 8), pa.array((key & 255).astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "k", "ctx", "sym", "n"])
+        for lo, hi in vec.blocks(off):
+            for lang in sorted(set(langs[lo:hi])):
+                rows = [i for i in range(lo, hi) if langs[i] == lang]
+                for k in range(ORDER + 1):
+                    keys = []
+                    for i in rows:
+                        b = buf[off[i] : off[i + 1]].astype(np.int64)
+                        key = b[k:].copy()
+                        for d in range(1, k + 1):
+                            key += b[k - d : len(b) - d] << (8 * d)
+                        keys.append(key)
+                    key, n = np.unique(np.concatenate(keys), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(np.full(len(key), k, np.int32)), pa.array(key >> 8), pa.array((key & 255).astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "k", "ctx", "sym", "n"])
 
 
 class Model:
     """Tables of a frozen tree. children[node * 257 + byte]; costs[node * 256 + byte, language]."""
 
-    def __init__(self, langs: list[str], nodes: list[tuple[int, int]], counts: list[tuple[str, int, int, int, int]]) -> None:
+    def __init__(self, langs: list[str], nodes: list[tuple[int, int]], counts: pa.Table) -> None:
+        """nodes: (order, context), sorted; counts: columns lang, node, sym, n."""
         self.langs = langs
-        nodes = sorted(nodes)
         at = {x: i for i, x in enumerate(nodes)}
-        n, here = len(nodes), {x: i for i, x in enumerate(langs)}
-        table = np.zeros((n, 256, len(langs)))
-        for lang, k, ctx, sym, c in counts:
-            table[at[k, ctx], sym, here[lang]] = c
+        n = len(nodes)
+        table = np.zeros((n, 256, len(langs)), np.float32)
+        of = counts.column("lang").to_numpy(zero_copy_only=False)
+        node, sym, c = (counts.column(x).to_numpy() for x in ("node", "sym", "n"))
+        for j, lang in enumerate(langs):
+            mine = of == lang
+            table[node[mine], sym[mine], j] = c[mine]
         # the second half are ends: nodes that the walk does not leave
         child = np.concatenate([np.repeat(np.arange(n, 2 * n), 257), np.repeat(np.arange(n, 2 * n), 257)]).astype(np.int32)
-        prob = np.empty((n, 256, len(langs)))
+        prob = np.empty((n, 256, len(langs)), np.float32)
         for i, (k, ctx) in enumerate(nodes):
-            above = np.full((256, len(langs)), 1 / 256)
+            above = np.full((256, len(langs)), 1 / 256, np.float32)
             if k:
                 # a context's last byte but k-1 is the oldest: the parent forgets it
                 up = at[k - 1, ctx & ((1 << (8 * (k - 1))) - 1)]
@@ -112,9 +117,10 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", r
         return None
     most = max(257, min(NODES, MODEL_BYTES // (1024 * len(langs))))
     nodes = counts.groupBy("k", "ctx").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k", "ctx").limit(most).select("k", "ctx")
-    picked = [tuple(r) for r in nodes.collect()]
-    kept = counts.join(F.broadcast(counts.sparkSession.createDataFrame(picked, "k int, ctx long")), ["k", "ctx"])
-    return Model(langs, picked, [tuple(r) for r in kept.select("lang", "k", "ctx", "sym", "n").collect()])
+    picked = sorted(tuple(r) for r in nodes.collect())
+    numbered = counts.sparkSession.createDataFrame([(*x, i) for i, x in enumerate(picked)], "k int, ctx long, node int")
+    kept = counts.join(F.broadcast(numbered), ["k", "ctx"]).select("lang", "node", "sym", "n")
+    return Model(langs, picked, kept.toArrow())
 
 
 def _score(shared):

@@ -54,23 +54,31 @@ class Tokens:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.special = {"<|endoftext|>": len(ranks)}
             model = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
-            encode = lambda texts: [model.encode(t, allowed_special="all") for t in texts]
+            plain = model.encode_ordinary
+            encode = lambda texts: [plain(t) if "<|" not in t else model.encode(t, allowed_special="all") for t in texts]
         else:
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(tokenizer_path)
             encode = lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
-        self.table = ChunkTable(encode, limit=500_000)
+        # keys: a word stands for a space and the word, a space and a word for the word at a text's begin,
+        # two spaces and a text for the whole text; words have no spaces, so no two meanings share a key
+        text = lambda k: " " + k if not k.startswith(" ") else k[2:] if k.startswith("  ") else k[1:]
+        self.table = ChunkTable(lambda keys: encode([text(k) for k in keys]), limit=300_000)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """ids of each text, the end id last."""
         rows = []
         for t in texts:
             if _UNEVEN.search(t):
-                rows.append([t])
+                rows.append(["  " + t])
             elif t:
                 words = t.split(" ")
-                rows.append(words[:1] * bool(words[0]) + [" " + w for w in words[1:]])
+                if words[0]:
+                    words[0] = " " + words[0]
+                else:
+                    del words[0]
+                rows.append(words)
             else:
                 rows.append([])
         ids, size, _ = self.table.join(rows)
@@ -148,11 +156,18 @@ class Index:
     def __init__(self, texts: list[str], df: np.ndarray, docs: int, words: int) -> None:
         row, h = _terms(texts)
         self.n = len(texts)
-        vocabulary, term = np.unique(h, return_inverse=True)
-        pair, tf = np.unique(term * self.n + row, return_counts=True)
-        term, self.row = pair // self.n, pair % self.n
-        self.begin = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-        held = np.diff(self.begin)
+        # (term, row) in one number: 44 bits of the hash and 20 of the row
+        bits = max(20, self.n.bit_length())
+        low = np.uint64((1 << bits) - 1)
+        both = np.sort((h & ~low) | row.astype(np.uint64))
+        once = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+        tf = np.diff(np.append(once, len(both)))
+        both = both[once]
+        self.row, held_hash = (both & low).astype(np.int64), both & ~low
+        new = np.append(True, held_hash[1:] != held_hash[:-1]) if len(both) else np.zeros(0, bool)
+        term = np.cumsum(new) - 1
+        self.begin = np.append(np.flatnonzero(new), len(both))
+        vocabulary, held = held_hash[new], np.diff(self.begin)
         seen = np.maximum(df[(vocabulary >> np.uint64(64 - TERM_BITS)).astype(np.int64)], held)
         idf = np.log1p((docs - seen + 0.5) / (seen + 0.5))
         length = np.bincount(row, minlength=self.n)
@@ -160,7 +175,9 @@ class Index:
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.row])
         # a text's query: its weightiest terms that another text of the shard holds too
         useful = np.flatnonzero(held[term] > 1)
-        order = useful[np.lexsort((term[useful], -self.weight[useful], self.row[useful]))]
+        # by row, then falling weight, then term
+        top = self.weight.max(initial=0.0) * 1.001 + 1e-9
+        order = useful[np.argsort(self.row[useful] - self.weight[useful] / top, kind="stable")]
         self.terms = term[order]
         self.first = np.searchsorted(self.row[order], np.arange(self.n + 1))
 

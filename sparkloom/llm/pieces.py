@@ -51,28 +51,30 @@ class Codec:
         return found.tolist() == ids and back[0] == self.model.decode(ids)
 
     def _encode(self, chunks: list[str]) -> list[list[int]]:
-        # a chunk's first marker is the one that the library puts before a text, but not before an empty one
-        found = self.model.encode([c[1:] for c in chunks], num_threads=1)
-        return [ids if c != " " else [self.model.piece_to_id(_MARK)] for c, ids in zip(chunks, found)]
+        # the library puts the first marker back before a text, but not before an empty one
+        found = self.model.encode(chunks, num_threads=1)
+        return [ids if c else [self.model.piece_to_id(_MARK)] for c, ids in zip(chunks, found)]
 
     @staticmethod
     def _cut(text: str) -> list[str]:
+        """Marked words without their first marker."""
         if not text:
             return []
         if _RUNS.search(text):
-            return [c.replace(_MARK, " ") for c in _PARTS.findall(" " + text)]
-        return [" " + w for w in text.split(" ")]
+            return [c[1:].replace(_MARK, " ") for c in _PARTS.findall(" " + text)]
+        return text.split(" ")
 
     def _decode(self, chunks: list[str], ids: list[list[int]]) -> list[str]:
-        """Decoded chunks, with the marker that the library drops before a text."""
-        return [" " + t for t in self.model.decode(ids, num_threads=1)]
+        """Decoded chunks, without the marker that the library drops before a text."""
+        return self.model.decode(ids, num_threads=1)
 
     def _by_chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         rows = [self._cut(t) for t in texts]
         ids, size, number = self.table.join(rows)
         notes, at, back = self.table.notes, 0, []
+        number = number.tolist()
         for r in rows:
-            back.append("".join([notes[n] for n in number[at : at + len(r)]])[1:])
+            back.append(" ".join([notes[n] for n in number[at : at + len(r)]]))
             at += len(r)
         return ids, size, back
 
