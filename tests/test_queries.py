@@ -1,9 +1,9 @@
 """Every registered query of the table operators: the rows of its SQL, or rows at all."""
 
-import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from sparkloom.jobs import catalog
@@ -20,7 +20,7 @@ def con():
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if pd.isna(v):
         return None
     return round(float(v), 5) if not isinstance(v, (str, bool)) and hasattr(v, "__float__") else str(v)
 
