@@ -34,7 +34,7 @@ from sparkloom.llm.chunks import ChunkTable
 from sparkloom.llm.common import LAST_ID, partitions
 
 WIDTH = 2048
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 TERM_BITS, RANGE_BITS = 18, 12
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
@@ -64,7 +64,7 @@ class Tokens:
         # keys: a word stands for a space and the word, a space and a word for the word at a text's begin,
         # two spaces and a text for the whole text; words have no spaces, so no two meanings share a key
         text = lambda k: " " + k if not k.startswith(" ") else k[2:] if k.startswith("  ") else k[1:]
-        self.table = ChunkTable(lambda keys: encode([text(k) for k in keys]), limit=300_000)
+        self.table = ChunkTable(lambda keys: encode([text(k) for k in keys]), limit=100_000)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """ids of each text, the end id last."""
@@ -118,8 +118,9 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             df += np.bincount(both & ((1 << TERM_BITS) - 1), minlength=len(df))
             np.add.at(size, (_signature(h, first) >> np.uint64(64 - RANGE_BITS)).astype(np.int64), np.diff(off[a : b + 1]) + 1)
             docs, total = docs + b - a, total + len(h)
-    rows = [(0, k, df[k]) for k in np.flatnonzero(df)] + [(1, k, size[k]) for k in np.flatnonzero(size)] + [(2, 0, docs), (3, 0, total)]
-    kind, key, n = (np.array(x, np.int64) for x in zip(*rows))
+    a, b = np.flatnonzero(df), np.flatnonzero(size)
+    kind = np.repeat([0, 1, 2, 3], [len(a), len(b), 1, 1])
+    key, n = np.concatenate([a, b, [0, 0]]), np.concatenate([df[a], size[b], [docs, total]])
     yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(key.astype(np.int32)), pa.array(n)], ["kind", "key", "n"])
 
 
