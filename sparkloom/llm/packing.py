@@ -1,10 +1,11 @@
 """Lexical retrieval packing: documents into sequences of at most ``WIDTH`` tokens.
 
 1. One pass over all texts counts, for ``2**TERM_BITS`` hashed words, the documents that hold them (the
-   collection statistics of BM25), all words, and the bytes by signature.  A text's signature is the smallest hash of
-   its words, which like texts tend to share.
-2. Ranges of signatures form shards of about ``SHARD_BYTES``; a range over that is dealt by id.  Texts
-   are shuffled to their shards once, sorted by id.
+   collection statistics of BM25), all words, and the bytes by signature.  A text's signature is ``LEVELS`` smallest
+   hashes of its words under as many hash functions, which like texts tend to share, then a hash of all its words.
+2. Signatures in order are cut into shards of about ``SHARD_BYTES`` by their cumulated bytes, so that more texts with
+   one smallest hash are told apart by the next ones.  Only texts with the same words, and more of them than
+   a shard holds, are dealt by id.  Texts are shuffled to their shards once, sorted by id.
 3. A task takes a shard: it tokenises, builds an inverted index and packs greedily.  The document
    that a sequence begins with is the seed.  BM25 with the seed's ``QUERY_TERMS`` weightiest words ranks
    the unused documents of the shard; they fill the window in that order.  The one that does not fit
@@ -31,11 +32,16 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
 from sparkloom.llm.chunks import ChunkTable
-from sparkloom.llm.common import LAST_ID, partitions
+from sparkloom.llm.common import LAST_ID, materialize, partitions
+from sparkloom.operators.helpers import global_cumsum
 
 WIDTH = 2048
 SHARD_BYTES = 2 << 20
-TERM_BITS, RANGE_BITS = 18, 12
+TERM_BITS = 18
+#: smallest hashes in a signature, 16 bits of each
+LEVELS = 8
+SIGNATURE_BYTES = 2 * LEVELS + 8
+_ODD = vec.mix(np.arange(1, LEVELS + 1, dtype=np.uint64), 77) | np.uint64(1)
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 #: texts for which a space does not always begin a pre-token
@@ -104,8 +110,8 @@ def _terms(text: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): 0 documents with a term, 1 bytes in a range of signatures, 2 documents, 3 words."""
-    df, size = np.zeros(1 << TERM_BITS, np.int64), np.zeros(1 << RANGE_BITS, np.int64)
+    """(kind, key, signature, n): 0 documents with a term, 1 bytes with a signature, 2 documents, 3 words."""
+    df = np.zeros(1 << TERM_BITS, np.int64)
     docs = total = 0
     for batch in batches:
         buf, off = vec.text_buffer(batch.column(0))
@@ -116,37 +122,64 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = vec.row_of_word(first)
             both = np.unique(row << TERM_BITS | (h >> np.uint64(64 - TERM_BITS)).astype(np.int64))
             df += np.bincount(both & ((1 << TERM_BITS) - 1), minlength=len(df))
-            np.add.at(size, (_signature(h, first) >> np.uint64(64 - RANGE_BITS)).astype(np.int64), np.diff(off[a : b + 1]) + 1)
             docs, total = docs + b - a, total + len(h)
-    a, b = np.flatnonzero(df), np.flatnonzero(size)
-    kind = np.repeat([0, 1, 2, 3], [len(a), len(b), 1, 1])
-    key, n = np.concatenate([a, b, [0, 0]]), np.concatenate([df[a], size[b], [docs, total]])
-    yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(key.astype(np.int32)), pa.array(n)], ["kind", "key", "n"])
+            kind, key = np.ones(b - a, np.int32), np.zeros(b - a, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), _binary(_signature(h, first)), pa.array(np.diff(off[a : b + 1]) + 1)], ["kind", "key", "signature", "n"])
+    a = np.flatnonzero(df)
+    kind = np.repeat([0, 2, 3], [len(a), 1, 1])
+    key, n = np.concatenate([a, [0, 0]]), np.concatenate([df[a], [docs, total]])
+    yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(key.astype(np.int32)), pa.nulls(len(key), pa.binary()), pa.array(n)], ["kind", "key", "signature", "n"])
 
 
 def _signature(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Smallest mixed word hash of each row, spread evenly over 64 bits; 0 without words."""
-    out = np.zeros(len(first) - 1, np.uint64)
+    """rows x SIGNATURE_BYTES: LEVELS smallest word hashes of each row, spread evenly over 16 bits, and the sum of all; 0 without words."""
+    out = np.zeros((len(first) - 1, SIGNATURE_BYTES), np.uint8)
     full = np.diff(first) > 0
     if len(h):
-        out[full] = vec.mix(np.minimum.reduceat(vec.mix(h, 77), first[:-1][full]), 78)
+        at = first[:-1][full]
+        for i, odd in enumerate(_ODD):
+            least = vec.mix(np.minimum.reduceat(h * odd, at), 78) >> np.uint64(48)
+            out[full, 2 * i : 2 * i + 2] = least.astype(">u2").view(np.uint8).reshape(-1, 2)
+        out[full, 2 * LEVELS :] = vec.mix(np.add.reduceat(h, at), 79).astype(">u8").view(np.uint8).reshape(-1, 8)
     return out
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _cuts(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first signature, first shard, number of shards) of runs of signatures, in order.
+
+    A run has at most 2 * SHARD_BYTES; a signature over SHARD_BYTES is a run of its own, in parts if
+    it is over twice that.  The driver gets a row per run.
+    """
+    heavy = F.col("n") > SHARD_BYTES
+    runs = global_cumsum(sizes, [F.col("signature")], {"stop": F.col("n"), "heavies": heavy.cast("long")})
+    cell = F.floor((F.col("stop") - F.col("n")) / SHARD_BYTES)
+    runs = runs.groupBy(cell.alias("cell"), "heavies", heavy.alias("heavy")).agg(F.min("signature").alias("signature"), F.max("n").alias("n"))
+    rows = sorted((bytes(r["signature"]), max(-(-r["n"] // (2 * SHARD_BYTES)), 1) if r["heavy"] else 1) for r in runs.collect())
+    parts = np.array([n for _, n in rows], np.int64)
+    return np.array([s for s, _ in rows], f"S{SIGNATURE_BYTES}"), np.cumsum(parts) - parts, parts
+
+
 def _deal(shared):
-    """Adds the shard: ranges of signatures by cumulated bytes, a heavy range in parts by id."""
+    """Adds the shard: the run that the signature lies in, and a part of it by id if it has several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, parts = shared.value
+        begin, base, parts = shared.value
         for batch in batches:
             buf, off = vec.text_buffer(batch.column(1))
-            key = np.zeros(batch.num_rows, np.int64)
+            at = np.zeros(batch.num_rows, np.int64)
             for a, b in vec.blocks(off):
                 part = buf[off[a] : off[b]]
                 ws, we, first = vec.words(part, off[a : b + 1] - off[a])
-                key[a:b] = (_signature(vec.word_hashes(part, ws, we), first) >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
-            spread = (vec.mix(batch.column(0).fill_null(LAST_ID).to_numpy().view(np.uint64)) % parts[key].astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(base[key] + spread), batch.column(0), batch.column(1)], ["shard", "id", "text"])
+                own = _signature(vec.word_hashes(part, ws, we), first).view(f"S{SIGNATURE_BYTES}").ravel()
+                at[a:b] = np.searchsorted(begin, own, "right") - 1
+            spread = (vec.mix(batch.column(0).fill_null(LAST_ID).to_numpy().view(np.uint64)) % parts[at].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(base[at] + spread), batch.column(0), batch.column(1)], ["shard", "id", "text"])
 
     return run
 
@@ -290,23 +323,15 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, ranks_path: str
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    df, size, totals = np.zeros(1 << TERM_BITS, np.int64), np.zeros(1 << RANGE_BITS, np.int64), [0, 0]
-    for kind, key, n in src.select("text").mapInArrow(_statistics, "kind int, key int, n long").groupBy("kind", "key").agg(F.sum("n")).collect():
-        if kind < 2:
-            (df, size)[kind][key] = n
+    df, totals = np.zeros(1 << TERM_BITS, np.int64), [0, 0]
+    counts = materialize(src.select("text").mapInArrow(_statistics, "kind int, key int, signature binary, n long").groupBy("kind", "key", "signature").agg(F.sum("n").alias("n")))
+    for kind, key, n in counts.filter("kind <> 1").select("kind", "key", "n").collect():
+        if kind == 0:
+            df[key] = n
         else:
             totals[kind - 2] = n
-    parts = np.maximum(-(-size // (2 * SHARD_BYTES)), 1)
-    # light ranges share a shard until it is full; a heavy one has shards of its own
-    base, shard, filled = np.zeros(1 << RANGE_BITS, np.int64), 0, 0
-    for key in range(1 << RANGE_BITS):
-        if filled and (filled + size[key] > SHARD_BYTES or parts[key] > 1):
-            shard, filled = shard + 1, 0
-        base[key] = shard
-        filled += int(size[key])
-        if parts[key] > 1:
-            shard, filled = shard + int(parts[key]), 0
-    dealt = src.mapInArrow(_deal(spark.sparkContext.broadcast((base, parts))), "shard long, id long, text string")
+    shards = _cuts(counts.filter("kind = 1").select("signature", "n"))
+    dealt = src.mapInArrow(_deal(spark.sparkContext.broadcast(shards)), "shard long, id long, text string")
     dealt = dealt.repartition(partitions(spark), "shard").sortWithinPartitions("shard", F.asc_nulls_last("id"), "text")
     schema = ", ".join(f"{x} long" for x in _NAMES) + ", ids binary" * with_ids
     return dealt.mapInArrow(_pack(spark.sparkContext.broadcast((df, *totals)), (tokenizer_path, ranks_path, pattern, end_id), with_ids), schema)

@@ -208,6 +208,23 @@ def test_packing_prefers_lexical_neighbours():
     assert [(r, s) for r, _, _, s, _ in got] == [(0, 0), (2, 0), (1, 1), (3, 1)]
 
 
+def test_packing_deals_by_id_only_what_has_the_same_words(spark, monkeypatch):
+    """A word whose hash is the smallest of all is in every text: pairs of copies still share a shard, at any number of shards."""
+    monkeypatch.setattr(packing, "SHARD_BYTES", 2000)
+    rng = random.Random(9)
+    word = [f"w{i}" for i in range(3000)]
+    hot = min(word, key=lambda w: vec.mix(packing._terms([w])[1], 77)[0])
+    rows = [(i, " ".join([hot, *rng.sample(word, 30)])) for i in range(600)]
+    rows += [(i + 1000, t) for i, t in rows] + [(i, "same words " * 4) for i in range(2000, 2400)]
+    args = (public_tokenizers.path("byte_bpe_50k.json"), 1, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), *args, with_ids=False).collect()
+    shard = {r.doc_id: r.sequence_id >> 32 for r in out}
+    assert len(set(shard.values())) > 50
+    assert sum(shard[i] == shard[i + 1000] for i in range(600)) == 600
+    copies = [shard[i] for i in range(2000, 2400)]
+    assert len(set(copies)) > 1 and max(map(copies.count, copies)) < 200
+
+
 # language
 
 
