@@ -216,7 +216,12 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = 4) -> DataFra
 
     Of repeated rows with that id one stays.  A component without any non-null id keeps all its rows.
     """
-    found = materialize(near_duplicates(docs, radius, shingle))
+    return keep_least(docs, near_duplicates(docs, radius, shingle))
+
+
+def keep_least(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of documents without those that groups (doc_id, component_id) give another smallest id; see keep_one."""
+    found = materialize(groups.select("doc_id", "component_id"))
     gone = found.filter("doc_id is not null and doc_id <> component_id or doc_id is null and component_id is not null").select("doc_id").distinct()
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count()
