@@ -6,8 +6,8 @@ a-z and every byte from 0x80), joined by one space.  Base phrases are found ther
 Fuzzy search.  A notice that occurs with at most e edits contains at least one of its e + 1 pieces
 unchanged (pigeonhole).  One Aho-Corasick automaton holds the pieces of all notices; a hit sets a
 candidate stretch of the notice's length plus e on both sides, stretches that overlap are joined, and
-the regex library's bounded-error matching ``(?b)(?:notice){e<=k}`` verifies each stretch and reports
-span and edits.  Work beyond the automaton's one pass grows with the hits.
+the regex library's bounded-error matching ``(?b)(?:notice){e<=k}`` verifies each stretch, again on both
+sides of what it finds, and reports span and edits.  Work beyond the automaton's one pass grows with the hits.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ class Scanner:
                 near.setdefault(i, []).append((max(lo, 0), lo + len(n) + 2 * k))
         out = []
         for i, spans in near.items():
-            _, label, _ = self.notices[i]
+            n, label, k = self.notices[i]
             spans.sort()
             joined = [list(spans[0])]
             for lo, hi in spans[1:]:
@@ -104,11 +104,15 @@ class Scanner:
                     joined[-1][1] = max(joined[-1][1], hi)
                 else:
                     joined.append([lo, hi])
-            for lo, hi in joined:
-                at = lo
-                while m := self.check[i].search(text, at, min(hi, len(text))):
+            # a search gives the best place of a stretch, so both sides of it are searched again
+            todo = [(lo, min(hi, len(text))) for lo, hi in joined]
+            while todo:
+                lo, hi = todo.pop()
+                if hi - lo >= len(n) - k and (m := self.check[i].search(text, lo, hi)):
                     out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    at = max(m.end(), at + 1)
+                    todo.append((max(m.end(), lo + 1), hi))
+                    if m.end() > m.start():
+                        todo.append((lo, m.start()))
         best: list[tuple[str, int, int, int]] = []
         for x in sorted(out, key=lambda x: (x[3], x[1] - x[2], x[1], x[0])):
             if all(x[2] <= y[1] or y[2] <= x[1] for y in best):

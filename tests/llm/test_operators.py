@@ -300,6 +300,16 @@ def test_fuzzy_finds_every_notice_within_its_edits():
         assert label in {x[0] for x in found} or label in ("gpl-2", "gpl-3")
 
 
+def test_fuzzy_finds_adjacent_notices_the_first_more_edited():
+    scanner, gpl = licenses.Scanner(), "this work is licensed under the gnu general public license version "
+    edited = "this wrk is licensed under the gnu generl public license version 2"
+    found = scanner.fuzzy(f"{edited} {gpl}3")
+    assert found == [("gpl-2", 0, 66, 2), ("gpl-3", 67, 135, 0)]
+    # repeats of one notice, the best in the middle
+    found = scanner.fuzzy(f"{edited} {gpl}2 {edited}")
+    assert [(x[0], x[3]) for x in found] == [("gpl-2", 2), ("gpl-2", 0), ("gpl-2", 2)]
+
+
 # toxicity
 
 
