@@ -232,13 +232,14 @@ def test_ppm_costs_match_a_direct_walk(spark):
     rng = random.Random(4)
     rows = [("a", "".join(rng.choice("abcab ") for _ in range(80))) for _ in range(8)] + [("b", "".join(rng.choice("xyzab ") for _ in range(80))) for _ in range(8)]
     model = langid.train(spark.createDataFrame(rows, "lang string, text string"), rows=1000)
+    before = (256,) * langid.ORDER
     counts = {}
     for lang, t in rows:
-        b = t.encode()
-        for k in range(langid.ORDER + 1):
-            for i in range(k, len(b)):
-                counts.setdefault((lang, b[i - k : i]), {}).setdefault(b[i], 0)
-                counts[lang, b[i - k : i]][b[i]] += 1
+        b = before + tuple(t.encode())
+        for i in range(langid.ORDER, len(b)):
+            for k in range(langid.ORDER + 1):
+                seen = counts.setdefault((lang, b[i - k : i]), {})
+                seen[b[i]] = seen.get(b[i], 0) + 1
 
     def p(lang, ctx, s):
         below = (lambda x: p(lang, ctx[1:], x)) if ctx else (lambda x: 1 / 256)
@@ -250,10 +251,21 @@ def test_ppm_costs_match_a_direct_walk(spark):
             return c[s] / (n + q)
         return q / (n + q) * below(s) / (1 - sum(below(x) for x in c))
 
-    test = "abcxyz bac".encode()
-    want = [sum(-np.log2(p(lang, test[max(0, i - langid.ORDER) : i], test[i])) for i in range(len(test))) for lang in model.langs]
-    buf = np.frombuffer(test, np.uint8)
-    assert np.allclose(model.bits(buf, np.array([0, len(buf)]))[0], want, rtol=1e-4)
+    for test in ("abcxyz bac", "a", "", "zzz", "Qabc"):
+        b = before + tuple(test.encode())
+        want = [sum(-np.log2(p(lang, b[i - langid.ORDER : i], b[i])) for i in range(langid.ORDER, len(b))) for lang in model.langs]
+        buf = np.frombuffer(test.encode(), np.uint8)
+        assert np.allclose(model.bits(buf, np.array([0, len(buf)]))[0], want, rtol=1e-4)
+
+
+def test_language_learns_from_texts_of_any_length(spark):
+    """Texts of 0 to 5 bytes, all 256 bytes but those UTF-8 never holds, and one text past a block."""
+    rows = [(i, "日"[: i % 2] + "abcdé"[: i % 6], "x" if i % 3 else "y") for i in range(60)]
+    rows += [(100, "".join(map(chr, range(1, 1500))), "x"), (101, "lorem ipsum dolor " * (vec.BLOCK_BYTES // 16), "y"), (102, "日", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out.values()) and out[101].lang_pred == "y"
+    assert langid.keep_identified(df, 0.0).count() == sum(any(c.isalpha() for c in t) for _, t, _ in rows)
 
 
 def test_language_of_held_out_rows(spark, none):
