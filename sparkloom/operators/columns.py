@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.helpers import uniform
+from sparkloom.operators.helpers import global_cumsum, hold_by_hash, materialize, uniform
 
 #: values of a column's domain that may come to the driver
 DOMAIN_LIMIT = 10_000
@@ -35,12 +35,14 @@ def scale_unit(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def domains(df: DataFrame, cols: list[str]) -> dict[str, list]:
-    """Sorted distinct values of each column, nulls left out."""
-    found = df.agg(*(F.sort_array(F.collect_set(c)).alias(c) for c in cols)).first()
+    """Sorted distinct values of each column, nulls left out. No more than one over the limit come to the driver."""
+    out = {}
     for c in cols:
-        if len(found[c]) > DOMAIN_LIMIT:
+        found = [r[0] for r in df.filter(F.col(c).isNotNull()).select(c).distinct().limit(DOMAIN_LIMIT + 1).collect()]
+        if len(found) > DOMAIN_LIMIT:
             raise ValueError(f"{c} has more than {DOMAIN_LIMIT} values; it is no factor")
-    return {c: list(found[c]) for c in cols}
+        out[c] = sorted(found)
+    return out
 
 
 def dummies(col: str, domain: list) -> list[Column]:
@@ -88,11 +90,34 @@ def restore(df: DataFrame, known: dict[str, list], strategy: str = "maxi", key:
     return df.withColumns(out).drop(*drop)
 
 
+def quantiles(df: DataFrame, cols: list[str], at: list[float]) -> dict[str, tuple[list[float], int]]:
+    """Quantiles of each column, interpolated linearly, and its number of different values; nulls are left out.
+
+    All columns are counted by value in one job and put in order by range partitions with running counts; only the
+    two values on either side of each quantile come to the driver.  A column without values has none.
+    """
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("value")) for c in cols)))
+    counts = df.select(cells.alias("x")).select("x.*").filter("value is not null").groupBy("col", "value").agg(F.count("*").alias("n"))
+    run = materialize(global_cumsum(counts, [F.col("col"), F.col("value")], {"upto": F.col("n")}))
+    sizes = {r["col"]: r for r in run.groupBy("col").agg(F.sum("n").alias("n"), F.count("*").alias("values"), F.max("upto").alias("end")).collect()}
+    wanted = []
+    for c, r in sizes.items():
+        for i, p in enumerate(at):
+            place = p * (r["n"] - 1)
+            low = math.floor(place)
+            wanted += [(c, i, r["end"] - r["n"] + low + 1, 1 - (place - low)), (c, i, r["end"] - r["n"] + min(low + 2, r["n"]), place - low)]
+    if not wanted:
+        return {c: ([], 0) for c in cols}
+    marks = df.sparkSession.createDataFrame(wanted, "col string, i int, rank long, share double")
+    hit = run.join(F.broadcast(marks), "col").filter("rank <= upto and rank > upto - n").groupBy("col", "i").agg(F.sum(F.col("value") * F.col("share")).alias("q"))
+    found = {(r["col"], r["i"]): r["q"] for r in hit.collect()}
+    return {c: ([found[c, i] for i in range(len(at))], sizes[c]["values"]) if c in sizes else ([], 0) for c in cols}
+
+
 def cuts_between_quantiles(df: DataFrame, cols: list[str], levels: int) -> dict[str, list[float] | None]:
     """Midpoints of neighbouring quantiles at 0, 1/(levels-1), .., 1; None where a column has at most levels values."""
-    at = [i / (levels - 1) for i in range(levels)]
-    row = df.agg(*(F.percentile(c, at).alias(f"q_{c}") for c in cols), *(F.count_distinct(c).alias(f"n_{c}") for c in cols)).first()
-    return {c: None if row[f"n_{c}"] <= levels else [(a + b) / 2 for a, b in zip(row[f"q_{c}"], row[f"q_{c}"][1:])] for c in cols}
+    found = quantiles(df, cols, [i / (levels - 1) for i in range(levels)])
+    return {c: None if n <= levels else [(a + b) / 2 for a, b in zip(q, q[1:])] for c, (q, n) in found.items()}
 
 
 def level(x: Column, cuts: list[float]) -> Column:
@@ -102,8 +127,7 @@ def level(x: Column, cuts: list[float]) -> Column:
 
 def cuts_inner_quantiles(df: DataFrame, cols: list[str], n: int) -> dict[str, list[float]]:
     """n quantiles at (i + 1) / (n + 1), interpolated linearly."""
-    row = df.agg(*(F.percentile(c, [(i + 1) / (n + 1) for i in range(n)]).alias(c) for c in cols)).first()
-    return {c: row[c] for c in cols}
+    return {c: q for c, (q, _) in quantiles(df, cols, [(i + 1) / (n + 1) for i in range(n)]).items()}
 
 
 def cuts_equal_width(df: DataFrame, cols: list[str], n: int) -> dict[str, list[float]]:
@@ -140,10 +164,10 @@ def membership(x: Column, left: float, top: float, right: float, height: float =
 
 def membership_table(df: DataFrame, cols: list[str], levels: int) -> list[tuple[str, int, float, float, float]]:
     """(column, level, left, top, right) over the quantiles, with infinite shoulders."""
-    row = df.agg(*(F.percentile(c, [i / (levels - 1) for i in range(levels)]).alias(c) for c in cols)).first()
+    found = quantiles(df, cols, [i / (levels - 1) for i in range(levels)])
     out = []
     for c in cols:
-        points = [-math.inf, *row[c], math.inf]
+        points = [-math.inf, *found[c][0], math.inf]
         out += [(c, r, points[r], points[r + 1], points[r + 2]) for r in range(levels)]
     return out
 
@@ -156,26 +180,21 @@ def strongest(values: list[Column]) -> Column:
 
 def discretize_fuzzy(df: DataFrame, cols: list[str], n: int = 3) -> DataFrame:
     """Columns with more than n values become the number of their strongest triangle; others stay."""
-    held = df.agg(*(F.count_distinct(c).alias(c) for c in cols)).first()
-    wide = [c for c in cols if held[c] > n]
-    if not wide:
-        return df
-    cuts = cuts_inner_quantiles(df, wide, n)
+    found = quantiles(df, cols, [(i + 1) / (n + 1) for i in range(n)])
     out = {}
-    for c in wide:
-        points = [-math.inf, *cuts[c], math.inf]
+    for c in [c for c in cols if found[c][1] > n]:
+        points = [-math.inf, *found[c][0], math.inf]
         out[c] = strongest([membership(F.col(c).cast("double"), *points[r : r + 3], variant="closed") for r in range(n)])
-    return df.withColumns(out)
+    return df.withColumns(out) if out else df
 
 
 def sample_subtable(df: DataFrame, fraction: float, key: list[str], seed: int = 0) -> DataFrame:
     """ceil(fraction * rows) rows and ceil(fraction * columns) columns, constant columns left out."""
-    rows = math.ceil(fraction * df.count())
-    picked = df.orderBy(uniform(*key, seed=seed), *key).limit(rows)
+    picked = hold_by_hash(df, F.ceil(F.lit(fraction) * F.col("n")), key, seed=seed).filter("held").drop("held")
     order = df.sparkSession.range(len(df.columns)).select("id", uniform("id", seed=seed + 1).alias("u")).orderBy("u").collect()
     cols = [df.columns[r["id"]] for r in order[: math.ceil(fraction * len(df.columns))]]
-    held = picked.agg(*(F.count_distinct(c).alias(c) for c in cols)).first()
-    return picked.select(*(c for c in df.columns if c in cols and held[c] > 1))
+    varied = picked.agg(*((F.min(c) != F.max(c)).alias(c) for c in cols)).first()
+    return picked.select(*(c for c in df.columns if c in cols and varied[c]))
 
 
 class Processors:

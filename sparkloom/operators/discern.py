@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.columns import indiscernible
-from sparkloom.operators.helpers import collapse, materialize
-
-#: distinct tuples in a block that a task holds
-BLOCK_ROWS = 20_000
-
+from sparkloom.operators.helpers import collapse, materialize, small_or_shuffled
 
 def equivalence_classes(df: DataFrame, attrs: list[str]) -> DataFrame:
     return collapse(df, attrs)
@@ -34,26 +26,29 @@ def discerned_pairs(df: DataFrame, attrs: list[str]) -> DataFrame:
 def discerned_pairs_missing(df: DataFrame, attrs: list[str]) -> DataFrame:
     """As discerned_pairs, but a null equals everything.
 
-    One column: null rows are told from none.  Several: inclusion and exclusion over the columns
-    would need every subset, so distinct tuples with counts meet on equal non-null patterns instead:
-    pairs that agree are counted per pair of null patterns by the columns both have, and the rest differ.
+    Two rows agree if they are equal on the columns that neither misses.  Distinct tuples are dealt to every
+    pattern of missing columns that the table has, by their values on the columns that both patterns
+    hold, and agreeing pairs are counted there, all patterns in one aggregate.
     """
-    tuples = materialize(collapse(df, attrs).withColumn("mask", F.concat(*(F.when(F.col(a).isNull(), "0").otherwise("1") for a in attrs))))
+    tuples = materialize(collapse(df, attrs).withColumn("mask", _present(attrs)))
     masks = sorted(r[0] for r in tuples.select("mask").distinct().collect())
-    total = tuples.agg(F.sum(F.col("n").cast("decimal(38,0)"))).first()[0] or 0
-    same = 0
-    for i, a in enumerate(masks):
-        for b in masks[i:]:
-            both = [c for c, x, y in zip(attrs, a, b) if x == y == "1"]
-            left = tuples.filter(F.col("mask") == a).groupBy(*both).agg(F.sum("n").alias("n"))
-            right = tuples.filter(F.col("mask") == b).groupBy(*both).agg(F.sum("n").alias("m"))
-            if both:
-                got = left.join(right, both).agg(F.sum(F.col("n").cast("decimal(38,0)") * F.col("m"))).first()[0] or 0
-            else:
-                got = (left.first()["n"]) * (right.first()["m"])
-            # ordered pairs, a row with itself included
-            same += int(got) if a == b else 2 * int(got)
-    return df.sparkSession.createDataFrame([((int(total) ** 2 - same) // 2,)], "pairs long")
+    total = int(tuples.agg(F.sum(F.col("n").cast("decimal(38,0)"))).first()[0] or 0)
+    other = F.explode(F.array(*map(F.lit, masks or [0]))).alias("other")
+    dealt = tuples.select(*attrs, "n", "mask", other).select(F.least("mask", "other").alias("a"), F.greatest("mask", "other").alias("b"), (F.col("mask") <= F.col("other")).alias("left"), (F.col("mask") == F.col("other")).alias("own"), _on(attrs, F.col("mask").bitwiseAND(F.col("other"))).alias("key"), F.col("n").cast("decimal(38,0)").alias("n"))
+    met = dealt.groupBy("a", "b", "own", "key").agg(F.sum(F.when(F.col("left"), F.col("n"))).alias("x"), F.sum(F.when(~F.col("left"), F.col("n"))).alias("y"))
+    # ordered pairs, a row with itself included
+    same = met.agg(F.sum(F.when(F.col("own"), F.col("x") * F.col("x")).otherwise(2 * F.col("x") * F.col("y")))).first()[0] or 0
+    return df.sparkSession.createDataFrame([((total**2 - int(same)) // 2,)], "pairs long")
+
+
+def _present(attrs: list[str]) -> Column:
+    """Bit i is set where attrs[i] is not null."""
+    return sum((F.when(F.col(a).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, a in enumerate(attrs)), F.lit(0)).cast("long")
+
+
+def _on(attrs: list[str], chosen: Column) -> Column:
+    """The values of the attributes whose bits are set, as text; others are left out, nulls are a value."""
+    return F.to_json(F.array(*(F.when(chosen.bitwiseAND(F.lit(1 << i)) != 0, F.coalesce(F.concat(F.lit("v"), F.col(a).cast("string")), F.lit("n"))).otherwise("") for i, a in enumerate(attrs))))
 
 
 def pair_set(df: DataFrame, key: str, attr: str, others: list[str] | None = None) -> DataFrame:
@@ -74,23 +69,23 @@ def differing(df: DataFrame, row: dict, attrs: list[str]) -> DataFrame:
     return df.withColumn("differs", names)
 
 
-def greedy_cover(sets: DataFrame, tau: float = 1.0, cost: dict | None = None) -> list[int]:
+def greedy_cover(sets: DataFrame, tau: float = 1.0, cost: DataFrame | dict | None = None) -> list:
     """Ids of sets (set_id, element) that cover a fraction tau of all elements, most new elements first.
 
-    Ties go to the lowest id.  With cost, gain / cost decides and ties go to the highest id.  Each
+    Ties go to the lowest id.  With cost (set_id, cost), gain / cost decides and ties go to the highest id.  Each
     round is one grouped count over what is left; only the best row comes to the driver.
     """
     left = materialize(sets.select("set_id", "element").distinct())
     total = left.select("element").distinct().count()
     gone, out = 0, []
     price = F.lit(1.0)
-    if cost:
-        prices = left.sparkSession.createDataFrame([(int(k), float(v)) for k, v in cost.items()], "set_id long, cost double")
-        left = materialize(left.join(F.broadcast(prices), "set_id"))
+    if cost is not None:
+        prices = left.sparkSession.createDataFrame([(k, float(v)) for k, v in cost.items()], f"set_id {left.schema['set_id'].dataType.simpleString()}, cost double") if isinstance(cost, dict) else cost.select("set_id", F.col("cost").cast("double").alias("cost"))
+        left = materialize(left.join(small_or_shuffled(prices), "set_id"))
         price = F.first("cost")
     while gone < tau * total:
         gain = left.groupBy("set_id").agg(F.count("*").alias("c"), (F.count("*") / price).alias("gain"))
-        best = gain.orderBy(F.desc("gain"), F.desc("set_id") if cost else F.asc("set_id")).first()
+        best = gain.orderBy(F.desc("gain"), F.asc("set_id") if cost is None else F.desc("set_id")).first()
         if best is None:
             break
         out.append(best["set_id"])
@@ -169,59 +164,61 @@ def needed_attributes(df: DataFrame, attrs: list[str], target: str, tau: float =
     return len(min_attributes(df, attrs, target, 1 - tau))
 
 
-def codes(df: DataFrame, attrs: list[str], limit: int = BLOCK_ROWS) -> tuple[pd.DataFrame, np.ndarray] | None:
-    """Distinct tuples of attrs and their integer codes (-1: null), or None if there are more than limit."""
-    rows = df.limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        return None
-    return rows, np.stack([pd.factorize(rows[a])[0] for a in attrs], axis=1).astype(np.int32) if len(rows) else np.zeros((0, len(attrs)), np.int32)
+def agreeing(others: DataFrame, asked: DataFrame, attrs: list[str], wild: bool, label: str | None = None) -> DataFrame:
+    """asked (id, chosen: bits of attributes, attrs) with agree: rows of others (attrs, n) with its values on chosen.
 
-
-def cover_row(differs: np.ndarray, weight: np.ndarray, tau: float) -> list[int]:
-    """Columns that greedily cover the rows of a boolean matrix (rows x columns), up to a fraction tau of those coverable."""
-    open_ = differs.any(axis=1)
-    goal, done, out = tau * weight[open_].sum(), 0, []
-    left = open_.copy()
-    while done < goal:
-        gain = (differs[left] * weight[left, None]).sum(axis=0)
-        best = int(gain.argmax())
-        if gain[best] <= 0:
-            break
-        out.append(best)
-        done += gain[best]
-        left &= ~differs[:, best]
-    return out
+    wild: a null agrees with everything, else it is a value.  label: only rows with another value there count.
+    Nothing meets all with all: others are counted by their values on each chosen set that is asked for (and
+    each pattern of missing columns), and asked rows look their count up.
+    """
+    sets = sorted(r[0] for r in asked.select("chosen").distinct().collect())
+    every = (1 << len(attrs)) - 1
+    own = _present(attrs) if wild else F.lit(every).cast("long")
+    patterns = sorted(r[0] for r in others.select(own.alias("p")).distinct().collect())
+    if not sets or not patterns:
+        return asked.withColumn("agree", F.lit(0).cast("long"))
+    # a pair of patterns compares the chosen columns that both have
+    shared = sorted({s & p & q for s in sets for p in patterns for q in ([r[0] for r in asked.select(own.alias("p")).distinct().collect()] if wild else [every])})
+    by = [F.col(label)] if label else [F.lit(0)]
+    cells = others.select(*attrs, own.alias("__p"), by[0].alias("__l"), F.col("n").alias("__n"), F.explode(F.array(*(F.lit(s).cast("long") for s in shared))).alias("__e"))
+    cells = cells.filter(F.col("__e").bitwiseAND(F.col("__p")) == F.col("__e")).withColumn("__k", _on(attrs, F.col("__e")))
+    counts = cells.groupBy("__p", "__e", "__k", "__l").agg(F.sum("__n").alias("__n"))
+    keys = F.explode(F.array(*(F.lit(p).cast("long") for p in patterns))).alias("__p")
+    need = asked.select(*asked.columns, own.alias("__q"), by[0].alias("__l"), keys)
+    need = need.withColumn("__e", F.col("chosen").bitwiseAND(F.col("__p")).bitwiseAND(F.col("__q"))).withColumn("__k", _on(attrs, F.col("__e")))
+    whole = counts.groupBy("__p", "__e", "__k").agg(F.sum("__n").alias("__all"))
+    met = need.join(whole, ["__p", "__e", "__k"], "left")
+    if label:
+        met = met.join(counts.withColumnRenamed("__n", "__same"), ["__p", "__e", "__k", "__l"], "left")
+    else:
+        met = met.withColumn("__same", F.lit(0))
+    return met.groupBy(*asked.columns).agg(F.sum(F.coalesce("__all", F.lit(0)) - F.coalesce("__same", F.lit(0))).alias("agree"))
 
 
 def min_attributes_by_row(df: DataFrame, attrs: list[str], label: str, tau: float = 1.0) -> DataFrame:
     """Distinct tuples (attrs, label, n) with needed: array of attributes that tell the tuple from other classes.
 
     A null is told from nothing; a tuple with a null label, or that nothing tells apart, gets an empty list.
-    Every tuple meets all others, so these are collapsed first and sent to the tasks while they fit
-    the bound; beyond it the table is too varied for this operator and an error says so.
+    Attributes are added greedily, the first on ties, until a fraction tau of the rows of other classes that all attributes tell
+    apart is told.  Rows that agree with a tuple on an attribute list are looked up in grouped counts (agreeing), so
+    work grows with the distinct tuples times the lists in use, and all tuples take a step at once.
     """
-    tuples = materialize(collapse(df, [*attrs, label]))
-    found = codes(tuples, [*attrs, label])
-    if found is None:
-        raise ValueError(f"more than {BLOCK_ROWS} distinct tuples: discretize the columns first")
-    rows, code = found
-    shared = df.sparkSession.sparkContext.broadcast((rows[[*attrs, label]], code, rows["n"].to_numpy()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, code, weight = shared.value
-        at = {tuple(None if pd.isna(v) else v for v in r): i for i, r in enumerate(known.itertuples(index=False))}
-        x, y = code[:, :-1], code[:, -1]
-        for batch in batches:
-            out = []
-            for r in batch[[*attrs, label]].itertuples(index=False):
-                i = at[tuple(None if pd.isna(v) else v for v in r)]
-                if y[i] < 0:
-                    out.append([])
-                    continue
-                other = (y != y[i]) & (y >= 0)
-                differs = (x[other] != x[i]) & (x[other] >= 0) & (x[i] >= 0)
-                out.append([attrs[c] for c in cover_row(differs, weight[other], tau)])
-            yield batch.assign(needed=out)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tuples.schema)
-    return tuples.mapInPandas(run, f"{kinds}, needed array<string>")
+    tuples = materialize(collapse(df, [*attrs, label]).withColumn("__id", F.monotonically_increasing_id()))
+    others = tuples.filter(F.col(label).isNotNull())
+    every = (1 << len(attrs)) - 1
+    state = others.select("__id", F.lit(0).cast("long").alias("done"), F.array().cast("array<string>").alias("needed"))
+    ends = others.select("__id", *attrs, label, F.explode(F.array(F.lit(0).cast("long"), F.lit(every).cast("long"))).alias("chosen"))
+    ends = agreeing(others, ends, attrs, True, label).groupBy("__id").agg(F.max(F.when(F.col("chosen") == 0, F.col("agree"))).alias("all"), F.min("agree").alias("never"))
+    state = materialize(state.join(ends, "__id").select("__id", "done", "needed", F.col("all").alias("left"), (F.col("all") - tau * (F.col("all") - F.col("never"))).alias("goal"), F.lit(True).alias("open")))
+    for _ in attrs:
+        open_ = state.filter(F.col("open") & (F.col("left") > F.col("goal")))
+        asked = open_.join(others, "__id").select("__id", *attrs, label, F.col("done"), F.explode(F.array(*(F.lit(1 << i).cast("long") for i in range(len(attrs))))).alias("bit")).filter(F.col("done").bitwiseAND(F.col("bit")) == 0)
+        asked = materialize(asked.select("__id", *attrs, label, "bit", F.col("done").bitwiseOR(F.col("bit")).alias("chosen")))
+        if asked.limit(1).count() == 0:
+            break
+        best = agreeing(others, asked, attrs, True, label).groupBy(F.col("__id").alias("__i")).agg(F.min(F.struct("agree", "bit")).alias("b")).select("__i", F.col("b.agree").alias("now"), F.col("b.bit").alias("bit"))
+        named = F.element_at(F.array(*map(F.lit, attrs)), F.round(F.log2(F.col("bit"))).cast("int") + 1)
+        gained = F.coalesce(F.col("now") < F.col("left"), F.lit(False))
+        new = state.join(best, state["__id"] == best["__i"], "left")
+        state = materialize(new.select("__id", F.when(gained, F.col("done").bitwiseOR(F.col("bit"))).otherwise(F.col("done")).alias("done"), F.when(gained, F.concat("needed", F.array(named))).otherwise(F.col("needed")).alias("needed"), F.when(gained, F.col("now")).otherwise(F.col("left")).alias("left"), "goal", gained.alias("open")))
+    return tuples.join(state.select("__id", "needed"), "__id", "left").select(*attrs, label, "n", F.coalesce("needed", F.array().cast("array<string>")).alias("needed"))

@@ -13,11 +13,11 @@ import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.distributions import norm_cdf
-from sparkloom.operators.helpers import global_cumsum, uniform
+from sparkloom.operators.helpers import global_cumsum, materialize, uniform
 
 
 def cindex(df: DataFrame, pred: str, actual: str) -> DataFrame:
@@ -87,19 +87,30 @@ def hanley_r(corr: float, area: float, grid: np.ndarray | None = None) -> float
 
 
 def average_ranks(df: DataFrame, col: str, by: str, out: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(col)
-    return df.withColumn(out, F.rank().over(w) + (F.count("*").over(Window.partitionBy(by, col)) - 1) / 2)
+    """df with out: rank of col within by, tied rows sharing the mean of their ranks.
+
+    Values are counted and put in order by range partitions with running counts, then met by rows in an equi-join.
+    """
+    n = df.groupBy(F.col(by).alias("__by"), F.col(col).alias("__v")).agg(F.count("*").alias("__n"))
+    run = materialize(global_cumsum(n, [F.col("__by"), F.col("__v")], {"__to": F.col("__n")}))
+    first = run.groupBy("__by").agg(F.min(F.col("__to") - F.col("__n")).alias("__base"))
+    rank = F.col("__to") - F.col("__base") - (F.col("__n") - 1) / 2
+    ranks = run.join(first, run["__by"].eqNullSafe(first["__by"])).select(run["__by"], "__v", rank.alias(out))
+    return df.join(ranks, F.col(by).eqNullSafe(F.col("__by")) & F.col(col).eqNullSafe(F.col("__v"))).drop("__by", "__v")
 
 
-def hanley_test(df: DataFrame, pred1: str, pred2: str, actual: str, ctype: str = "pearson", p_value: Callable[[Column], Column] | None = None) -> DataFrame:
-    """z (and p) of the difference of two c-indexes on the same rows; null where no correlation is tabled."""
+def hanley_test(df: DataFrame, pred1: str, pred2: str, actual: str, ctype: str = "pearson", p_value: Callable[[Column], Column] | None = None, grid: np.ndarray | None = None) -> DataFrame:
+    """z (and p) of the difference of two c-indexes on the same rows; null where no correlation is tabled.
+
+    grid: the table of correlations, HANLEY_CORR x HANLEY_AREA; without, that of hanley_grid().
+    """
     a, b = cindex(df, pred1, actual).first(), cindex(df, pred2, actual).first()
     rows, c1, c2 = df, pred1, pred2
     if ctype == "spearman":
         rows = average_ranks(average_ranks(df, pred1, actual, "__r1"), pred2, actual, "__r2")
         c1, c2 = "__r1", "__r2"
     corr = rows.groupBy(actual).agg(F.corr(c1, c2).alias("r")).agg(F.avg("r")).first()[0]
-    r = hanley_r(corr, (a["cindex"] + b["cindex"]) / 2) if corr is not None and a["cindex"] is not None else None
+    r = hanley_r(corr, (a["cindex"] + b["cindex"]) / 2, grid) if corr is not None and a["cindex"] is not None else None
     z = None if r is None else (a["cindex"] - b["cindex"]) / math.sqrt(max(a["se"] ** 2 + b["se"] ** 2 - 2 * r * a["se"] * b["se"], 1e-300))
     out = df.sparkSession.createDataFrame([(a["cindex"], b["cindex"], corr, r, z)], "c1 double, c2 double, corr double, r double, z double")
     return out.withColumn("p", p_value(F.col("z"))) if p_value else out

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from sparkloom.operators.helpers import materialize, uniform, unpivot
 
 
+#: different values of a column whose values are recovered
+VALUES = 2000
+
+
 def vertex_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     """x, y, sim = 1 - |difference of values| of all vertex pairs (columns of two tables: few by nature)."""
     every = b.agg(F.collect_list(F.struct(F.col("name").alias("y"), F.col("value").alias("vy"))).alias("all"))
@@ -98,10 +102,17 @@ def frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def init_value_graph(v: DataFrame, w: DataFrame, cols: list[str]) -> DataFrame:
-    """col, a, b, w = 1 - |difference of relative frequencies| over the pairs of a column's values."""
-    a = frequencies(v, cols).select("col", F.col("value").alias("a"), F.col("f").alias("fa"))
-    b = frequencies(w, cols).select("col", F.col("value").alias("b"), F.col("f").alias("fb"))
-    return a.join(b, "col").select("col", "a", "b", (1 - F.abs(F.col("fa") - F.col("fb"))).alias("w"))
+    """col, a, b, w = 1 - |difference of relative frequencies| over the pairs of a column's values.
+
+    Recovery is for categories: a column with more than ``VALUES`` different values on either side is an error, and
+    that bounds the pairs, the side that is broadcast and the matrix that best_value_map solves.
+    """
+    a = materialize(frequencies(v, cols).select("col", F.col("value").alias("a"), F.col("f").alias("fa")))
+    b = materialize(frequencies(w, cols).select("col", F.col("value").alias("b"), F.col("f").alias("fb")))
+    most = a.groupBy("col").count().unionByName(b.groupBy("col").count()).agg(F.max("count")).first()[0] or 0
+    if most > VALUES:
+        raise ValueError(f"a column has {most} values; values are recovered for at most {VALUES}")
+    return a.join(F.broadcast(b), "col").select("col", "a", "b", (1 - F.abs(F.col("fa") - F.col("fb"))).alias("w"))
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:

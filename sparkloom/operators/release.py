@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-import random
-from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import columns, discern
-from sparkloom.operators.helpers import collapse, global_cumsum, materialize, uniform
+from sparkloom.operators.helpers import collapse, global_cumsum, materialize, small_or_shuffled, uniform
 
 #: noise settings: slope above, slope below the true count
 PRESETS = {"neutral": {"bp": 1.0, "bn": 1.0}, "over": {"bp": 1.0, "bn": 3.0}, "under": {"bp": 3.0, "bn": 1.0}}
@@ -23,48 +22,42 @@ PRESETS = {"neutral": {"bp": 1.0, "bn": 1.0}, "over": {"bp": 1.0, "bn": 3.0}, "u
 def kambiguate(df: DataFrame, attrs: list[str], k: int) -> DataFrame:
     """df with attrs suppressed to null so that each row matches at least k other rows, and suppressed: array of names.
 
-    For each distinct tuple the k rows whose differences add least to the columns suppressed so far are
-    taken (own duplicates add none).  With fewer than k other rows every cell goes.  Distinct tuples
-    are sent to the tasks as integer codes while they fit the bound; beyond it an error says so.
+    Greedy, for each distinct tuple: of the rows that do not match yet, those that differ in the fewest columns not
+    suppressed so far decide; of their sets of columns the first in the order of attrs goes.  Rows that match
+    then come for free (own duplicates from the start).  With fewer than k other rows every cell goes.
+
+    How many rows match once some columns are gone is looked up in grouped counts on the others (discern.agreeing), so
+    work grows with the distinct tuples times the column sets in use; all tuples take a step at once.
     """
-    tuples = materialize(collapse(df, attrs).withColumn("__i", F.monotonically_increasing_id()))
-    found = discern.codes(tuples, attrs)
-    if found is None:
-        raise ValueError(f"more than {discern.BLOCK_ROWS} distinct tuples: coarsen the columns first")
-    rows, code = found
-    place = {int(x): i for i, x in enumerate(rows["__i"])}
-    shared = df.sparkSession.sparkContext.broadcast((code, rows["n"].to_numpy(), place))
-
-    def cells(number: int) -> list[str]:
-        code, n, place = shared.value
-        i = place[number]
-        if n.sum() - 1 < k:
-            return list(attrs)
-        left = n.copy()
-        left[i] -= 1
-        differs, gone, picked = code != code[i], np.zeros(len(attrs), bool), 0
-        while picked < k:
-            adds = (differs & ~gone).sum(1)
-            adds[left == 0] = len(attrs) + 1
-            j = int(adds.argmin())
-            # rows that add nothing come for free, all at once
-            take = left[j]
-            gone |= differs[j]
-            picked += int(take)
-            left[j] = 0
-        return [a for a, g in zip(attrs, gone) if g]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"__i": b["__i"], "suppressed": [cells(int(i)) for i in b["__i"]]})
-
-    chosen = tuples.select("__i").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, "__i long, suppressed array<string>")
-    plan = materialize(tuples.select("__i", *(F.col(a).alias(f"__{a}") for a in attrs)).join(chosen, "__i"))
+    p = len(attrs)
+    every = (1 << p) - 1
+    tuples = materialize(collapse(df, attrs).withColumn("__id", F.monotonically_increasing_id()))
+    total = tuples.agg(F.sum("n")).first()[0] or 0
+    # gone: suppressed columns; hits: other rows that match then; size: columns to add next
+    state = materialize(tuples.select("__id", F.lit(every if total - 1 < k else 0).cast("long").alias("gone"), (F.col("n") - 1).alias("hits"), F.lit(1).alias("size")))
+    while total - 1 >= k:
+        open_ = state.filter(F.col("hits") < k)
+        cases = open_.select("gone", "size").distinct().collect()
+        if not cases:
+            break
+        steps = [(g, z, sum(b)) for g, z in cases for b in combinations([1 << i for i in range(p) if not g >> i & 1], z)]
+        add = F.broadcast(df.sparkSession.createDataFrame(steps, "gone long, size int, bits long"))
+        asked = open_.join(add, ["gone", "size"]).join(tuples, "__id").select("__id", *attrs, "bits", F.lit(every).cast("long").bitwiseAND(F.bitwise_not(F.col("gone").bitwiseOR(F.col("bits")))).alias("chosen"))
+        counts = discern.agreeing(tuples, materialize(asked), attrs, False).select(F.col("__id").alias("__i"), "bits", (F.col("agree") - 1).alias("now"))
+        better = counts.join(open_, counts["__i"] == open_["__id"]).filter(F.col("now") > F.col("hits"))
+        # the first set of columns by the order of attrs: bits read from the lowest
+        front = F.reverse(F.lpad(F.bin("bits"), p, "0"))
+        best = better.groupBy("__i").agg(F.max(F.struct(front.alias("front"), F.col("bits"), F.col("now"))).alias("b")).select("__i", "b.bits", "b.now")
+        new = state.join(best, state["__id"] == best["__i"], "left")
+        found = F.col("bits").isNotNull()
+        state = materialize(new.select("__id", F.when(found, F.col("gone").bitwiseOR(F.col("bits"))).otherwise(F.col("gone")).alias("gone"), F.when(found, F.col("now")).otherwise(F.col("hits")).alias("hits"), F.when(found, 1).when(F.col("hits") < k, F.col("size") + 1).otherwise(F.col("size")).alias("size")))
+    names = F.filter(F.array(*(F.when(F.col("gone").bitwiseAND(F.lit(1 << i)) != 0, a) for i, a in enumerate(attrs))), lambda x: x.isNotNull())
+    plan = tuples.join(state, "__id").select(*(F.col(a).alias(f"__{a}") for a in attrs), names.alias("suppressed"))
     on = None
     for a in attrs:
         c = F.col(a).eqNullSafe(F.col(f"__{a}"))
         on = c if on is None else on & c
-    out = df.join(F.broadcast(plan), on).drop("__i", *(f"__{a}" for a in attrs))
+    out = df.join(small_or_shuffled(materialize(plan)), on).drop(*(f"__{a}" for a in attrs))
     return out.withColumns({a: F.when(~F.array_contains("suppressed", a), F.col(a)) for a in attrs})
 
 
@@ -89,8 +82,8 @@ def spectral_swap(df: DataFrame, which: list[str], key: str, seed: int = 0) -> D
     """key and swapped columns: the table's left singular vectors are each permuted on their own.
 
     The Gramian of the dummy columns is one aggregate; its eigenvectors (columns x columns) are found on
-    the driver.  Each permutation ranks rows by two independent hashes through global running counts,
-    never in one partition.
+    the driver.  Permutations rank rows by hashes through global running counts, those of all vectors
+    in one pass, never in one partition.
     """
     known = columns.domains(df, which)
     wide = materialize(columns.dummify(df.select(key, *which), which, known))
@@ -100,14 +93,15 @@ def spectral_swap(df: DataFrame, which: list[str], key: str, seed: int = 0) -> D
     values, v = np.linalg.eigh(g)
     keep = values > max(values.max(), 0) * 1e-10
     v = v[:, keep]
-    ranked = None
-    for j in range(v.shape[1]):
-        score = sum((F.col(c) * float(v[i, j]) for i, c in enumerate(names)), F.lit(0.0))
-        place = lambda s: global_cumsum(wide.select(key, score.alias("u"), uniform(key, seed=s).alias("h")), [F.col("h"), F.col(key)], {"at": F.lit(1)})
-        target, source = place(seed + 2 * j).select(key, "at"), place(seed + 2 * j + 1).select("at", F.col("u").alias(f"u{j}"))
-        one = target.join(source, "at").drop("at")
-        ranked = one if ranked is None else ranked.join(one, key)
-    back = ranked.select(key, *(sum((F.col(f"u{j}") * float(v[i, j]) for j in range(v.shape[1])), F.lit(0.0)).alias(c) for i, c in enumerate(names)))
+    r = v.shape[1]
+    scores = F.array(*(sum((F.col(c) * float(v[i, j]) for i, c in enumerate(names)), F.lit(0.0)) for j in range(r)))
+    # where each row stands, once for itself and once for each vector's values: two global orders in all
+    target = global_cumsum(wide.select(key, uniform(key, seed=seed).alias("h")), [F.col("h"), F.col(key)], {"at": F.lit(1)}).select(key, "at")
+    n = wide.count()
+    each = wide.select(key, F.posexplode(scores).alias("j", "u")).withColumn("h", uniform(key, "j", seed=seed + 1))
+    source = global_cumsum(each, [F.col("j"), F.col("h"), F.col(key)], {"at": F.lit(1)}).withColumn("at", F.col("at") - F.col("j").cast("long") * n)
+    source = source.groupBy("at").agg(*(F.max(F.when(F.col("j") == j, F.col("u"))).alias(f"u{j}") for j in range(r)))
+    back = target.join(source, "at").select(key, *(sum((F.col(f"u{j}") * float(v[i, j]) for j in range(r)), F.lit(0.0)).alias(c) for i, c in enumerate(names)))
     return columns.restore(back, known, "maxi")
 
 
@@ -154,20 +148,25 @@ def laplace(scale: float, *key: Column | str, seed: int = 0) -> Column:
     return -scale * F.signum(u) * F.log(1 - 2 * F.abs(u))
 
 
+def draw(*key: str | int, seed: int = 0) -> float:
+    """The number that helpers.uniform gives for a key, on the driver."""
+    return (int(hashlib.md5("|".join(map(str, [*key, seed])).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+
 def k_attributes_private(df: DataFrame, attrs: list[str], target: str, k: int, eps: float, seed: int = 0) -> list[str]:
     """As discern.k_attributes, each pick drawn by the exponential mechanism with eps / k.
 
-    One row changes a count of told-apart pairs by at most n - 1, which is the sensitivity used.
+    One row changes a count of told-apart pairs by at most n - 1, which is the sensitivity used.  A draw
+    is the largest of the scores with Gumbel noise on each.
     """
-    rng = random.Random(seed)
     tuples = materialize(collapse(df.filter(F.col(target).isNotNull()), [*attrs, target]))
     n = tuples.agg(F.sum("n")).first()[0] or 1
     out: list[str] = []
-    for _ in range(min(k, len(attrs))):
+    for turn in range(min(k, len(attrs))):
         rest = [a for a in attrs if a not in out]
         got = discern._told_apart(tuples, [[*out, a] for a in rest], target)
-        top = max(got)
-        out.append(rng.choices(rest, [math.exp((eps / k) * (x - top) / (2 * max(n - 1, 1))) for x in got])[0])
+        noisy = [(eps / k) * x / (2 * max(n - 1, 1)) - math.log(-math.log(draw(a, turn, seed=seed))) for a, x in zip(rest, got)]
+        out.append(rest[max(range(len(rest)), key=lambda i: (noisy[i], -i))])
     return out
 
 
@@ -189,7 +188,7 @@ def projected_histogram(df: DataFrame, attrs: list[str], target: str, eps: float
     n = coarse.count()
     gamma = budget_share(n, k) if gamma is None else gamma
     picked = k_attributes_private(coarse, attrs, target, k, (1 - gamma) * eps, seed)
-    cols = [*picked, target]
+    cols = [*(a for a in attrs if a in picked), target]
     known = columns.domains(coarse, cols)
     kinds = {f.name: f.dataType for f in coarse.schema}
     domain = df.sparkSession.range(1)
@@ -208,8 +207,11 @@ def expand(hist: DataFrame, count: str = "count") -> DataFrame:
 
 def jitter(df: DataFrame, col: str, amount: float, key: list[str], seed: int = 0) -> DataFrame:
     """Uniform noise within amount * d / 5, d the smallest gap between the column's values."""
-    gap = df.select(col).distinct().filter(F.col(col).isNotNull())
-    d = gap.withColumn("g", F.col(col) - F.lag(col).over(Window.orderBy(col))).agg(F.min("g")).first()[0] or 0.0
+    values = df.select(F.col(col).cast("double").alias("v")).distinct().filter("v is not null")
+    # gaps inside range partitions, then those between one partition's last value and the next one's first
+    parts = materialize(values.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v").withColumn("p", F.spark_partition_id()))
+    inside = parts.withColumn("g", F.col("v") - F.lag("v").over(Window.partitionBy("p").orderBy("v"))).groupBy("p").agg(F.min("g").alias("g"), F.min("v").alias("first"), F.max("v").alias("last"))
+    d = inside.select(F.least("g", F.col("first") - F.lag("last").over(Window.orderBy("p"))).alias("g")).agg(F.min("g")).first()[0] or 0.0
     return df.withColumn(col, F.col(col) + (uniform(*key, seed=seed) * 2 - 1) * (amount * float(d) / 5))
 
 

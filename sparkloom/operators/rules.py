@@ -5,13 +5,15 @@ A rules table has rule_id long, antecedent map<string,string>, outcome string.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators import columns, discern
-from sparkloom.operators.helpers import materialize, uniform, unpivot
+from sparkloom.operators.helpers import SMALL_ROWS, collapse, hold_by_hash, materialize, small_or_shuffled, unpivot
 
 
 def class_priors(df: DataFrame, label: str) -> DataFrame:
@@ -27,21 +29,8 @@ def default_class(df: DataFrame, label: str) -> str | None:
 
 
 def stratified_split(df: DataFrame, label: str, key: list[str], p: float = 0.3, seed: int = 0) -> DataFrame:
-    """df with held: floor(p * n) rows of each class are True.
-
-    The cut in each class is found on a two-level count of the random key (65,536 slices), so only the
-    rows of one slice of a class are ranked and no class is sorted as a whole.
-    """
-    slices = 1 << 16
-    rows = df.withColumn("__u", uniform(*key, seed=seed)).withColumn("__s", F.floor(F.col("__u") * slices))
-    per = rows.groupBy(label, "__s").agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(label).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumns({"__before": F.coalesce(F.sum("__c").over(w), F.lit(0)), "__want": F.floor(p * F.sum("__c").over(Window.partitionBy(label)))})
-    per = per.select(F.col(label).alias("__l"), F.col("__s").alias("__t"), "__before", "__want", "__c")
-    joined = rows.join(per, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__s") == F.col("__t")))
-    rank = F.row_number().over(Window.partitionBy(label, "__s").orderBy("__u", *key))
-    held = F.when(F.col("__before") + F.col("__c") <= F.col("__want"), True).when(F.col("__before") >= F.col("__want"), False).otherwise(F.col("__before") + rank <= F.col("__want"))
-    return joined.withColumn("held", held).drop("__u", "__s", "__l", "__t", "__before", "__want", "__c")
+    """df with held: floor(p * n) rows of each class are True."""
+    return hold_by_hash(df, F.floor(F.lit(p) * F.col("n")), key, label, seed)
 
 
 def induce_rules(df: DataFrame, attrs: list[str], label: str, tau: float = 1.0, common: bool = False) -> DataFrame:
@@ -66,14 +55,31 @@ def distinct_rules(rules: DataFrame) -> DataFrame:
     return t.select(F.xxhash64("__t").alias("rule_id"), "antecedent", "outcome")
 
 
+#: copies of a proposition when there are too many to be sent to all executors
+_SALT = 16
+
+
+def _meet(cells: DataFrame, rules: DataFrame) -> DataFrame:
+    """cells (col, value, ...) with the propositions of rules that hold.
+
+    Few values mean hot keys, so propositions are sent to all executors while they are counted few; more
+    of them are copied ``_SALT`` times and cells dealt over the copies.
+    """
+    props = rules.select("rule_id", "outcome", F.size("antecedent").alias("size"), F.explode("antecedent").alias("col", "value"))
+    if props.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return cells.join(F.broadcast(props), ["col", "value"])
+    copies = props.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALT - 1))))
+    dealt = cells.withColumn("salt", F.pmod(F.xxhash64(*cells.columns), F.lit(_SALT)).cast("int"))
+    return dealt.join(copies, ["col", "value", "salt"]).drop("salt")
+
+
 def apply_rules(df: DataFrame, rules: DataFrame, key: str, attrs: list[str]) -> DataFrame:
     """key, rule_id, outcome, matched, size: pairs with at least one proposition that holds.
 
     Points and propositions meet in an equi-join on (attribute, value), never all with all.
     """
     cells = unpivot(df, [key], attrs).filter("value is not null")
-    props = rules.select("rule_id", "outcome", F.size("antecedent").alias("size"), F.explode("antecedent").alias("col", "value"))
-    return cells.join(props, ["col", "value"]).groupBy(key, "rule_id", "outcome", "size").agg(F.count("*").alias("matched"))
+    return _meet(cells, rules).groupBy(key, "rule_id", "outcome", "size").agg(F.count("*").alias("matched"))
 
 
 def strengths(applied: DataFrame, key: str) -> DataFrame:
@@ -90,8 +96,7 @@ def fuzzy_strengths(df: DataFrame, rules: DataFrame, key: str, sets: list[tuple[
     """
     cells = [F.struct(F.lit(c).alias("col"), F.lit(str(r)).alias("value"), columns.membership(F.col(c).cast("double"), a, t, b, variant="open").alias("m")) for c, r, a, t, b in sets]
     rows = df.select(key, F.explode(F.array(*cells)).alias("x")).select(key, "x.*").filter("m > 0")
-    props = rules.select("rule_id", "outcome", F.size("antecedent").alias("size"), F.explode("antecedent").alias("col", "value"))
-    hit = rows.join(props, ["col", "value"]).groupBy(key, "rule_id", "outcome", "size").agg(F.count("*").alias("n"), F.min("m").alias("strength"))
+    hit = _meet(rows, rules).groupBy(key, "rule_id", "outcome", "size").agg(F.count("*").alias("n"), F.min("m").alias("strength"))
     return hit.filter("n = size").select(key, "rule_id", "outcome", "strength")
 
 
@@ -121,28 +126,66 @@ def vote(points: DataFrame, scored: DataFrame, key: str, classes: list[str]) ->
     return points.select(key).join(wide, key, "left").fillna(0.0, classes)
 
 
+def _named(rules: DataFrame) -> DataFrame:
+    """rule_id, outcome and name: the rule's text, which orders rules the same way everywhere."""
+    return materialize(rules.select("rule_id", "outcome", F.concat_ws(" => ", _text(F.col("antecedent")), "outcome").alias("name")))
+
+
+def _only(rules: DataFrame, names: DataFrame, picked: list[str]) -> DataFrame:
+    kept = names.join(F.broadcast(names.sparkSession.createDataFrame([(x,) for x in picked], "name string")), "name").select("rule_id")
+    return rules.join(F.broadcast(kept), "rule_id", "left_semi")
+
+
 def filter_rules(rules: DataFrame, scored: DataFrame, labels: DataFrame, key: str, label: str, tau: float = 1.0, cover: float = 1.0) -> DataFrame:
     """Rules of a greedy cover of the points they classify rightly with strength tau; all if none does."""
     right = scored.join(labels.select(key, F.col(label).cast("string").alias("outcome")), [key, "outcome"]).filter(F.col("strength") >= tau)
-    names = materialize(rules.select("rule_id", F.dense_rank().over(Window.orderBy("rule_id")).cast("long").alias("set_id")))
-    sets = right.join(names, "rule_id").select("set_id", F.xxhash64(key).alias("element"))
-    ids = discern.greedy_cover(sets, cover)
-    if not ids:
-        return rules
-    kept = names.filter(F.col("set_id").isin(ids)).select("rule_id")
-    return rules.join(F.broadcast(kept), "rule_id", "left_semi")
+    names = _named(rules)
+    picked = discern.greedy_cover(right.join(small_or_shuffled(names.select("rule_id", F.col("name").alias("set_id"))), "rule_id").select("set_id", F.col(key).alias("element")), cover)
+    return _only(rules, names, picked) if picked else rules
+
+
+def filter_rules_weighted(rules: DataFrame, scored: DataFrame, labels: DataFrame, key: str, label: str, bc: float = 10.0, weight: str | None = None) -> DataFrame:
+    """Rules of a greedy cover by signed strengths, with a quota for each class.
 
+    A rule counts for the points of its class with its strength, against other points with the negative.  Points
+    with a sum over 0 are to be covered: they are once the picked rules' sum is over 0.  Each class has one more point,
+    on which its rules have ceil(bc * number of other classes' rules) * (largest strength).  The rule with the largest
+    sum over what is left is picked, the last by text on ties, as long as that is not negative.  weight: a column
+    of labels, how many points a row stands for.  All rules stay if there is nothing to cover.
 
-def filter_rules_weighted(rules: DataFrame, scored: DataFrame, labels: DataFrame, key: str, label: str, cover: float = 1.0) -> DataFrame:
-    """As filter_rules, each rule priced by what it gets wrong: cost 1 + strength on points of other classes."""
-    both = scored.join(labels.select(key, F.col(label).cast("string").alias("y")), key)
-    names = materialize(rules.select("rule_id", F.dense_rank().over(Window.orderBy("rule_id")).cast("long").alias("set_id")))
-    wrong = both.groupBy("rule_id").agg(F.sum(F.when(F.col("outcome") != F.col("y"), F.col("strength")).otherwise(0.0)).alias("w"))
-    price = {r["set_id"]: 1.0 + (r["w"] or 0.0) for r in names.join(wrong, "rule_id", "left").collect()}
-    right = both.filter((F.col("outcome") == F.col("y")) & (F.col("strength") > 0))
-    ids = discern.greedy_cover(right.join(names, "rule_id").select("set_id", F.xxhash64(key).alias("element")), cover, price)
-    kept = names.filter(F.col("set_id").isin(ids)).select("rule_id")
-    return rules.join(F.broadcast(kept), "rule_id", "left_semi") if ids else rules
+    Points are collapsed to their lists of (rule, signed strength) first; each round is one aggregate over these.
+    """
+    spark, names = rules.sparkSession, _named(rules)
+    known = labels.select(key, F.col(label).cast("string").alias("y"), (F.col(weight) if weight else F.lit(1)).cast("double").alias("__n"))
+    signed = scored.filter("strength > 0").join(known, key).withColumn("s", F.when(F.col("outcome") == F.col("y"), F.col("strength")).otherwise(-F.col("strength")))
+    lists = signed.join(small_or_shuffled(names.select("rule_id", "name")), "rule_id").groupBy(key, "__n").agg(F.sort_array(F.collect_list(F.struct("name", "s"))).alias("hits"), F.sum("s").alias("all"))
+    points = materialize(lists.groupBy("hits").agg(F.sum("__n").alias("n"), F.first("all").alias("all")).withColumn("sum", F.lit(0.0)))
+    top = points.agg(F.max(F.array_max(F.transform("hits", lambda h: F.abs(h["s"]))))).first()[0]
+    if top is None:
+        return rules
+    points = points.filter("all > 0").drop("all")
+    sizes = {r["outcome"]: r["n"] for r in names.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+    quota = {c: math.ceil(bc * (total - n)) * top for c, n in sizes.items()}
+    picked: list[str] = []
+    open_ = {c for c, q in quota.items() if q > 0}
+    while len(picked) < total:
+        if not open_ and points.limit(1).count() == 0:
+            break
+        gain = points.select("n", F.explode("hits").alias("h")).groupBy("h.name").agg(F.sum(F.col("n") * F.col("h.s")).alias("gain"))
+        bonus = spark.createDataFrame([(c, float(quota[c])) for c in sorted(open_)], "outcome string, bonus double")
+        left = names.join(F.broadcast(spark.createDataFrame([(x,) for x in picked], "name string")), "name", "left_anti")
+        each = left.join(gain, "name", "left").join(F.broadcast(bonus), "outcome", "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0)))
+        best = each.filter("gain >= 0").orderBy(F.desc("gain"), F.desc("name")).first()
+        if best is None:
+            break
+        picked.append(best["name"])
+        open_.discard(best["outcome"])
+        mine = F.aggregate("hits", F.lit(0.0), lambda t, h: t + F.when(h["name"] == best["name"], h["s"]).otherwise(0.0))
+        points = points.withColumn("sum", F.col("sum") + mine).filter("sum <= 0")
+        if len(picked) % 8 == 0:
+            points = materialize(points)
+    return _only(rules, names, picked)
 
 
 def format_rules(rules: DataFrame, label: str = "class") -> DataFrame:
@@ -158,9 +201,10 @@ def fit_fuzzy_classifier(df: DataFrame, attrs: list[str], label: str, levels: in
     coarse = df.select(*(columns.level(F.col(a), cuts[a]).alias(a) for a in wide), label)
     rules = materialize(induce_rules(coarse, wide, label, 0.95))
     sets = columns.membership_table(df, wide, levels)
-    keyed = df.withColumn("__key", F.xxhash64(*df.columns)).dropDuplicates(["__key"])
-    scored = materialize(fuzzy_strengths(keyed, rules, "__key", sets))
-    return {"rules": filter_rules_weighted(rules, scored, keyed, "__key", label), "sets": sets, "unfiltered": rules, "classes": sorted(r[0] for r in rules.select("outcome").distinct().collect())}
+    # equal rows are one point with their number as weight
+    points = materialize(collapse(df, [*wide, label]).withColumn("__key", F.to_json(F.struct(*wide, label))))
+    scored = materialize(fuzzy_strengths(points, rules, "__key", sets))
+    return {"rules": filter_rules_weighted(rules, scored, points, "__key", label, weight="n"), "sets": sets, "unfiltered": rules, "classes": sorted(r[0] for r in rules.select("outcome").distinct().collect())}
 
 
 def apply_fuzzy_classifier(model: dict, df: DataFrame, key: str) -> DataFrame:

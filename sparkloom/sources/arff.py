@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.sources.text_tables import placed_lines
+
 _NUMBERS = ("numeric", "real", "integer")
 _PARTS = re.compile(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)"|(\{[^}]*\})|(\S+)""")
 _DEFAULT_DATE = "yyyy-MM-dd'T'HH:mm:ss"
@@ -74,15 +76,19 @@ def _value(raw: Column, a: dict) -> Column:
 
 
 def read_arff(spark: SparkSession, path: str) -> tuple[str, bool, T.StructType, DataFrame]:
-    """(relation, sparse, schema, rows). Header lines come to the driver; the body stays distributed.
+    """(relation, sparse, schema, rows). Lines up to the first @data come to the driver; the body stays distributed.
 
+    The header is in one file, other files of a folder hold rows only; what follows @data is a row, whatever it begins with.
     A sparse row lists "position value" pairs (from 0); left-out cells are 0 for numbers, the first level for
     nominals, null otherwise.
     """
-    text = spark.read.text(path).select(F.trim("value").alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("%"))
-    head = [r[0] for r in text.filter(F.col("line").startswith("@")).collect()]
-    name, attributes = parse_header(head)
-    body = text.filter(~F.col("line").startswith("@"))
+    text = placed_lines(spark, path).filter((F.col("line") != "") & ~F.col("line").startswith("%"))
+    end = text.filter(F.lower("line") == "@data").orderBy("file", "start", "n").first()
+    if end is None:
+        raise ValueError(f"{path} has no @data")
+    in_head = (F.col("file") == end["file"]) & ((F.col("start") < end["start"]) | (F.col("start") == end["start"]) & (F.col("n") <= end["n"]))
+    name, attributes = parse_header([r["line"] for r in text.filter(in_head).orderBy("start", "n").collect()])
+    body = text.filter(~in_head)
     sparse = body.filter(F.col("line").startswith("{")).limit(1).count() > 0
     n = len(attributes)
     if sparse:

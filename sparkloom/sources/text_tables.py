@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BARRIER = 1_000_000.0
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line (trimmed) and its place: file, start of the file's split, n, which grows with the line within a split."""
+    text = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return text.withColumn("n", F.monotonically_increasing_id())
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Kept lines (not blank, not starting with #) with their order, in a column n that grows with the place in the file."""
-    text = spark.read.option("wholetext", False).text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("n"))
-    return text.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    """placed_lines that are not blank and don't start with #."""
+    return placed_lines(spark, path).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 
 def read_table(spark: SparkSession, path: str, separators: str = "[\\s,:]") -> DataFrame:
-    """Names on the first kept line; each column int, else double, else string as a whole. Ragged rows are an error."""
-    rows = _lines(spark, path).withColumn("f", F.split("line", separators, -1))
-    head = rows.orderBy("n").first()
+    """Names on the first kept line; each column int, else double, else string as a whole. Ragged rows are an error.
+
+    In a folder each file may begin with the names again.
+    """
+    lines = _lines(spark, path)
+    head = lines.orderBy("file", "start", "n").first()
     if head is None:
         raise ValueError(f"{path} has no line")
-    names = head["f"]
-    body = rows.filter(F.col("n") != head["n"])
+    rows = lines.withColumn("f", F.split("line", separators, -1))
+    names = re.split(separators, head["line"])
+    firsts = lines.filter("start = 0").groupBy("file").agg(F.min(F.struct("n", "line")).alias("x")).select("x.*").filter(F.col("line") == head["line"]).select("n")
+    # only lines like the first one can be names again
+    like = F.col("line") == head["line"]
+    body = rows.filter(~like).unionByName(rows.filter(like).join(firsts, "n", "left_anti").select(rows.columns))
     cell = [F.element_at("f", i + 1) for i in range(len(names))]
     kinds = body.agg(
         F.count_if(F.size("f") != len(names)).alias("ragged"), F.count("*").alias("all"),
@@ -40,11 +54,11 @@ def write_table(df: DataFrame, path: str, sep: str = " ") -> None:
 def read_matrix(spark: SparkSession, path: str, sep: str = ",", square: bool = False, barrier: float | None = None) -> DataFrame:
     """i, j, w (0-based); rows of unequal length, or a matrix that should be square and is not, are errors."""
     rows = _lines(spark, path).withColumn("f", F.split("line", sep if sep.strip() else "\\s+", -1))
-    # row numbers: the line's rank within its partition plus the rows of earlier ones
-    part = F.shiftrightunsigned("n", 33)
-    sizes = rows.groupBy(part.alias("p")).agg(F.count("*").alias("c"))
-    before = sizes.select("p", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    numbered = rows.withColumn("p", part).join(F.broadcast(before), "p").withColumn("i", (F.col("base") + F.row_number().over(Window.partitionBy("p").orderBy("n")) - 1).cast("int"))
+    # row numbers: the line's rank within its split plus the rows of earlier splits, files in the order of their names
+    split = ["file", "start"]
+    sizes = rows.groupBy(*split).agg(F.count("*").alias("c"))
+    before = sizes.select(*split, F.coalesce(F.sum("c").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    numbered = rows.join(F.broadcast(before), split).withColumn("i", (F.col("base") + F.row_number().over(Window.partitionBy(*split).orderBy("n")) - 1).cast("int"))
     shape = numbered.agg(F.count_distinct(F.size("f")).alias("widths"), F.max(F.size("f")).alias("cols"), F.count("*").alias("rows")).first()
     if shape["widths"] > 1 or (square and shape["rows"] and shape["rows"] != shape["cols"]):
         raise ValueError(f"{path} is no {'square ' if square else ''}matrix")
