@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import materialize, small_or_shuffled
 
 BITS = 20
 TRAIN_ROWS = 12_000
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = rows / max(known.count(), 1)
     order = F.xxhash64("id", F.lit(11))
     sample = known.filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).withColumn("o", order)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("o", "label", "text")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small_or_shuffled(sample, sample.count(), 24), "id").select("o", "label", "text")
     feats = materialize(picked.mapInArrow(_features, "o long, label int, x array<int>"))
     return {r[0]: r[1] for r in feats.coalesce(1).mapInArrow(_fit, "place int, w double").collect()}
 
