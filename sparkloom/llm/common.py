@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.helpers import drop_steps, materialize, steps_so_far  # noqa: F401
+
 #: id that stands for a null id in orders: after all others
 LAST_ID = 2**63 - 1
 #: rows and bytes up to which a side of a join is sent to all executors
@@ -18,23 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_or_shuffled(df: DataFrame, rows: int, row_bytes: float = 16) -> DataFrame:
     """Hint a broadcast only when the counted rows fit the bound; else the join shuffles."""
     return F.broadcast(df) if rows <= SMALL_ROWS and rows * row_bytes <= SMALL_BYTES else df
