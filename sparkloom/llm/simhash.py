@@ -10,7 +10,7 @@ bucket over ``BUCKET`` members is split into parts, and each pair of parts is a
 A task takes many buckets at once: members lie 64 to a word, one word for each bit (bit planes), and
 carry-save counters add up 64 distances by bitwise operations; every 8 planes the words whose lanes
 all exceed the radius are abandoned.  Each bucket gives a spanning forest of its links, never all
-pairs.  Components come from alternating star contractions, each written to the shared folder.
+pairs.  Components come from rounds of star contraction, each written to the shared folder.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import drop_steps, materialize, small_or_shuffled, steps_so_far
 
 RADIUS = 4
 #: (first bit, bits) of the six blocks
 _BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: members of a bucket before it is split
 BUCKET = 1024
+#: edges of a node before they are dealt over several tasks
+HOT = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -169,29 +171,54 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     part = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in _BLOCKS]
     keys = [F.lit(i << 24) + part[x] * 2048 + part[y] for i, (x, y) in enumerate(combinations(range(6), 2))]
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int"))
+    # only buckets to be split need their size; there are few, or else the join shuffles
+    large = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET).select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts")))
+    rows = rows.join(small_or_shuffled(large, large.count()), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp", (F.col("mine") > F.col("other")).alias("right"))
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp").mapInArrow(_links(radius), "u long, v long").distinct()
 
 
+def _with_least(edges: DataFrame, key: str, least: DataFrame, how: str) -> DataFrame:
+    """edges with m of least (node, m) where node is edges' key.
+
+    A key with more than HOT edges, or more than a 10,000th of them all, is dealt over several tasks, which get a copy of its m each;
+    there are at most 10,000 such keys, so they are known everywhere.
+    """
+    n = edges.count()
+    most = max(HOT, n // 10_000)
+    hot = F.broadcast(edges.groupBy(F.col(key).alias("h")).agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).filter("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = edges.join(hot, F.col(key) == F.col("h"), "left").select("u", "v", F.pmod(F.xxhash64("u", "v"), parts).cast("int").alias("part"))
+    copies = least.join(hot, F.col("node") == F.col("h"), "left").select("node", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("of"))
+    return dealt.join(copies, (F.col(key) == F.col("node")) & (F.col("part") == F.col("of")), how).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (smallest node reachable) for every node of the edges u > v."""
+    """node, root (smallest node reachable) for every node of the edges u > v.
+
+    A round points each edge at the least node that its smaller end knows, then links the smaller ends of
+    a node to its least one.  A root's many edges are never brought together: they have nothing to look up.
+    """
+    spark = edges.sparkSession
+    since = steps_so_far(spark)
     edges = materialize(edges)
     mark = None
     while True:
+        until = steps_so_far(spark)
         n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (n, total) == mark or not n:
             break
         mark = (n, total)
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct()
-        edges = materialize(small)
+        least = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+        large = materialize(_with_least(edges, "v", least, "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
+        ends = large.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"), F.max("v").alias("x"))
+        # only nodes with several smaller ends have something to link
+        small = _with_least(large, "u", ends.filter("x > m").select("node", "m"), "inner").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = materialize(ends.select(F.col("node").alias("u"), F.col("m").alias("v")).unionByName(small).distinct())
+        drop_steps(spark, since, until)
+        since = until
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
