@@ -4,22 +4,24 @@ Base spans are regex matches.  Their places come from the gaps between matches (
 ``regexp_extract_all``), so each text is scanned a fixed number of times and no row is exploded.
 
 Beyond them, wider patterns propose candidates: national phone numbers, emails with ``(at)``, grouped
-card numbers.  Five labelers vote on each candidate and each base span: regex (it speaks for base
-spans and abstains elsewhere), shape, gazetteer, context and boundary.  Votes are counted by (kind,
+card numbers.  Five labelers vote on each candidate and each base span: regex (a stricter pattern of the
+kind), shape, gazetteer, context and boundary.  Votes are counted by (kind,
 vote pattern), a table of at most 4 x 32 rows; on that table expectation-maximisation estimates each
 labeler's hit and false-alarm rate, and a logistic span classifier is trained on the posteriors, with
-the other four as its features.  Its weights go back into the plan as an expression: candidates at
+the votes as its features.  Its weights go back into the plan as an expression: candidates at
 0.5 or more that touch no base span are added.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import materialize
+from sparkloom.llm.quality import let
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, possessive where nothing could be given back, and only at places
@@ -41,23 +43,51 @@ WIDER = {
 }
 _WIDER_NEEDS = {"email": "at", "card": None, "phone": None}
 LABELERS = ("regex", "shape", "gazetteer", "context", "boundary")
+_STRICT = {
+    "email": "^[A-Za-z0-9][A-Za-z0-9._%+-]*(@| ?[(\\[]at[)\\]] ?)[A-Za-z0-9][A-Za-z0-9-]*( ?(\\.|[(\\[]dot[)\\]]) ?[A-Za-z0-9-]+)*?( ?(\\.|[(\\[]dot[)\\]]) ?[A-Za-z]{2,})$",
+    "ip": "^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\\.|$)){4}$",
+    "card": "^(4[0-9]{15}|5[1-5][0-9]{14}|3[47][0-9]{13}|6(011|5[0-9]{2})[0-9]{12})$",
+    "phone": "^(\\+[1-9][0-9]{0,2}[ .-]?)?\\(?[2-9][0-9]{2}\\)?[ .-]{0,2}[2-9][0-9]{2}[ .-]?[0-9]{4}$",
+}
 _SHAPE = {"email": "@[^@]+\\.[A-Za-z]{2,}$", "ip": "^[0-9.]{7,15}$", "card": "^[0-9]{4}([ -]?)[0-9]{4}\\1[0-9]{4}\\1[0-9]{2,7}$", "phone": "^(\\+[0-9]{1,3} ?)?\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}$"}
 _GAZETTEER = {"email": "(?i)(\\.|dot[)\\]] ?)(com|org|net|edu|gov|io|de|fr|es|uk|info)$", "ip": "^(?!0\\.|127\\.|255\\.)", "card": "^(4|5[1-5]|3[47]|6011|65)", "phone": "^(\\+1 ?)?\\(?[2-9][0-9]{2}\\)?|^\\+[2-9][0-9]"}
 _CONTEXT = {"email": "mail|contact|write|schreib|correo|courriel", "ip": "\\bip\\b|host|server|address|addr", "card": "card|visa|credit|karte|carte|tarjeta", "phone": "phone|call|tel|fax|mobil|cell"}
 _BEFORE = 24
+#: values of an array that are added up in one go
+_STRETCH = 256
+
+
+def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or other merges of whole numbers from 0) of an array: within stretches, then over their ends.
+
+    An array grows by a copy, so stretches of ``_STRETCH`` keep the work near the number of values.
+    """
+    start = F.expr("cast(named_struct('at', 0, 'out', array()) as struct<at:int,out:array<int>>)")
+    step = lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(merge(acc["at"], x))).alias("out"))
+    scan = lambda part: F.aggregate(part, start, step, lambda acc: acc["out"])
+    last = lambda whole: F.floor(F.greatest(F.size(whole) - 1, F.lit(0)) / _STRETCH).cast("int")
+    cut = lambda whole: F.transform(F.sequence(F.lit(0), last(whole)), lambda i: scan(F.slice(whole, i * _STRETCH + 1, F.lit(_STRETCH))))
+    ends = lambda parts: scan(F.transform(parts, lambda x: F.coalesce(F.get(x, F.size(x) - 1), F.lit(0))))
+    return let(let(values, cut), lambda parts: let(ends(parts), lambda done: F.flatten(F.transform(parts, lambda x, i: F.transform(x, lambda y: merge(y, F.when(i == 0, 0).otherwise(F.get(done, i - 1))))))))
 
 
 def _matches(text: Column, pattern: str, need: str | None) -> Column:
-    """array<struct<s,e,m>>: start and end in code points, and the text, of all matches."""
-    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("s"), (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("e"), x["m"].alias("m")))).alias("out"),
-    )
-    none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
-    placed = F.transform(F.array(found), lambda f: F.aggregate(F.zip_with(f["m"], F.slice(f["gap"], 1, F.size(f["m"])), lambda m, g: F.struct(m.alias("m"), g.alias("gap"))), F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"])[0]
+    """array<struct<s,e,m,before,edge>> of all matches: start and end in code points, the text, what stands before
+    it (since the match before, lower case) and the characters on its two sides ("0" for another match)."""
+    none = F.expr("cast(array() as array<struct<s:int,e:int,m:string,before:string,edge:string>>)")
+
+    def placed(m: Column, gap: Column, ends: Column) -> Column:
+        left = lambda i: F.when(F.get(gap, i) != "", F.right(F.get(gap, i), F.lit(1))).when(i == 0, " ").otherwise("0")
+        right = lambda i: F.when(F.get(gap, i + 1) != "", F.left(F.get(gap, i + 1), F.lit(1))).when(i == F.size(m) - 1, "").otherwise("0")
+        return F.transform(m, lambda x, i: F.struct((F.get(ends, i) - F.length(x)).alias("s"), F.get(ends, i).alias("e"), x.alias("m"), F.lower(F.right(F.get(gap, i), F.lit(_BEFORE))).alias("before"), F.concat(left(i), right(i)).alias("edge")))
+
+    def whole(m: Column, gap: Column) -> Column:
+        sizes = F.transform(m, lambda x, i: F.length(x) + F.length(F.get(gap, i)))
+        return let(_running(sizes, lambda a, b: a + b), lambda ends: placed(m, gap, ends))
+
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(F.split(text, pattern, -1), lambda gap: whole(m, gap)))
     hit = text.contains(need) if need else text.rlike(pattern)
-    return F.when(hit, placed).otherwise(none)
+    return F.when(hit, found).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
@@ -81,67 +111,79 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _base_of(text: Column, kind: str) -> Column:
-    valid = F.filter(_matches(text, PATTERNS[kind], _NEEDS[kind]), lambda x: _valid(kind, x["m"]))
-    return F.transform(valid, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), x["m"].alias("m")))
+    return F.filter(_matches(text, PATTERNS[kind], _NEEDS[kind]), lambda x: _valid(kind, x["m"]))
 
 
-def _voted(text: Column, kind: str, spans: Column, regex: bool) -> Column:
-    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), _votes(text, kind, x, regex).alias("votes")))
+def _voted(kind: str, spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), _votes(kind, x).alias("votes")))
 
 
-def _votes(text: Column, kind: str, x: Column, regex: bool) -> Column:
-    before = F.lower(F.substring(text, F.greatest(x["s"] - _BEFORE, F.lit(0)) + 1, F.least(x["s"], F.lit(_BEFORE))))
-    around = F.concat(F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1))).otherwise(" "), F.substring(text, x["e"] + 1, F.lit(1)))
+def _votes(kind: str, x: Column) -> Column:
     digits = _digits(x["m"]) if kind == "card" else x["m"]
-    votes = (x["m"].rlike(_SHAPE[kind]), digits.rlike(_GAZETTEER[kind]), before.rlike(_CONTEXT[kind]), ~around.rlike("[0-9A-Za-z_/=]"))
-    return F.concat(F.lit("1" if regex else "-"), *(F.when(v, "1").otherwise("0") for v in votes))
+    votes = (digits.rlike(_STRICT[kind]), x["m"].rlike(_SHAPE[kind]), digits.rlike(_GAZETTEER[kind]), x["before"].rlike(_CONTEXT[kind]), ~x["edge"].rlike("[0-9A-Za-z_/=]"))
+    return F.concat(*(F.when(v, "1").otherwise("0") for v in votes))
+
+
+def _blocks(base: Column) -> Column:
+    """array<struct<lo,hi,part>>: spans in order of their starts, in stretches with the least start and the largest end."""
+    ends = F.sort_array(F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))))
+    last = lambda spans: F.floor(F.greatest(F.size(spans) - 1, F.lit(0)) / _STRETCH).cast("int")
+    cut = lambda spans: F.transform(F.sequence(F.lit(0), last(spans)), lambda i: F.slice(spans, i * _STRETCH + 1, F.lit(_STRETCH)))
+    return let(ends, lambda spans: F.transform(cut(spans), lambda p: F.struct(F.get(p, F.lit(0))["s"].alias("lo"), F.array_max(F.transform(p, lambda b: b["e"])).alias("hi"), p.alias("part"))))
 
 
-def _apart(x: Column, base: Column) -> Column:
-    return ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+def _apart(x: Column, blocks: Column) -> Column:
+    """Whether x touches no base span."""
+    met = lambda b: (b["lo"] < x["e"]) & (x["s"] < b["hi"]) & F.exists(b["part"], lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+    return ~F.coalesce(F.exists(blocks, met), F.lit(False))
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of docs, with base and more: array<struct<s,k,e,votes>>; more holds the method's candidates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumns({f"__{k}": _base_of(text, k) for k in KINDS})
-    base = F.concat(*(F.col(f"__{k}") for k in KINDS))
-    more = [_voted(text, k, F.filter(_matches(text, WIDER[k], _WIDER_NEEDS[k]), lambda x: _apart(x, base)), False) for k in WIDER]
-    voted = [_voted(text, k, F.col(f"__{k}"), True) for k in KINDS]
-    return rows.withColumns({"__base": F.concat(*voted), "__more": F.concat(*more)}).drop(*(f"__{k}" for k in KINDS))
+    rows = rows.withColumn("__blocks", _blocks(F.concat(*(F.col(f"__{k}") for k in KINDS))))
+    more = [_voted(k, F.filter(_matches(text, WIDER[k], _WIDER_NEEDS[k]), lambda x: _apart(x, F.col("__blocks")))) for k in WIDER]
+    voted = [_voted(k, F.col(f"__{k}")) for k in KINDS]
+    return rows.withColumns({"__base": F.concat(*voted), "__more": F.concat(*more)}).drop("__blocks", *(f"__{k}" for k in KINDS))
 
 
 def fit(rows: DataFrame, rounds: int = 50) -> dict[int, list[float]]:
     """Classifier weights (bias first) by kind, from vote patterns of rows with __base and __more."""
     spans = rows.select(F.explode(F.concat("__base", "__more")).alias("x")).groupBy("x.k", "x.votes").count().orderBy("k", "votes").collect()
-    return {k: _train([([None if c == "-" else int(c) for c in v], n) for kk, v, n in spans if kk == k], rounds) for k in range(len(KINDS))}
+    return {k: _train([([int(c) for c in v], n) for kk, v, n in spans if kk == k], rounds) for k in range(len(KINDS))}
 
 
-def _train(table: list[tuple[list[int | None], int]], rounds: int) -> list[float]:
-    """EM over vote patterns with counts, then logistic regression on the posteriors."""
+def estimate(table: list[tuple[list[int], int]], rounds: int = 50) -> tuple[float, list[float], list[float], list[float]]:
+    """EM over vote patterns with counts: (share of true spans, hit rates, false-alarm rates, posterior of each pattern)."""
     m = len(LABELERS)
     hit, false, prior = [0.8] * m, [0.2] * m, 0.5
     post: list[float] = []
     for _ in range(rounds):
         post = []
         for v, _n in table:
-            a = math.log(prior) + sum(math.log(h if x else 1 - h) for x, h in zip(v, hit) if x is not None)
-            b = math.log(1 - prior) + sum(math.log(f if x else 1 - f) for x, f in zip(v, false) if x is not None)
+            a = math.log(prior) + sum(math.log(h if x else 1 - h) for x, h in zip(v, hit))
+            b = math.log(1 - prior) + sum(math.log(f if x else 1 - f) for x, f in zip(v, false))
             post.append(1 / (1 + math.exp(min(700, b - a))))
         yes, no = sum(p * n for p, (_, n) in zip(post, table)), sum((1 - p) * n for p, (_, n) in zip(post, table))
-        said = [[(p, n, v[i]) for p, (v, n) in zip(post, table) if v[i] is not None] for i in range(m)]
         prior = (yes + 2) / (yes + no + 4)
         # votes count 4 in advance: a labeler is right four times in five
-        hit = [(sum(p * n for p, n, v in x if v) + 3.2) / (sum(p * n for p, n, _ in x) + 4) for x in said]
-        false = [(sum((1 - p) * n for p, n, v in x if v) + 0.8) / (sum((1 - p) * n for p, n, _ in x) + 4) for x in said]
-    w, total = [0.0] * m, sum(n for _, n in table) or 1
+        hit = [(sum(p * n for p, (v, n) in zip(post, table) if v[i]) + 3.2) / (yes + 4) for i in range(m)]
+        false = [(sum((1 - p) * n for p, (v, n) in zip(post, table) if v[i]) + 0.8) / (no + 4) for i in range(m)]
+    return prior, hit, false, post
+
+
+def _train(table: list[tuple[list[int], int]], rounds: int) -> list[float]:
+    """Logistic regression of EM's posteriors on the votes."""
+    post = estimate(table, rounds)[3]
+    w, total = [0.0] * (len(LABELERS) + 1), sum(n for _, n in table) or 1
     for _ in range(400):
         grad = [0.002 * x for x in w]
         for p, (v, n) in zip(post, table):
-            z = w[0] + sum(a for a, x in zip(w[1:], v[1:]) if x)
+            z = w[0] + sum(a for a, x in zip(w[1:], v) if x)
             err = (1 / (1 + math.exp(-z)) - p) * n / total
             grad[0] += err
-            for i, x in enumerate(v[1:]):
+            for i, x in enumerate(v):
                 grad[i + 1] += err * x
         w = [a - 1.0 * g for a, g in zip(w, grad)]
     return w
@@ -154,7 +196,7 @@ def chosen(weights: dict[int, list[float]], base: str = "__base", more: str = "_
         for k, w in weights.items():
             own = F.lit(w[0])
             for i, a in enumerate(w[1:]):
-                own = own + F.when(F.substring(x["votes"], i + 2, 1) == "1", a).otherwise(0.0)
+                own = own + F.when(F.substring(x["votes"], i + 1, 1) == "1", a).otherwise(0.0)
             z = F.when(x["k"] == k, own).otherwise(z)
         return z
 
@@ -180,6 +222,24 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.select("doc_id", strip.alias("base"), chosen(fit(rows)).alias("spans"))
 
 
+def _marked(text: Column, spans: Column) -> Column:
+    """text with each span replaced by its kind; what overlaps an earlier span goes without a mark of its own.
+
+    A text with many spans is taken apart into characters once, so that no place is counted from the text's begin for each span.
+    """
+    names = F.array(*map(F.lit, KINDS))
+    name = lambda x: F.concat(F.lit("<"), F.element_at(names, x["k"] + 1), F.lit(">"))
+
+    def joined(reach: Column, cut: Callable[[Column, Column], Column]) -> Column:
+        at = lambda i: F.when(i == 0, 0).otherwise(F.get(reach, i - 1))
+        piece = lambda x, i: F.when(x["s"] < at(i), "").otherwise(F.concat(cut(at(i), x["s"] - at(i)), name(x)))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(F.get(reach, F.size(reach) - 1), F.lit(2**31 - 1)))
+
+    few = lambda reach: joined(reach, lambda at, n: F.substring(text, at + 1, n))
+    many = lambda reach: let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda chars: joined(reach, lambda at, n: F.array_join(F.slice(chars, at + 1, F.least(n, F.size(chars))), "")))
+    return let(_running(F.transform(spans, lambda x: x["e"]), F.greatest), lambda reach: F.when(F.size(spans) <= 16, few(reach)).otherwise(many(reach)))
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each span replaced by its kind in angle brackets, n_chars set anew for those rows; columns stay.
 
@@ -188,13 +248,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     src = docs.select(F.col(text_col).alias("__text"))
     weights = fit(candidates(src, "__text").select("__base", "__more"))
     rows = candidates(docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))), "__text").withColumn("__spans", chosen(weights))
-    names = F.array(*map(F.lit, KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    step = lambda acc, x: F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(
-        F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.substring(F.col("__text"), acc["at"] + 1, x["s"] - acc["at"]), F.concat(F.lit("<"), F.element_at(names, x["k"] + 1), F.lit(">")))).alias("out"))
-    )
-    joined = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("__text"), acc["at"] + 1, F.length("__text"))))
-    text = F.when(F.size("__spans") > 0, joined).otherwise(F.col(text_col))
+    text = F.when(F.size("__spans") > 0, _marked(F.col("__text"), F.col("__spans"))).otherwise(F.col(text_col))
     rows = rows.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
