@@ -7,7 +7,8 @@ Fuzzy search.  A notice that occurs with at most e edits contains at least one o
 unchanged (pigeonhole).  One Aho-Corasick automaton holds the pieces of all notices; a hit sets a
 candidate stretch of the notice's length plus e on both sides, stretches that overlap are joined, and
 the regex library's bounded-error matching ``(?b)(?:notice){e<=k}`` verifies each stretch, again on both
-sides of what it finds, and reports span and edits.  Work beyond the automaton's one pass grows with the hits.
+sides of what it finds, and reports span and edits.  A notice's digits must all be there and no others, as they tell
+versions apart.  Work beyond the automaton's one pass grows with the hits.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ NOTICES = {
 }
 #: one edit for so many characters
 PER_EDIT = 18
+_DIGITS = regex.compile("[0-9]")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -109,7 +111,9 @@ class Scanner:
             while todo:
                 lo, hi = todo.pop()
                 if hi - lo >= len(n) - k and (m := self.check[i].search(text, lo, hi)):
-                    out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    # an edit may not make one version of another: the digits must be the notice's own
+                    if _DIGITS.findall(m[0]) == _DIGITS.findall(n):
+                        out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
                     todo.append((max(m.end(), lo + 1), hi))
                     if m.end() > m.start():
                         todo.append((lo, m.start()))
