@@ -27,4 +27,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def u(*key: str, seed: int = 0) -> str:
+    """SQL of helpers.uniform over key (SQL expressions)."""
+    text = ", ".join([*(f"coalesce(({k})::varchar, '')" for k in key), f"'{seed}'"])
+    return f"((('0x' || substr(md5(concat_ws('|', {text})), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
+
+
+def gamma_p(a: str, x: str, terms: int = 200) -> str:
+    """SQL of the regularised lower incomplete gamma function by its series."""
+    return f"(case when {x} <= 0 then 0 else list_sum(list_transform(range({terms}), lambda k: exp(({a} + k) * ln(case when {x} > 0 then {x} else 1 end) - {x} - lgamma({a} + k + 1)))) end)"
+
+
+def pnorm(z: str) -> str:
+    return f"(0.5 + 0.5 * sign({z}) * {gamma_p('0.5', f'(({z}) * ({z}) / 2)')})"
+
+
+def measures_sql(cols: list[str], tbl: str, by: str = "") -> str:
+    """CTEs p (pair counts), .., m (chi2, n, nx, ny, gy, gx, vx, vy) of all column pairs of tbl[, for each by]."""
+    b = f"{by}, " if by else ""
+    pairs = " union all ".join(f"select {b}'{x}' x, '{y}' y, {x}::varchar a, {y}::varchar b, count(*) n from {tbl} group by all" for i, x in enumerate(cols) for y in cols[i + 1 :])
+    return f"""p as ({pairs}),
+r as (select {b}x, y, a, sum(n) r, 1 - sum(n * n) / (sum(n) * sum(n)) g from p group by all), c as (select {b}x, y, b, sum(n) c, 1 - sum(n * n) / (sum(n) * sum(n)) g from p group by all),
+rr as (select {b}x, y, sum(r) n, count(*) nx, avg(g) gy, 1 - sum(r * r) / (sum(r) * sum(r)) vx from r group by all), cc as (select {b}x, y, count(*) ny, avg(g) gx, 1 - sum(c * c) / (sum(c) * sum(c)) vy from c group by all),
+q as (select {b}x, y, sum(n * n / (r * c)) - 1 q from p join r using ({b}x, y, a) join c using ({b}x, y, b) group by all),
+m as (select {b}x, y, n::long n, n * q chi2, nx, ny, gy, gx, vx, vy from q join rr using ({b}x, y) join cc using ({b}x, y))"""
+
+
 from sparkloom.jobs import q_columns, q_evaluate, q_rules  # noqa: E402,F401  they register their queries

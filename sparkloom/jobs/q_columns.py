@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import distributions as T
-from sparkloom.jobs.catalog import query, table
+from sparkloom.jobs.catalog import gamma_p, measures_sql, pnorm, query, table, u
 from sparkloom.operators import assoc, columns, discern
-from sparkloom.operators.helpers import collapse
+from sparkloom.operators.helpers import unpivot
 
 _GAP = "case when l_orderkey % 10 = 0 then null else l_returnflag end"
 
@@ -43,7 +43,8 @@ def p5_restore(spark, sf):
     return columns.restore(columns.dummify(df, ["c_mktsegment"], known), known).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with d as (select distinct c_mktsegment v from customer), s as (select c_custkey, d.v, (d.v = c_mktsegment)::int::double + 0.1::double w from customer, d),
+c as (select *, sum(w) over (partition by c_custkey order by v) cum, sum(w) over (partition by c_custkey) t from s) select c_custkey, min(v) as c_mktsegment from c where cum >= {u('c_custkey')} * t group by 1""")
 def p6_restore_wheel(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     known = columns.domains(df, ["c_mktsegment"])
@@ -103,9 +104,13 @@ def p14_a15_processor(spark, sf):
     return run.run(table(spark, sf, "orders"), "totals", F.col("o_totalprice") > 100000, ["o_orderstatus", "o_totalprice"])
 
 
-@query("select ceil(0.25 * count(*))::long as n from customer")
+@query(f"""with k as (select * from customer order by {u('c_custkey')}, c_custkey limit (select ceil(0.25 * count(*))::long from customer)),
+c as (unpivot (select c_custkey::varchar c_custkey, c_name, c_nationkey::varchar c_nationkey, c_acctbal::varchar c_acctbal, c_mktsegment from k) on c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment into name col value v),
+o as (select name, row_number() over (order by {u('i', seed=1)}) rn from (select unnest(range(5)) i, unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) name))
+select col, count(*) as n, count(distinct v) as kinds from c join o on o.name = c.col where rn <= 2 group by 1 having count(distinct v) > 1""")
 def p15_sample_subtable(spark, sf):
-    return columns.sample_subtable(table(spark, sf, "customer"), 0.25, ["c_custkey"]).agg(F.count("*").alias("n"))
+    out = columns.sample_subtable(table(spark, sf, "customer"), 0.25, ["c_custkey"])
+    return unpivot(out, [], out.columns).groupBy("col").agg(F.count("*").alias("n"), F.count_distinct("value").alias("kinds"))
 
 
 _PART = ["p_brand", "p_type", "p_size"]
@@ -149,21 +154,35 @@ def d6_differing(spark, sf):
     return out.select("p_partkey", F.concat_ws(",", "differs").alias("differs"))
 
 
-@query()
+def _cover_sql(gain: str, last: str, cost: str) -> str:
+    """Greedy cover: picks in order, by gain over what is left."""
+    return f"""with recursive s as (select l_suppkey id, {cost} cost, list(distinct l_partkey % 400) e from lineitem group by 1), t as (select count(distinct l_partkey % 400) n from lineitem),
+g as (select 0 as pick, -1::bigint as id, []::bigint[] as covered union all select pick + 1, nid, list_distinct(list_concat(covered, e)) from (select g.pick, g.covered, s.id nid, s.e, row_number() over (partition by g.pick order by {gain} desc, s.id {last}) rn
+from g, s where len(g.covered) < (select n from t)) where rn = 1) select (pick - 1)::int as pick, id as set_id from g where pick > 0"""
+
+
+_LEFT = "len(list_filter(s.e, lambda v: not list_contains(g.covered, v)))"
+
+
+def _parts_of_suppliers(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.pmod("l_partkey", F.lit(400)).alias("element"))
+
+
+@query(_cover_sql(_LEFT, "asc", "1.0"))
 def d7_greedy_cover(spark, sf):
-    sets = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.pmod("l_partkey", F.lit(400)).alias("element"))
-    ids = discern.greedy_cover(sets)
-    return spark.createDataFrame(list(enumerate(ids)), "pick int, set_id long")
+    return spark.createDataFrame(list(enumerate(discern.greedy_cover(_parts_of_suppliers(spark, sf)))), "pick int, set_id long")
 
 
-@query()
+@query(_cover_sql(f"{_LEFT} / s.cost", "desc", "1.0 + l_suppkey % 3"))
 def d8_greedy_cover_cost(spark, sf):
-    sets = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.pmod("l_partkey", F.lit(400)).alias("element"))
-    cost = {r[0]: 1.0 + r[0] % 3 for r in table(spark, sf, "supplier").select("s_suppkey").collect()}
+    sets = _parts_of_suppliers(spark, sf)
+    cost = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("set_id"), (1.0 + F.col("s_suppkey") % 3).alias("cost"))
     return spark.createDataFrame(list(enumerate(discern.greedy_cover(sets, cost=cost))), "pick int, set_id long")
 
 
-@query()
+@query("""with recursive s as (select l_suppkey id, list(distinct l_partkey) e from lineitem group by 1),
+g as (select 0 as pick, -1::bigint as id, []::bigint[] as taken, []::bigint[] as covered union all select pick + 1, nid, list_append(taken, nid), list_distinct(list_concat(covered, e)) from (select g.pick, g.taken, g.covered, s.id nid, s.e,
+row_number() over (partition by g.pick order by len(list_filter(s.e, lambda v: not list_contains(g.covered, v))), s.id) rn from g, s where g.pick < 3 and not list_contains(g.taken, s.id)) where rn = 1) select (pick - 1)::int as pick, id as set_id from g where pick > 0""")
 def d9_min_union(spark, sf):
     sets = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.col("l_partkey").alias("element"))
     return spark.createDataFrame(list(enumerate(discern.min_union(sets, 3))), "pick int, set_id long")
@@ -176,24 +195,51 @@ def _orders(spark, sf):
     return table(spark, sf, "orders").select("o_orderpriority", "o_orderstatus", F.month("o_orderdate").alias("month"), F.floor(F.col("o_totalprice") / 50000).cast("int").alias("bucket"))
 
 
-@query()
+_ATTRS = "select o_orderpriority y, o_orderstatus a1, month(o_orderdate)::int a2, floor(o_totalprice / 50000)::int a3 from orders"
+
+
+def keyed_sql(base: str) -> str:
+    """CTEs of base (y, a1, a2, a3): b, t (rows by attribute mask, values on it and y), g (the same without y)."""
+    key = "concat_ws('|', " + ", ".join(f"case when m & {1 << i} > 0 then a{i + 1}::varchar else '' end" for i in range(3)) + ")"
+    return f"b as ({base}), t as (select m, {key} k, y, count(*) n from b, (select unnest(range(8)) m) group by all), g as (select m, k, sum(n) n, sum(n * n) q from t group by all)"
+
+
+def _greedy_sql(base: str, goal: str, most: int, names: list[str], select: str) -> str:
+    """Attributes added by the pairs of different y that they tell apart, while there are fewer than the goal; select reads st and told."""
+    return f"""with recursive {keyed_sql(base)}, w as (select (sum(n) * sum(n) - sum(n * n)) / 2 v from (select count(*) n from b group by y)), told as (select m, (select v from w) - sum((n * n - q) / 2) v from g group by m),
+st as (select 0 as pick, 0 as mask, 0 as bit, 0::double as done union all select pick + 1, mask | nbit, nbit, nv from (select st.*, xor(told.m, st.mask) nbit, told.v::double nv, row_number() over (partition by st.pick order by told.v desc, told.m) rn
+from st, told where told.m & st.mask = st.mask and bit_count(xor(told.m, st.mask)) = 1 and st.pick < {most} and st.done < {goal}) where rn = 1 and nv > done),
+named as (select pick - 1 as pick, {names!r}[bit_count(bit - 1) + 1] attr, done from st where pick > 0) {select}"""
+
+
+@query(_greedy_sql(_ATTRS, "0.95 * (select v from told where m = 7)", 3, _ORDERS, "select pick::int as pick, attr from named"))
 def d10_min_attributes(spark, sf):
     return spark.createDataFrame(list(enumerate(discern.min_attributes(_orders(spark, sf), _ORDERS, "o_orderpriority", 0.95))), "pick int, attr string")
 
 
-@query()
+def by_row_sql(base: str, names: list[str], tau: float) -> str:
+    """CTEs up to fin: each distinct tuple (y, a1, a2, a3, n) with needed, its attribute list."""
+    return f"""{keyed_sql(base)}, u as (select row_number() over () id, * from (select y, a1, a2, a3, count(*) n from b group by all)),
+f as (select id, m, g.n - t.n agree from (select id, y, m, concat_ws('|', case when m & 1 > 0 then a1::varchar else '' end, case when m & 2 > 0 then a2::varchar else '' end, case when m & 4 > 0 then a3::varchar else '' end) k from u, (select unnest(range(8)) m)) x join t using (m, k, y) join g using (m, k)),
+rec as (select id, 0 as step, 0 as mask, ''::varchar as needed, x.agree as lft, x.agree - {tau} * (x.agree - z.agree) as goal from f x join f z using (id) where x.m = 0 and z.m = 7
+union all select id, step + 1, mask | nbit, needed || case when needed = '' then '' else ',' end || {names!r}[bit_count(nbit - 1) + 1], agree, goal from (select rec.*, xor(f.m, rec.mask) nbit, f.agree, row_number() over (partition by rec.id order by f.agree, f.m) rn
+from rec join f on f.id = rec.id and f.m & rec.mask = rec.mask and bit_count(xor(f.m, rec.mask)) = 1 where rec.lft > rec.goal) where rn = 1 and agree < lft),
+fin as (select u.*, l.needed from u join (select id, arg_max(needed, step) needed from rec group by 1) l using (id))"""
+
+
+@query(f"with recursive {by_row_sql(_ATTRS, _ORDERS, 0.9)} select y as o_orderpriority, a1 as o_orderstatus, a2 as month, a3 as bucket, n, needed from fin")
 def d11_min_attributes_by_row(spark, sf):
     out = discern.min_attributes_by_row(_orders(spark, sf), _ORDERS, "o_orderpriority", 0.9)
     return out.select("o_orderpriority", *_ORDERS, "n", F.concat_ws(",", "needed").alias("needed"))
 
 
-@query()
+@query(_greedy_sql(_ATTRS, "1e300", 2, _ORDERS, "select pick::int as pick, attr, ((select v from w) - (select max(done) from named))::long as lo from named"))
 def d12_k_attributes(spark, sf):
     picked, left = discern.k_attributes(_orders(spark, sf), _ORDERS, "o_orderpriority", 2)
     return spark.createDataFrame([(i, a, left) for i, a in enumerate(picked)], "pick int, attr string, lo long")
 
 
-@query()
+@query(_greedy_sql(_ATTRS, "0.9 * (select v from told where m = 7)", 3, _ORDERS, "select count(*)::int as k from named"))
 def d13_needed_attributes(spark, sf):
     return spark.createDataFrame([(discern.needed_attributes(_orders(spark, sf), _ORDERS, "o_orderpriority", 0.1),)], "k int")
 
@@ -203,15 +249,7 @@ def g1_contingency(spark, sf):
     return assoc.contingency(table(spark, sf, "part"), "p_brand", "p_size")
 
 
-def _pairs_sql(cols: list[str], tbl: str) -> str:
-    return " union all ".join(f"select '{x}' x, '{y}' y, {x}::varchar a, {y}::varchar b, count(*) n from {tbl} group by all" for i, x in enumerate(cols) for y in cols[i + 1 :])
-
-
-_MEASURES = f"""p as ({_pairs_sql(_PART, 'part')}),
-r as (select x, y, a, sum(n) r, 1 - sum(n * n) / (sum(n) * sum(n)) g from p group by all), c as (select x, y, b, sum(n) c, 1 - sum(n * n) / (sum(n) * sum(n)) g from p group by all),
-rr as (select x, y, sum(r) n, count(*) nx, avg(g) gy, 1 - sum(r * r) / (sum(r) * sum(r)) vx from r group by all), cc as (select x, y, count(*) ny, avg(g) gx, 1 - sum(c * c) / (sum(c) * sum(c)) vy from c group by all),
-q as (select x, y, sum(n * n / (r * c)) - 1 q from p join r using (x, y, a) join c using (x, y, b) group by all),
-m as (select x, y, n::long n, n * q chi2, nx, ny, gy, gx, vx, vy from q join rr using (x, y) join cc using (x, y))"""
+_MEASURES = measures_sql(_PART, "part")
 _HIST = """v as (""" + " union all ".join(f"select '{c}' col, {c}::varchar v, count(*) n from part group by all" for c in _PART) + """),
 h as (select col, row_number() over (partition by col order by n desc) k, n::double / max(n) over (partition by col) h from v), z as (select col, max(k) len from h group by 1),
 hd as (select x.col x, y.col y, sum(abs(coalesce(a.h, 0) - coalesce(b.h, 0))) / greatest(max(x.len), max(y.len)) hdiff from z x join z y on x.col < y.col, (select unnest(range(1, 2000)) k) s left join h a on a.col = x.col and a.k = s.k left join h b on b.col = y.col and b.k = s.k group by all)"""
@@ -223,10 +261,10 @@ def g2_measures(spark, sf):
     return out.select("x", "y", *(F.round(c, 6).alias(c) for c in ("phi", "cc", "v")))
 
 
-@query()
+@query(f"with {_MEASURES}, h as (select x, y, chi2, (nx - 1) * (ny - 1) / 2.0 a, chi2 / 2 h from m) select x, y, round(chi2, 6) as chi2, round(1 - {gamma_p('a', 'h', 6000)}, 6) as pp from h")
 def g3_pearson_p(spark, sf):
     out = assoc.association_edges(table(spark, sf, "part"), _PART, p_value=T.chi2_tail)
-    return out.select("x", "y", F.round("chi2", 6).alias("chi2"), F.round("pp", 9).alias("pp"))
+    return out.select("x", "y", F.round("chi2", 6).alias("chi2"), F.round("pp", 6).alias("pp"))
 
 
 @query(f"with {_MEASURES} select x, y, round((vy - gy) / vy, 6) pxy, round((vx - gx) / vx, 6) pyx from m")
@@ -240,7 +278,8 @@ def g5_histogram_difference(spark, sf):
     return assoc.histogram_difference(assoc.value_counts(table(spark, sf, "part"), _PART)).select("x", "y", F.round("hdiff", 6).alias("hdiff"))
 
 
-@query()
+@query(f"""with s as (select rep, p_brand, p_type, p_size from part, (select unnest(range(1, 101)) rep) qualify row_number() over (partition by rep order by {u('p_partkey', 'rep')}, p_partkey) <= 50), {measures_sql(_PART, 's', 'rep')}
+select x, y, round(median(sqrt(chi2 / n)), 6) as phi, round(median(case when least(nx, ny) > 1 then sqrt(chi2 / n / (least(nx, ny) - 1)) else 0 end), 6) as v from m group by all""")
 def g6_repeated_measures(spark, sf):
     df = table(spark, sf, "part").select("p_partkey", *_PART)
     out = assoc.repeated(df, lambda s, by: assoc.measures(assoc.pair_counts(s, _PART, by), by), 100, 50, ["p_partkey"], ["x", "y"])
@@ -265,7 +304,7 @@ def g10_directed_edges(spark, sf):
     return out.select("source", "target", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""with p as ({_pairs_sql(_PART, 'part')}), t as (select x, y, sum(n) t from p group by all),
+@query(f"""with {_MEASURES}, t as (select x, y, sum(n) t from p group by all),
 hx as (select x, y, -sum(m / t * log2(m / t)) h from (select x, y, a, sum(n) m from p group by all) join t using (x, y) group by all), hy as (select x, y, -sum(m / t * log2(m / t)) h from (select x, y, b, sum(n) m from p group by all) join t using (x, y) group by all),
 hxy as (select x, y, -sum(n / t * log2(n / t)) h from p join t using (x, y) group by all)
 select hx.x, hx.y, round(hx.h + hy.h - hxy.h, 6) gain, round((hx.h + hy.h - hxy.h) / hx.h, 6) gain_ratio from hx join hy using (x, y) join hxy using (x, y)""")
@@ -283,7 +322,9 @@ def t1_t2_densities(spark, sf):
     return _balance(spark, sf).select("c_custkey", F.round(T.dnorm(F.col("x")), 9).alias("d"), F.round(T.dlnorm(F.col("x")), 9).alias("dl"))
 
 
-@query()
+@query(f"""with c as (select c_custkey, c_acctbal::double / 5000 x from customer), d as (select c_custkey, x, greatest(x, 0) g, least(greatest(x / 2, 0), 1) b, case when x > 0 then ln(x) end l, atan(x / sqrt(7)) o from c)
+select c_custkey, round({pnorm('x')}, 9) as pnorm, round(case when x > 0 then {pnorm('l')} else 0 end, 9) as plnorm, round(6 * b * b * (1 - b) * (1 - b) + 4 * b * b * b * (1 - b) + b * b * b * b, 9) as pbeta,
+round(0.5 + (o + sin(o) * cos(o) * (1 + 2.0 / 3 * cos(o) * cos(o) + 8.0 / 15 * pow(cos(o), 4))) / pi(), 9) as pt, round({gamma_p('2.5', 'g')}, 9) as pgamma from d""")
 def t1_t5_cumulative(spark, sf):
     x = F.col("x")
     return _balance(spark, sf).select("c_custkey", F.round(T.pnorm(x), 9).alias("pnorm"), F.round(T.plnorm(x), 9).alias("plnorm"), F.round(T.pbeta(x / 2, 2.0, 3.0), 9).alias("pbeta"), F.round(T.pt(x, 7.0), 9).alias("pt"), F.round(T.pgamma(F.greatest(x, F.lit(0.0)), 2.5), 9).alias("pgamma"))
@@ -295,7 +336,9 @@ def t3_t5_densities(spark, sf):
     return _balance(spark, sf).select("c_custkey", F.round(T.dbeta(x / 2, 2.0, 3.0), 9).alias("dbeta"), F.round(T.dgamma(x, 2.0), 9).alias("dgamma"), F.round(T.dt(x, 4.0), 9).alias("dt"))
 
 
-@query()
+@query(f"""with recursive v as (select distinct c_custkey % 99 / 100.0 + 0.01 p from customer), z as (select 0 as k, p::double p, -10::double lo, 10::double hi from v
+union all select k + 1, p, case when below then (lo + hi) / 2 else lo end, case when below then hi else (lo + hi) / 2 end from (select *, {pnorm('((lo + hi) / 2)')} < p as below from z where k < 60))
+select c_custkey, round(hi, 6) as q from customer join (select * from z where k = 60) on abs(p - (c_custkey % 99 / 100.0 + 0.01)) < 1e-9""")
 def t6_quantile(spark, sf):
     p = F.pmod("c_custkey", F.lit(99)) / 100 + 0.01
     return _balance(spark, sf).select("c_custkey", F.round(T.quantile(p, T.norm_cdf, -10, 10), 6).alias("q"))

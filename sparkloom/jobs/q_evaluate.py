@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import distributions as T
-from sparkloom.jobs.catalog import query, table
+from sparkloom.jobs.catalog import gamma_p, pnorm, query, table, u
 from sparkloom.operators import evaluate, release, sampling
 
 
@@ -24,9 +24,34 @@ def e1_cindex(spark, sf):
     return out.select(F.round("cindex", 9).alias("cindex"), F.round("se", 9).alias("se"), F.round("seb", 9).alias("seb"), F.round("z", 6).alias("z"))
 
 
-@query()
+def _ci_sql(name: str, score: str) -> str:
+    """CTE name: c and se of a score in s."""
+    return f"""{name}g as (select {score} p, sum(y)::double ones, sum(1 - y)::double zeros from s group by 1), {name}r as (select *, sum(zeros) over (order by p) - zeros b0, sum(ones) over () - sum(ones) over (order by p) a1, sum(ones) over () n1, sum(zeros) over () n0 from {name}g),
+{name}q as (select sum(ones * (b0 + zeros / 2)) / (max(n0) * max(n1)) c, sum(zeros * (a1 * a1 + a1 * ones + ones * ones / 3)) / (max(n0) * max(n1) * max(n1)) q1, sum(ones * (b0 * b0 + b0 * zeros + zeros * zeros / 3)) / (max(n1) * max(n0) * max(n0)) q2, max(n0) n0, max(n1) n1 from {name}r),
+{name} as (select greatest(c, 1 - c) c, sqrt((c * (1 - c) + (n1 - 1) * (q1 - c * c) + (n0 - 1) * (q2 - c * c)) / (n0 * n1)) se from {name}q)"""
+
+
+def _rank(score: str) -> str:
+    return f"rank() over (partition by y order by {score}) + (count(*) over (partition by y, {score}) - 1) / 2.0"
+
+
+# the table's four entries around the pair of averages, each by summing the rule over a fine grid of x
+_HANLEY = f"""with s as (select l_quantity + l_orderkey % 17 a, l_quantity + l_partkey % 29 b, (l_quantity + l_suppkey % 31 > 40)::int y from lineitem), {_ci_sql('ca', 'a')}, {_ci_sql('cb', 'b')},
+k as (select avg(r) corr from (select corr(ra, rb) r from (select y, {_rank('a')} ra, {_rank('b')} rb from s) group by y)),
+spot as (select (corr - 0.02) / 0.02 fu, ((ca.c + cb.c) / 2 - 0.7) / 0.025 fv from k, ca, cb), cell as (select fu, fv, least(floor(fu), 43)::int i, least(floor(fv), 10)::int j from spot),
+corner as (select i + di i, j + dj j, 0.02 + 0.02 * (i + di) rho, 0.7 + 0.025 * (j + dj) area, (case when di = 1 then fu - i else i + 1 - fu end) * (case when dj = 1 then fv - j else j + 1 - fv end) share from cell, (select unnest([0, 0, 1, 1]) di, unnest([0, 1, 0, 1]) dj)),
+z as (select 0 as n, area, -10::double lo, 10::double hi from (select distinct area from corner) union all select n + 1, area, case when below then (lo + hi) / 2 else lo end, case when below then hi else (lo + hi) / 2 end from (select *, {pnorm('((lo + hi) / 2)')} < area as below from z where n < 50)),
+x as (select corner.*, sqrt(2) * hi mu, t, exp(-t * t / 2) / sqrt(2 * pi()) * 0.02 w from corner join (select * from z where n = 50) using (area), (select -6 + 0.02 * unnest(range(601)) t)),
+f as (select i, j, share, w, {pnorm('(mu + t)')} f, {pnorm('((mu + rho * t) / sqrt(2 - rho * rho))')} g from x),
+r as (select sum(share * v) r from (select i, j, any_value(share) share, round((sum(w * f * g) - sum(w * f) * sum(w * f)) / (sum(w * f * f) - sum(w * f) * sum(w * f)), 2) v from f group by i, j)),
+d as (select ca.c c1, cb.c c2, corr, r, (ca.c - cb.c) / sqrt(ca.se * ca.se + cb.se * cb.se - 2 * r * ca.se * cb.se) z from ca, cb, k, r)"""
+
+
+@query(f"{_HANLEY.replace('with s as', 'with recursive s as', 1)} select round(c1, 6) as c1, round(c2, 6) as c2, round(corr, 6) as corr, round(r, 6) as r, round(z, 5) as z, round(1 - {gamma_p('0.5', '(z * z / 2)', 6000)}, 6) as p from d")
 def e2_e3_hanley_test(spark, sf):
-    return evaluate.hanley_test(_scored(spark, sf), "n_chars", "spaces", "quality", "spearman", lambda z: 2 * T.pnorm(-F.abs(z)))
+    df = table(spark, sf, "lineitem").select((F.col("l_quantity") + F.col("l_orderkey") % 17).alias("a"), (F.col("l_quantity") + F.col("l_partkey") % 29).alias("b"), (F.col("l_quantity") + F.col("l_suppkey") % 31 > 40).cast("int").alias("y"))
+    out = evaluate.hanley_test(df, "a", "b", "y", "spearman", lambda z: 2 * T.pnorm(-F.abs(z)))
+    return out.select(*(F.round(c, 5 if c == "z" else 6).alias(c) for c in ("c1", "c2", "corr", "r", "z", "p")))
 
 
 @query("""with s as (select (n_chars > 1500) = (quality = 1) c1, (length(text) % 2 = 0) = (quality = 1) c2 from documents join labels using (doc_id)), n as (select count(*) filter (c1 and not c2) rw, count(*) filter (c2 and not c1) wr from s)
@@ -62,7 +87,7 @@ def e6_e7_logistic_cindex(spark, sf):
 def e8_e9_select_variables(spark, sf):
     df = evaluate.folds(_lines(spark, sf), 3, ["l_orderkey", "l_linenumber"]).cache()
     part = [df.filter(F.col("fold") == k).drop("fold") for k in range(3)]
-    got = evaluate.select_variables(*part, _FEATURES, "y", size=4, generations=1)
+    got = evaluate.select_variables(*part, _FEATURES, "y")
     return spark.createDataFrame([(",".join(got["variables"]), got["score"])], "variables string, score double")
 
 
@@ -72,15 +97,15 @@ def e10_cross_validation(spark, sf):
     return evaluate.cross_validate(_lines(spark, sf), models, lambda s: evaluate.cindex(s, "score", "y").first()["cindex"], 2, ["l_orderkey", "l_linenumber"])
 
 
-@query()
+@query(f"""with r as (select o_orderkey, o_totalprice::double w, sum(o_totalprice::double) over (order by o_orderkey) hi, sum(o_totalprice::double) over () t from orders where o_totalprice > 0),
+d as (select draw, {u('draw')} v from (select unnest(range(500)) draw)) select draw, o_orderkey from d join r on d.v * r.t > r.hi - r.w and d.v * r.t <= r.hi""")
 def q1_weighted_with_replacement(spark, sf):
     return sampling.weighted_with_replacement(table(spark, sf, "orders"), "o_orderkey", "o_totalprice", 500)
 
 
-@query("select least(200, count(*)) as n from orders where o_totalprice > 0")
+@query(f"select o_orderkey from orders where o_totalprice > 0 order by -ln({u('o_orderkey')}) / o_totalprice, o_orderkey limit 200")
 def q2_weighted_without_replacement(spark, sf):
-    out = sampling.weighted_without_replacement(table(spark, sf, "orders"), "o_orderkey", "o_totalprice", 200)
-    return out.select("o_orderkey").distinct().agg(F.count("*").alias("n"))
+    return sampling.weighted_without_replacement(table(spark, sf, "orders"), "o_orderkey", "o_totalprice", 200).select("o_orderkey")
 
 
 @query("""with r as (select o_orderkey, o_totalprice::double w, sum(o_totalprice::double) over (order by o_totalprice desc, o_orderkey) hi, sum(o_totalprice::double) over () / 1000 step from orders)
@@ -123,9 +148,14 @@ def q6_transition_counts(spark, sf):
     return sampling.transition_counts(_sequences(spark, sf)).select("source", "target", F.round("weight", 9).alias("weight"))
 
 
-@query(f"{_TRANS}, d as (select * from c where source is null or source <> target) select source, target, round(weight / sum(weight) over (partition by source), 9) as p from d")
+@query(f"""{_TRANS}, d as (select * from c where source is null or source <> target), o as (select source s, target t, 0.25 w from c where source is not null and source < target),
+b as (select coalesce(source, s) source, coalesce(target, t) target, 0.7 * coalesce(weight, 0) + 0.3 * coalesce(w, 0) weight from d full join o on source = s and target = t),
+f as (select source, target, case when source is not null and source > target and length(target) = 5 then 1e-12 else weight end weight from b) select source, target, round(weight / sum(weight) over (partition by source), 9) as p from f""")
 def q7_transition_matrix(spark, sf):
-    return sampling.transition_matrix(sampling.transition_counts(_sequences(spark, sf))).select("source", "target", F.round("p", 9).alias("p"))
+    counts = sampling.transition_counts(_sequences(spark, sf))
+    prior = counts.filter("source < target").select("source", "target", F.lit(0.25).alias("p"))
+    forbidden = counts.filter("source > target and length(target) = 5").select("source", "target")
+    return sampling.transition_matrix(counts, prior, 0.7, forbidden).select("source", "target", F.round("p", 9).alias("p"))
 
 
 @query("with s as (select user_id seq_id, event_id, ts, value from events), t as (select seq_id, value, lag(value) over (partition by seq_id order by ts, event_id) prev from s) select seq_id, sum(coalesce((prev <= value)::int, 0))::long as score from t group by 1")
@@ -142,7 +172,15 @@ def _masked(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 2000).cast("int").alias("band"))
 
 
-@query()
+_GONE = "concat_ws('|', " + ", ".join(f"case when m & {1 << i} = 0 then coalesce({c}::varchar, '-') else '' end" for i, c in enumerate(("c_nationkey", "c_mktsegment", "band"))) + ")"
+
+
+@query(f"""with recursive c as (select c_custkey, c_nationkey, c_mktsegment, floor(c_acctbal / 2000)::int band from customer), k as (select c.*, m, {_GONE} k from c, (select unnest(range(8)) m)),
+h as (select c_custkey, m, count(*) over (partition by m, k) - 1 hits from k),
+st as (select c_custkey, 0 as step, 0 as gone, hits from h where m = 0 union all select c_custkey, step + 1, nm, nh from (select st.c_custkey, st.step, h.m nm, h.hits nh, row_number() over (partition by st.c_custkey order by bit_count(xor(h.m, st.gone)), ((h.m & 1) * 4 + (h.m & 2) + (h.m & 4) / 4) desc) rn
+from st join h on h.c_custkey = st.c_custkey and h.m & st.gone = st.gone and h.hits > st.hits where st.hits < 5) where rn = 1), fin as (select c_custkey, arg_max(gone, step) g from st group by 1)
+select c_custkey, case when g & 1 = 0 then c_nationkey end as c_nationkey, case when g & 2 = 0 then c_mktsegment end as c_mktsegment, case when g & 4 = 0 then band end as band,
+concat_ws(',', case when g & 1 > 0 then 'c_nationkey' end, case when g & 2 > 0 then 'c_mktsegment' end, case when g & 4 > 0 then 'band' end) as suppressed from c join fin using (c_custkey)""")
 def a1_kambiguate(spark, sf):
     out = release.kambiguate(_masked(spark, sf), ["c_nationkey", "c_mktsegment", "band"], 5)
     return out.withColumn("suppressed", F.concat_ws(",", "suppressed"))
@@ -175,32 +213,49 @@ def a4_a7_noisy_count_pmf(spark, sf):
     return release.pmf_summary(pmf).select("event_type", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
 
 
-@query("select distinct event_type, 1::int as ok from events")
+@query(f"""with k as (select event_type, count(*) c from events group by 1), o as (select unnest(['neutral', 'over', 'under']) preset, unnest([1.0, 1.0, 3.0]) bp, unnest([1.0, 3.0, 1.0]) bn),
+w as (select preset, event_type, r, exp(1.0 / (2 * greatest(bp, bn)) * case when r >= least(c, 2000) then -bp * (r - least(c, 2000)) else -bn * (least(c, 2000) - r) end) w from k, o, (select unnest(range(2000)) r)),
+p as (select preset, event_type, r, sum(w) over (partition by preset, event_type order by r) / sum(w) over (partition by preset, event_type) cum from w)
+select preset, event_type, coalesce(min(case when cum >= {u('event_type', seed=3)} then r end), 1999)::int as released from p group by all""")
 def a8_a9_draw_release(spark, sf):
     out = None
     for name, p in sorted(release.PRESETS.items()):
         drawn = release.draw_release(release.release_pmf(_segments(spark, sf), "c", 1.0, bp=p["bp"], bn=p["bn"], rmin=0, rmax=2000), ["event_type"], seed=3)
-        part = drawn.select("event_type", F.col("released").between(0, 1999).cast("int").alias("ok"))
+        part = drawn.select(F.lit(name).alias("preset"), "event_type", "released")
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("event_type").agg(F.min("ok").alias("ok"))
+    return out
 
 
-@query()
+_UNIT = "least(floor(({0} - (select min({0}) from c0)) / ((select max({0}) from c0) - (select min({0}) from c0))::double * 5), 4)::int"
+_COARSE = f"""c0 as (select c_nationkey, floor(c_acctbal / 2000)::int band, c_mktsegment from customer), c as (select {_UNIT.format('c_nationkey')} a1, {_UNIT.format('band')} a2, c_mktsegment from c0), t as (select count(*) n, greatest(0.5, ln(10) / ln(count(*)) / {{0}}) gamma from c)"""
+
+
+def _noisy(cells: str, keys: list[str]) -> str:
+    """CTE h: cells (keys, n) with noise on each count, those over the threshold."""
+    return f"""l as (select *, {u(*keys, seed=1)} - 0.5 v from {cells}), z as (select l.*, l.n - 1 / (t.gamma * 2.0) * sign(v) * ln(1 - 2 * abs(v)) noisy, 0.5 * ln(t.n) / 2.0 least from l, t), h as (select *, round(noisy)::long as "count" from z where noisy > least)"""
+
+
+@query(f"""with {_COARSE.format(3)}, d as (select * from (select distinct a1 from c), (select distinct a2 from c), (select distinct c_mktsegment from c)), e as (select d.*, (select count(*) from c where c.a1 = d.a1 and c.a2 = d.a2 and c.c_mktsegment = d.c_mktsegment) n from d),
+{_noisy('e', ['a1', 'a2', 'c_mktsegment'])} select a1 as c_nationkey, a2 as band, c_mktsegment, "count" from h""")
 def a10_a12_projected_histogram(spark, sf):
     return release.projected_histogram(_masked(spark, sf).select("c_nationkey", "band", "c_mktsegment"), ["c_nationkey", "band"], "c_mktsegment", 2.0)
 
 
-@query()
+_TOLD = "(select (select (sum(n) * sum(n) - sum(n * n)) / 2 from (select count(*) n from c group by c_mktsegment)) - sum((k - q) / 2) from (select {0}, sum(n) * sum(n) k, sum(n * n) q from (select {0}, c_mktsegment, count(*) n from c group by all) group by 1))"
+
+
+@query(f"""with {_COARSE.format(2)}, g as (select {_TOLD.format('a1')} x1, {_TOLD.format('a2')} x2 from t), s as (select (1 - gamma) * 2.0 * x1 / (2 * (n - 1)) - ln(-ln({u("'c_nationkey'", "0")})) s1, (1 - gamma) * 2.0 * x2 / (2 * (n - 1)) - ln(-ln({u("'band'", "0")})) s2 from g, t),
+k as (select case when s1 >= s2 then a1 else a2 end as cell, c_mktsegment from c, s), d as (select * from (select distinct cell from k), (select distinct c_mktsegment from k)), e as (select d.*, (select count(*) from k where k.cell = d.cell and k.c_mktsegment = d.c_mktsegment) n from d),
+{_noisy('e', ['cell', 'c_mktsegment'])} select cell, c_mktsegment, unnest(range(1, "count" + 1)) as copy from h where "count" > 0""")
 def a10_expanded_rows(spark, sf):
     hist = release.projected_histogram(_masked(spark, sf).select("c_nationkey", "band", "c_mktsegment"), ["c_nationkey", "band"], "c_mktsegment", 2.0, k=1)
-    return release.expand(hist)
+    return release.expand(hist).toDF("cell", "c_mktsegment", "copy")
 
 
-@query("select count(*) as n, 1 as inside from customer")
+@query(f"with d as (select min(g) d from (select n - lag(n) over (order by n) g from (select distinct c_nationkey::double n from customer))) select c_custkey, round(c_nationkey + (2 * {u('c_custkey')} - 1) * d / 5, 9) as x from customer, d")
 def a13_jitter(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("x"))
-    out = release.jitter(df.withColumn("was", F.col("x")), "x", 1.0, ["c_custkey"])
-    return out.agg(F.count("*").alias("n"), F.min((F.abs(F.col("x") - F.col("was")) <= 0.2).cast("int")).alias("inside"))
+    return release.jitter(df, "x", 1.0, ["c_custkey"]).select("c_custkey", F.round("x", 9).alias("x"))
 
 
 @query()

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from sparkloom.jobs.catalog import query, table
-from sparkloom.operators import assoc, columns, fuzzy, matching, rules
-from sparkloom.operators.helpers import materialize
+from sparkloom.jobs.catalog import measures_sql, query, table
+from sparkloom.jobs.q_columns import by_row_sql
+from sparkloom.operators import assoc, fuzzy, matching, rules
+from sparkloom.operators.helpers import materialize, step_path, unpivot
 from sparkloom.sources import arff, text_tables
 
 _ATTRS = ["o_orderstatus", "month", "band"]
@@ -46,7 +44,11 @@ def r2_stratified_split(spark, sf):
     return out.filter("held").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query()
+_TUPLES = "select o_orderpriority y, o_orderstatus a1, month(o_orderdate)::varchar a2, floor(o_totalprice / 100000)::long::varchar a3 from orders"
+
+
+@query(f"""with recursive {by_row_sql(_TUPLES, _ATTRS, 0.9)}, l as (select *, string_split(needed, ',') w from fin where needed <> '')
+select distinct y as outcome, concat_ws(' & ', case when list_contains(w, 'band') then 'band=' || a3 end, case when list_contains(w, 'month') then 'month=' || a2 end, case when list_contains(w, 'o_orderstatus') then 'o_orderstatus=' || a1 end) || ' => class=' || y as rule from l""")
 def r3_r4_induce_rules(spark, sf):
     return rules.format_rules(rules.induce_rules(_orders(spark, sf), _ATTRS, "o_orderpriority", 0.9))
 
@@ -64,10 +66,16 @@ _CLASSIFY = f"""with {_FULL}, hits as (select o_orderkey, one.p outcome, 1.0 str
 sums as (select o_orderkey, outcome, sum(strength) strength from hits group by all), n as (select *, strength / sum(strength) over (partition by o_orderkey) v from sums)"""
 
 
-@query(f"{_CLASSIFY} select o_orderkey, outcome, round(v, 9) as strength from n")
+# rules of one status and two bands only: the other points match in part or not at all
+@query(f"""with {_FULL}, fewer as (select * from one where s = 'F' and b in ('0', '1')), met as (select o_orderkey, p, (pt.s = f.s)::int + (pt.b = f.b)::int hit from pt join fewer f on pt.s = f.s or pt.b = f.b),
+per as (select o_orderkey, p as outcome, sum((hit = 2)::int::double) f, sum(1 / (1 + pow(2 - hit, 2))) h from met group by all), best as (select *, max(f) over (partition by o_orderkey) mf from per),
+got as (select o_orderkey, outcome, case when mf > 0 then f else h end v from best where case when mf > 0 then f else h end > 0),
+every as (select * from got union all select o_orderkey, outcome, prior from pt anti join got using (o_orderkey), (select o_orderpriority as outcome, count(*)::double / (select count(*) from orders) prior from orders group by 1))
+select o_orderkey, outcome, round(v / sum(v) over (partition by o_orderkey), 9) as strength from every""")
 def r6_r7_classify(spark, sf):
     df = _orders(spark, sf)
-    scored = rules.strengths(rules.apply_rules(df, _rules(spark, sf), "o_orderkey", _ATTRS), "o_orderkey")
+    fewer = _rules(spark, sf).filter("antecedent['o_orderstatus'] = 'F' and antecedent['band'] in ('0', '1')")
+    scored = rules.strengths(rules.apply_rules(df, fewer, "o_orderkey", _ATTRS), "o_orderkey")
     out = rules.classify(df, scored, rules.class_priors(df, "o_orderpriority"), "o_orderkey")
     return out.select("o_orderkey", "outcome", F.round("strength", 9).alias("strength"))
 
@@ -88,14 +96,28 @@ def r9_vote(spark, sf):
     return out.agg(F.sum("1-URGENT").alias("urgent"), F.sum("5-LOW").alias("low"))
 
 
-@query()
+# rules with their text, points collapsed to (status, band, priority), and the rules that hold for each
+_HITS = f"""{_RULE_ROWS}, ru as (select 'band=' || b || ' & o_orderstatus=' || s as ante, s, b, p from one union all select 'band=' || b, null, b, p from two), rn as (select *, ante || ' => ' || p as name from ru),
+pc as (select row_number() over () c, * from (select o_orderstatus s, floor(o_totalprice / 100000)::long::varchar b, o_orderpriority y, count(*) n from orders group by all)),
+hit as (select c, name, p, n, case when p = y then 1 else -1 end sign from pc join rn on rn.b = pc.b and (rn.s is null or rn.s = pc.s))"""
+
+
+@query(f"""with recursive {_HITS}, good as (select name, list(c) e from hit where sign = 1 group by 1), t as (select count(distinct c) n from hit where sign = 1),
+g as (select 0 as step, ''::varchar as name, []::bigint[] as covered union all select step + 1, nn, list_distinct(list_concat(covered, e)) from (select g.step, g.covered, x.name nn, x.e, row_number() over (partition by g.step order by x.gain desc, x.name) rn
+from g, lateral (select good.name, good.e, (select coalesce(sum(pc.n), 0) from pc where list_contains(good.e, pc.c) and not list_contains(g.covered, pc.c)) gain from good) x where len(g.covered) < (select n from t)) where rn = 1)
+select p as outcome, ante || ' => class=' || p as rule from rn where name in (select name from g)""")
 def r10_filter_rules(spark, sf):
     df, r = _orders(spark, sf), materialize(_rules(spark, sf))
     scored = materialize(rules.strengths(rules.apply_rules(df, r, "o_orderkey", _ATTRS), "o_orderkey"))
     return rules.format_rules(rules.filter_rules(r, scored, df, "o_orderkey", "o_orderpriority"))
 
 
-@query()
+@query(f"""with recursive {_HITS}, sz as (select p, count(*) k, (select count(*) from rn) total from rn group by 1), qu as (select p, ceil(10.0 * (total - k)) q from sz),
+g as (select 0 as step, []::varchar[] as picks, (select list(c) from (select c from hit group by c having sum(sign) > 0)) as lft, (select list(p) from qu where q > 0) as op
+union all select step + 1, list_append(picks, nn), coalesce((select list(c) from (select c from hit where list_contains(lft, c) group by c having sum(case when list_contains(picks, name) or name = nn then sign else 0 end) <= 0)), []), list_filter(op, lambda v: v <> np)
+from (select g.step, g.picks, g.lft, g.op, x.name nn, x.p np, row_number() over (partition by g.step order by x.gain desc, x.name desc) rn from g, lateral (select rn.name, rn.p, (select coalesce(sum(hit.n * hit.sign), 0) from hit where hit.name = rn.name and list_contains(g.lft, hit.c))
++ case when list_contains(g.op, rn.p) then (select q from qu where qu.p = rn.p) else 0 end gain from rn) x where not list_contains(g.picks, x.name) and x.gain >= 0 and (len(g.op) > 0 or len(g.lft) > 0)) where rn = 1)
+select p as outcome, ante || ' => class=' || p as rule from rn where list_contains((select arg_max(picks, step) from g), name)""")
 def r11_filter_rules_weighted(spark, sf):
     df, r = _orders(spark, sf), materialize(_rules(spark, sf))
     scored = materialize(rules.strengths(rules.apply_rules(df, r, "o_orderkey", _ATTRS), "o_orderkey"))
@@ -116,7 +138,7 @@ def r13_fuzzy_classifier(spark, sf):
     df = _lines(spark, sf)
     model = rules.fit_fuzzy_classifier(df, ["l_quantity", "l_discount"], "l_returnflag", 3)
     out = rules.apply_fuzzy_classifier(model, df, "id")
-    return out.agg(F.count("*").alias("n"), *(F.round(F.sum(c), 4).alias(c) for c in model["classes"]))
+    return out.agg(F.count("*").alias("points"), *(F.round(F.sum(c), 4).alias(c) for c in model["classes"]))
 
 
 @query()
@@ -164,7 +186,12 @@ def _graph(spark, sf):
     return materialize(assoc.association_edges(df, _COLS).select("x", "y", "weight")), materialize(assoc.vertex_histograms(df, _COLS).select("name", "value"))
 
 
-@query()
+_GRAPH = f"""o as (select o_orderstatus, o_orderpriority, month(o_orderdate)::varchar as month, floor(o_totalprice / 100000)::long::varchar as band from orders), {measures_sql(_COLS, 'o')},
+ve as (select name, (1 - sum(f * f)) / 2 v from ({' union all '.join(f"select '{c}' as name, count(*)::double / sum(count(*)) over () f from o group by {c}" for c in _COLS)}) group by 1),
+e1 as (select x, y, sqrt(chi2 / n) w from m), ed as (select * from e1 union all select y, x, w from e1), sim as (select a.name x, b.name y, 1 - abs(a.v - b.v) sim from ve a, ve b)"""
+
+
+@query(f"with {_GRAPH} select x, y, round(sim, 9) as sim from sim")
 def m1_vertex_similarity(spark, sf):
     _, v = _graph(spark, sf)
     return matching.vertex_similarity(v, v).withColumn("sim", F.round("sim", 9))
@@ -173,21 +200,29 @@ def m1_vertex_similarity(spark, sf):
 _TREES = [[("band", -1), ("o_orderstatus", 0), ("month", 0)], [("month", -1), ("o_orderpriority", 0)]]
 
 
-@query()
+# both trees by joins: their best mappings, a row for each pair they map
+_MATCH = f"""{_GRAPH}, t3 as (select a.y p0, b.y p1, c.y p2, a.sim + b.sim + c.sim + 2 - abs((select w from ed where x = 'band' and y = 'o_orderstatus') - f.w) - abs((select w from ed where x = 'band' and y = 'month') - g.w) score
+from sim a join ed f on f.x = a.y join ed g on g.x = a.y join sim b on b.y = f.y join sim c on c.y = g.y where a.x = 'band' and b.x = 'o_orderstatus' and c.x = 'month' and f.y <> g.y),
+t2 as (select a.y p0, b.y p1, a.sim + b.sim + 1 - abs((select w from ed where x = 'month' and y = 'o_orderpriority') - f.w) score from sim a join ed f on f.x = a.y join sim b on b.y = f.y where a.x = 'month' and b.x = 'o_orderpriority'),
+b3 as (select * from t3 where score >= (select max(score) from t3) - 1e-9), b2 as (select * from t2 where score >= (select max(score) from t2) - 1e-9)"""
+
+
+@query(f"""with {_MATCH} select a, b, round(sum(score), 9) as weight from (select 'band' a, p0 b, score from b3 union all select 'o_orderstatus', p1, score from b3 union all select 'month', p2, score from b3
+union all select 'month', p0, score from b2 union all select 'o_orderpriority', p1, score from b2) group by all""")
 def m2_m4_graph_match(spark, sf):
     e, v = _graph(spark, sf)
     sim = materialize(matching.vertex_similarity(v, v))
     return matching.graph_match(_TREES, lambda t: matching.match_colored(t, e, e, sim)).withColumn("weight", F.round("weight", 9))
 
 
-@query()
+@query(f"with {_MATCH} select concat_ws(',', p0, p1, p2) as path, round(score, 9) as score from b3")
 def m3_match_exact(spark, sf):
     e, v = _graph(spark, sf)
     out = matching.match_exact(_TREES[0], e, e, materialize(matching.vertex_similarity(v, v)))
     return out.select(F.concat_ws(",", "path").alias("path"), F.round("score", 9).alias("score"))
 
 
-@query()
+@query(f"with {_GRAPH} select x, string_agg(y, ',' order by y) as neighbours from ed where w <> 0 group by 1")
 def m5_neighbours(spark, sf):
     return matching.neighbours(_graph(spark, sf)[0]).select("x", F.concat_ws(",", "neighbours").alias("neighbours"))
 
@@ -206,9 +241,14 @@ def m6_value_graph(spark, sf):
     return matching.init_value_graph(*_renamed(spark, sf), _VCOLS).withColumn("w", F.round("w", 9))
 
 
-@query("select 'o_orderstatus' as col, o_orderstatus as b from orders group by 2 union all select 'o_orderpriority', o_orderpriority from orders group by 2 union all select 'band', floor(o_totalprice / 100000)::long::varchar from orders group by 2")
+# a column's own values have a map of weight 1 each, so the best one is the one that loses nothing; equal frequencies may swap
+@query("""with w as (select 'o_orderstatus' col, o_orderstatus v, count(*) n from orders group by 2 union all select 'o_orderpriority', o_orderpriority, count(*) from orders group by 2 union all select 'band', floor(o_totalprice / 100000)::long::varchar, count(*) from orders group by 2)
+select x.col, x.n as a_rows, y.n as b_rows, count(*) as pairs from w x join w y on x.col = y.col and x.v = y.v group by all""")
 def m7_value_map(spark, sf):
-    return matching.best_value_map(matching.init_value_graph(*_renamed(spark, sf), _VCOLS)).select("col", "b")
+    v, w = _renamed(spark, sf)
+    maps = materialize(matching.best_value_map(matching.init_value_graph(v, w, _VCOLS)))
+    count = lambda df, side: unpivot(df, [], _VCOLS).groupBy(F.col("col"), F.col("value").alias(side)).agg(F.count("*").alias(f"{side}_rows"))
+    return maps.join(count(v, "a"), ["col", "a"]).join(count(w, "b"), ["col", "b"]).groupBy("col", "a_rows", "b_rows").agg(F.count("*").alias("pairs"))
 
 
 @query("select o_orderstatus, count(*) as n from orders group by 1")
@@ -221,48 +261,57 @@ def m8_translate(spark, sf):
 @query()
 def m9_m12_recover_values(spark, sf):
     v, w = _renamed(spark, sf)
-    found = matching.recover_values(v, w, _VCOLS, "o_orderkey", times=1)
+    found = matching.recover_values(v, w, _VCOLS, "o_orderkey")
     right = found.select(F.lit("all").alias("setting"), F.col("col").alias("run"), (F.col("a") == F.concat(F.lit("v_"), F.col("b"))).alias("right"))
     return matching.mapping_report(right)
 
 
-def _path(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("select p_partkey, p_size, p_brand from part")
 def s1_s2_text_table(spark, sf):
-    text_tables.write_table(table(spark, sf, "part").select("p_partkey", "p_size", "p_brand").coalesce(1), path := _path(spark))
+    text_tables.write_table(table(spark, sf, "part").select("p_partkey", "p_size", "p_brand"), path := step_path(spark))
     return text_tables.read_table(spark, path)
 
 
-@query("select c_custkey::double as c_custkey, c_mktsegment, c_nationkey::double as c_nationkey from customer")
+@query("""select c_custkey::double as c_custkey, case when c_custkey % 7 = 0 then null else c_mktsegment end as c_mktsegment, c_nationkey::double as c_nationkey, timestamp '2020-01-01 00:00:00' + to_seconds(c_custkey) as seen, false as sparse from customer
+union all select c_custkey::double, case when c_custkey % 7 = 0 then null else c_mktsegment end, c_nationkey::double, timestamp '2020-01-01 00:00:00' + to_seconds(c_custkey), true from customer""")
 def s3_s4_arff(spark, sf):
-    arff.write_arff(table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), path := _path(spark), "customers", comment="written and read back")
-    return arff.read_arff(spark, path)[3]
+    seen = F.timestamp_seconds(F.col("c_custkey") + 1577836800)
+    segment = F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment"))
+    df = table(spark, sf, "customer").select("c_custkey", segment.alias("c_mktsegment"), "c_nationkey", seen.alias("seen"))
+    out = None
+    for sparse in (False, True):
+        arff.write_arff(df, path := step_path(spark), "customers", sparse, "written and read back")
+        part = arff.read_arff(spark, path)[3].withColumn("sparse", F.lit(sparse))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("with n as (select row_number() over (order by p_partkey) - 1 as i, p_size, p_retailprice::double r from part) select i::int as i, 0 as j, p_size::double as w from n union all select i::int, 1, r from n")
 def s5_matrix(spark, sf):
-    df = table(spark, sf, "part").coalesce(1).orderBy("p_partkey").select("p_size", F.col("p_retailprice").cast("double").alias("r"))
-    df.write.csv(path := _path(spark))
+    df = table(spark, sf, "part").orderBy("p_partkey").select("p_size", F.col("p_retailprice").cast("double").alias("r"))
+    df.write.csv(path := step_path(spark))
     return text_tables.read_matrix(spark, path)
 
 
-@query()
+def _pivoted(select: str) -> str:
+    return ", ".join(f"round(coalesce(max(case when {select} = '{c}' then w end), 0), 9) as {c}" for c in sorted(_COLS))
+
+
+@query(f"with {_GRAPH} select x, {_pivoted('y')} from ed group by 1")
 def s6_adjacency(spark, sf):
-    return text_tables.adjacency(_graph(spark, sf)[0])
+    return text_tables.adjacency(_graph(spark, sf)[0]).select("x", *(F.round(c, 9).alias(c) for c in sorted(_COLS)))
 
 
-@query("select c_mktsegment as name, round(count(*)::double / (select count(*) from customer), 9) as value from customer group by 1")
+@query("with v as (select c_mktsegment as name, round(count(*)::double / (select count(*) from customer), 9) as value from customer group by 1) select 'vertex' as part, name as x, name as y, value from v union all select 'edge', name, 'to ' || name, 2 * value from v")
 def s7_graph_tables(spark, sf):
     v = matching.frequencies(table(spark, sf, "customer"), ["c_mktsegment"]).select(F.col("value").alias("name"), F.round("f", 9).alias("value"))
-    text_tables.write_graph(v, v.select(F.col("name").alias("x"), F.col("name").alias("y"), F.col("value").alias("weight")), path := _path(spark))
-    return text_tables.read_graph(spark, path)[0]
+    text_tables.write_graph(v, v.select(F.col("name").alias("x"), F.concat(F.lit("to "), "name").alias("y"), (2 * F.col("value")).alias("weight")), path := step_path(spark))
+    v, e = text_tables.read_graph(spark, path)
+    return v.select(F.lit("vertex").alias("part"), F.col("name").alias("x"), F.col("name").alias("y"), "value").unionByName(e.select(F.lit("edge").alias("part"), "x", "y", F.col("weight").alias("value")))
 
 
-@query()
+@query(f"""with {_GRAPH} select 0 as "row", {", ".join(f"round(max(case when name = '{c}' then v end), 9) as {c}" for c in sorted(_COLS))} from ve
+union all select list_position({sorted(_COLS)!r}, x)::int, {_pivoted('y')} from ed group by x""")
 def s8_graph_matrix(spark, sf):
     e, v = _graph(spark, sf)
-    return text_tables.graph_matrix(v, e)
+    return text_tables.graph_matrix(v, e).select("row", *(F.round(c, 9).alias(c) for c in sorted(_COLS)))

@@ -93,9 +93,9 @@ def average_ranks(df: DataFrame, col: str, by: str, out: str) -> DataFrame:
     """
     n = df.groupBy(F.col(by).alias("__by"), F.col(col).alias("__v")).agg(F.count("*").alias("__n"))
     run = materialize(global_cumsum(n, [F.col("__by"), F.col("__v")], {"__to": F.col("__n")}))
-    first = run.groupBy("__by").agg(F.min(F.col("__to") - F.col("__n")).alias("__base"))
+    first = run.groupBy(F.col("__by").alias("__of")).agg(F.min(F.col("__to") - F.col("__n")).alias("__base"))
     rank = F.col("__to") - F.col("__base") - (F.col("__n") - 1) / 2
-    ranks = run.join(first, run["__by"].eqNullSafe(first["__by"])).select(run["__by"], "__v", rank.alias(out))
+    ranks = run.join(first, F.col("__by").eqNullSafe(F.col("__of"))).select("__by", "__v", rank.alias(out))
     return df.join(ranks, F.col(by).eqNullSafe(F.col("__by")) & F.col(col).eqNullSafe(F.col("__v"))).drop("__by", "__v")
 
 
