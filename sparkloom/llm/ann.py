@@ -72,7 +72,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
 
 
 def _vectors(col: pa.Array, n: int) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, -1)
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
 def _encode_rows(shared):
@@ -80,7 +80,7 @@ def _encode_rows(shared):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                codes, scale = encode(_vectors(part.column(1), part.num_rows), shared.value)
+                codes, scale = encode(_vectors(part.column(1), part.num_rows).astype(np.float32), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)], ["vec_id", "v", "code", "scale"])
 
     return run
@@ -109,7 +109,7 @@ class _Block:
         self.scale = t.column("scale").to_numpy()
 
     def search(self, qids: np.ndarray, q: np.ndarray, k: int, short: int) -> pa.RecordBatch:
-        table = np.einsum("qd,mkd->mqk", q, self.books, optimize=True)
+        table = np.einsum("qd,mkd->mqk", q.astype(np.float32), self.books, optimize=True)
         score = np.zeros((len(q), len(self.ids)), np.float32)
         for m in range(len(self.books)):
             score += table[m][:, self.codes[:, m]]
@@ -158,7 +158,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     an empty result.
     """
     spark = vectors.sparkSession
-    src = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
+    # exact scores are of the given numbers: floats stay floats, all else becomes doubles
+    kind = "float" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "double"
+    src = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     sizes = src.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -166,7 +168,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     sample = np.array([r[0] for r in src.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("v").collect()], np.float32)
     books = spark.sparkContext.broadcast(train(sample))
     blocks = int(sizes["count"] // BLOCK) + 1
-    coded = materialize(src.mapInArrow(_encode_rows(books), "vec_id long, v array<float>, code binary, scale float"))
+    coded = materialize(src.mapInArrow(_encode_rows(books), f"vec_id long, v array<{kind}>, code binary, scale float"))
     rows = coded.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), "vec_id", "v", "code", "scale")
     asked = coded.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "vec_id", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"))

@@ -426,6 +426,14 @@ def test_ann_against_brute_force(spark):
     assert len(few) == 4 and ann.search(df.limit(0), 20, 20).count() == 0
 
 
+def test_ann_scores_doubles_as_doubles(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(60, 8))
+    found = ann.search(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), 20, 5).collect()
+    assert len(found) == 15 and all(r.score == pytest.approx(float(v[r.query_id] @ v[r.vec_id]), abs=1e-13) for r in found)
+    assert [r.vec_id for r in sorted(found) if r.query_id == 20] == [i for i in np.argsort(-(v @ v[20]), kind="stable") if i != 20][:5]
+
+
 def test_shortlist_takes_first_of_equal():
     s = np.array([[1.0, 3, 2, 3, 2, 2], [0, 0, 0, 0, 0, 0]])
     assert ann.shortlist(s, 3).tolist() == [[1, 2, 3], [0, 1, 2]]
