@@ -15,8 +15,10 @@ a document with a smaller id.  Windows are judged on the input.
    into shards of bounded size.  A task builds a suffix automaton of its shard, each state carrying
    the smallest id that contains its strings, and streams the shard's texts through it: matching
    statistics give at each word the longest match, and the state of its last ``min_words`` words
-   tells the first document.  A shard over the bound is split in p parts and its texts in p slices,
-   and each slice meets each part.
+   tells the first document.  Texts of a shard over the bound (a common passage in many settings) are
+   cut finer: by the anchors of ``_FINER`` words inside, a few windows a piece.  Equal windows have equal
+   finer anchors too, so they meet once more, in one of many shards.  Should one finer anchor still be over the
+   bound, its shard is split in p parts and its texts in p slices, and each slice meets each part.
 4. Maximal spans whose first document is smaller than the reader's own are removed.
 
 Shards go to the tasks that need them instead of to all executors, so nothing that grows with the
@@ -39,8 +41,8 @@ from sparkloom.llm import vec
 from sparkloom.llm.common import LAST_ID, materialize, partitions, small_or_shuffled
 
 MIN_WORDS = 13
-#: words of an anchor
-_ANCHOR = 5
+#: words of an anchor, and of one that cuts the texts of a shard over the bound
+_ANCHOR, _FINER = 5, 9
 #: words of distinct reference text in a shard, about, and at most before it is split
 SHARD_WORDS, SPLIT_WORDS = 100_000, 400_000
 _NONE, _OPEN = np.iinfo(np.int64).max, np.iinfo(np.int64).min
@@ -120,14 +122,14 @@ class SuffixAutomaton:
         return out
 
 
-def _anchors(buf: np.ndarray, off: np.ndarray, n: int):
+def _anchors(buf: np.ndarray, off: np.ndarray, n: int, size: int = _ANCHOR):
     """Of a block: word starts, ends, first words, rows of windows, starts of windows, anchor places, gram hashes."""
     ws, we, first = vec.words(buf, off)
     row = vec.row_of_word(first)
     if len(ws) < n:
         none = np.zeros(0, np.int64)
         return ws, we, first, none, none, none, np.zeros(0, np.uint64)
-    k = min(_ANCHOR, n)
+    k = min(size, n)
     gram = vec.gram_hashes(vec.word_hashes(buf, ws, we), k)
     at = np.flatnonzero(row[: len(row) - n + 1] == row[n - 1 :])
     place = at + sliding_window_view(gram, n - k + 1).argmin(1)[at]
@@ -238,6 +240,29 @@ def _segment_rows(n: int):
     return run
 
 
+def _finer_rows(n: int):
+    """Pieces of (owner, t1, t2, first_id, segment): runs of its windows with one finer anchor, which is the piece's owner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [batch.column(c).to_numpy() for c in range(4)]
+            buf, off = vec.text_buffer(batch.column(4))
+            for a, b in vec.blocks(off):
+                part = buf[off[a] : off[b]]
+                ws, we, first, row, at, place, gram = _anchors(part, off[a : b + 1] - off[a], n, _FINER)
+                if not len(at):
+                    continue
+                anchor = gram[place]
+                lo = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
+                hi = np.append(lo[1:], len(at)) - 1
+                raw, r = part.tobytes(), row[lo]
+                texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(ws[at[lo]].tolist(), we[at[hi] + n - 1].tolist())]
+                cols = [*(c[a + r] for c in of), anchor[lo].view(np.int64), (at[lo] - first[r]).astype(np.int32), (hi - lo + n).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(texts, pa.string())], ["of", "of1", "of2", "id", "owner", "start", "n", "segment"])
+
+    return run
+
+
 def _match_shard(n: int):
     """One shard (or part and slice of one): build the automaton, stream the texts, give runs of first ids."""
 
@@ -295,30 +320,50 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.select("id", (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("th"), "text")
 
 
-def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, spans array<struct<lo,hi>>) of the documents that lose words; hi is exclusive."""
-    src = _keyed(docs, id_col, text_col)
-    heavy = materialize(src.mapInArrow(_heavy_rows(min_words), "anchor long, owner long").groupBy("anchor").agg(F.min("owner").alias("owner")))
-    anchors = src.mapInArrow(_anchor_rows(min_words), "anchor long, id long, th long, pos int")
-    anchors = anchors.join(small_or_shuffled(heavy, heavy.count()), "anchor", "left").select("anchor", "id", "th", "pos", F.coalesce("owner", F.lit(int(_OPEN))).alias("owner"))
-    spread = F.when(F.col("owner") != int(_OPEN), F.pmod("id", F.lit(4096))).otherwise(F.lit(0))
-    met = anchors.repartition(partitions(docs.sparkSession), "anchor", spread).sortWithinPartitions("anchor", "id")
-    hits = met.mapInArrow(_owned_rows, "id long, th long, pos int, owner long").groupBy("id", "th").agg(F.collect_list(F.struct("pos", "owner")).alias("hits"))
-    segments = materialize(src.join(hits, ["id", "th"]).select("id", "th", "text", "hits").mapInArrow(_segment_rows(min_words), "id long, th long, owner long, start int, n int, segment string").withColumns({"t1": F.xxhash64("segment"), "t2": F.xxhash64("segment", F.lit(1))}))
+def _marked(segments: DataFrame) -> DataFrame:
+    return segments.withColumns({"t1": F.xxhash64("segment"), "t2": F.xxhash64("segment", F.lit(1))})
 
+
+def _shards(segments: DataFrame) -> DataFrame:
+    """Distinct texts (owner, t1, t2) with first_id, segment, n, their shard and its parts: 1 unless it is over the bound."""
     texts = segments.groupBy("owner", "t1", "t2").agg(F.min("id").alias("first_id"), F.first("segment").alias("segment"), F.first("n").alias("n"))
     total = segments.agg(F.sum("n")).first()[0] or 0
     shards = int(total // SHARD_WORDS) + 1
     texts = materialize(texts.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int")))
     sizes = texts.groupBy("shard").agg(F.greatest(F.ceil(F.sum(F.col("n").cast("long")) / SPLIT_WORDS), F.lit(1)).cast("int").alias("parts"))
-    sized = texts.join(small_or_shuffled(sizes, shards), "shard")
+    return texts.join(small_or_shuffled(sizes, shards), "shard")
+
+
+def _runs(sized: DataFrame, min_words: int) -> DataFrame:
+    """(owner, t1, t2, lo, hi, first_id): runs of windows of each text with the smallest id that has them."""
     mine, every = F.pmod("t1", F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
     role = lambda part, slice, builds, streams: F.struct(part.alias("part"), slice.alias("slice"), F.lit(builds).alias("builds"), F.lit(streams).alias("streams"))
     roles = F.when(F.col("parts") == 1, F.array(role(F.lit(0), F.lit(0), True, True))).otherwise(
         F.concat(F.transform(every, lambda i: role(mine, i, True, False)), F.transform(every, lambda i: role(i, mine, False, True)))
     )
     work = sized.withColumn("role", F.explode(roles)).select("shard", "role.*", "owner", "t1", "t2", "first_id", "segment")
-    runs = work.groupBy("shard", "part", "slice").applyInPandas(_match_shard(min_words), "owner long, t1 long, t2 long, lo int, hi int, first_id long")
+    return work.groupBy("shard", "part", "slice").applyInPandas(_match_shard(min_words), "owner long, t1 long, t2 long, lo int, hi int, first_id long")
+
+
+def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, spans array<struct<lo,hi>>) of the documents that lose words; hi is exclusive."""
+    src = _keyed(docs, id_col, text_col)
+    heavy = materialize(src.mapInArrow(_heavy_rows(min_words), "anchor long, owner long").groupBy("anchor").agg(F.min("owner").alias("owner")))
+    anchors = src.mapInArrow(_anchor_rows(min_words), "anchor long, id long, th long, pos int")
+    anchors = anchors.join(small_or_shuffled(heavy, heavy.count()), "anchor", "left").select("anchor", "id", "th", "pos", F.coalesce("owner", F.lit(int(_OPEN))).alias("owner"))
+    spread = F.when(F.col("owner") != int(_OPEN), F.pmod("id", F.lit(4096))).otherwise(F.lit(0))
+    met = anchors.repartition(partitions(docs.sparkSession), "anchor", spread).sortWithinPartitions("anchor", "id")
+    hits = met.mapInArrow(_owned_rows, "id long, th long, pos int, owner long").groupBy("id", "th").agg(F.collect_list(F.struct("pos", "owner")).alias("hits"))
+    segments = materialize(src.join(hits, ["id", "th"]).select("id", "th", "text", "hits").mapInArrow(_segment_rows(min_words), "id long, th long, owner long, start int, n int, segment string").transform(_marked))
+
+    sized = _shards(segments)
+    runs = _runs(sized.filter("parts = 1"), min_words)
+    over = sized.filter("parts > 1")
+    if over.limit(1).count():
+        names = "of long, of1 long, of2 long, id long, owner long, start int, n int, segment string"
+        finer = materialize(_marked(over.select("owner", "t1", "t2", "first_id", "segment").mapInArrow(_finer_rows(min_words), names)))
+        found = finer.select("of", "of1", "of2", "start", "owner", "t1", "t2").join(_runs(_shards(finer), min_words), ["owner", "t1", "t2"])
+        runs = runs.unionByName(found.select(F.col("of").alias("owner"), F.col("of1").alias("t1"), F.col("of2").alias("t2"), (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"), "first_id"))
     return (
         segments.select("id", "th", "start", "owner", "t1", "t2")
         .join(runs, ["owner", "t1", "t2"])

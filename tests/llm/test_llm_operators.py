@@ -89,6 +89,21 @@ def test_substring_dedup_splits_large_shards(docs, monkeypatch):
     assert by_key(got) == by_key(removed(ROWS, 5))
 
 
+def test_substring_dedup_common_passage_in_many_settings(spark, monkeypatch):
+    """One passage with settings shared by some documents each: its owner's shard is over the bound and cut finer."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage, before, after = ([" ".join(word() for _ in range(n)) for _ in range(m)] for n, m in ((16, 1), (6, 25), (9, 25)))
+    rows = [(i, f"{word()} {rng.choice(before)} {passage[0]} {rng.choice(after)} {word()}") for i in range(300)]
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 400)
+    monkeypatch.setattr(substring_dedup, "SPLIT_WORDS", 700)
+    parts, shards = [], substring_dedup._shards
+    monkeypatch.setattr(substring_dedup, "_shards", lambda s: parts.append(out := shards(s)) or out)
+    got = substring_dedup.remove_repeated(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert by_key(got) == by_key(removed(rows, 13))
+    assert len(parts) == 2 and parts[0].agg({"parts": "max"}).first()[0] > 2 and parts[1].agg({"parts": "max"}).first()[0] == 1
+
+
 def test_substring_dedup_stage(docs, none):
     out = substring_dedup.drop_repeated(docs)
     assert out.columns == docs.columns and out.count() == len(ROWS)
