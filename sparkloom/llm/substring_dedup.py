@@ -45,6 +45,10 @@ MIN_WORDS = 13
 _ANCHOR, _FINER = 5, 9
 #: words of distinct reference text in a shard, about, and at most before it is split
 SHARD_WORDS, SPLIT_WORDS = 100_000, 400_000
+#: rows of one text, and part of all rows, over which a text is hot: at most 100,000 texts are
+HOT_ROWS, HOT_SHARE = 256, 100_000
+#: parts that the rows of a hot text are dealt to
+SALT = 64
 _NONE, _OPEN = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 #: documents of a block of text from which an anchor counts as heavy
 HEAVY = 8
@@ -325,8 +329,8 @@ def _marked(segments: DataFrame) -> DataFrame:
 
 
 def _shards(segments: DataFrame) -> DataFrame:
-    """Distinct texts (owner, t1, t2) with first_id, segment, n, their shard and its parts: 1 unless it is over the bound."""
-    texts = segments.groupBy("owner", "t1", "t2").agg(F.min("id").alias("first_id"), F.first("segment").alias("segment"), F.first("n").alias("n"))
+    """Distinct texts (owner, t1, t2) with first_id, segment, n, rows that have it, their shard and its parts: 1 unless it is over the bound."""
+    texts = segments.groupBy("owner", "t1", "t2").agg(F.min("id").alias("first_id"), F.first("segment").alias("segment"), F.first("n").alias("n"), F.count("*").alias("rows"))
     total = segments.agg(F.sum("n")).first()[0] or 0
     shards = int(total // SHARD_WORDS) + 1
     texts = materialize(texts.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int")))
@@ -345,6 +349,18 @@ def _runs(sized: DataFrame, min_words: int) -> DataFrame:
     return work.groupBy("shard", "part", "slice").applyInPandas(_match_shard(min_words), "owner long, t1 long, t2 long, lo int, hi int, first_id long")
 
 
+def _with_runs(segments: DataFrame, sized: DataFrame, runs: DataFrame) -> DataFrame:
+    """segments joined with the runs of their texts; the rows of hot texts are dealt over parts, their runs copied to each."""
+    key = ["owner", "t1", "t2"]
+    total = sized.agg(F.sum("rows")).first()[0] or 0
+    hot = materialize(sized.filter(F.col("rows") > max(HOT_ROWS, total // HOT_SHARE)).select(*key, F.lit(True).alias("hot")))
+    # under HOT_SHARE rows by the filter
+    mark = lambda df: df.join(F.broadcast(hot), key, "left")
+    dealt = mark(segments).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(*segments.columns), F.lit(SALT)).cast("int")).otherwise(0)).drop("hot")
+    copied = mark(runs).withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    return dealt.join(copied, [*key, "salt"]).drop("salt")
+
+
 def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, spans array<struct<lo,hi>>) of the documents that lose words; hi is exclusive."""
     src = _keyed(docs, id_col, text_col)
@@ -362,11 +378,11 @@ def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     if over.limit(1).count():
         names = "of long, of1 long, of2 long, id long, owner long, start int, n int, segment string"
         finer = materialize(_marked(over.select("owner", "t1", "t2", "first_id", "segment").mapInArrow(_finer_rows(min_words), names)))
-        found = finer.select("of", "of1", "of2", "start", "owner", "t1", "t2").join(_runs(_shards(finer), min_words), ["owner", "t1", "t2"])
+        pieces = _shards(finer)
+        found = _with_runs(finer.select("of", "of1", "of2", "start", "owner", "t1", "t2"), pieces, _runs(pieces, min_words))
         runs = runs.unionByName(found.select(F.col("of").alias("owner"), F.col("of1").alias("t1"), F.col("of2").alias("t2"), (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"), "first_id"))
     return (
-        segments.select("id", "th", "start", "owner", "t1", "t2")
-        .join(runs, ["owner", "t1", "t2"])
+        _with_runs(segments.select("id", "th", "start", "owner", "t1", "t2"), sized, runs)
         .filter("first_id < id")
         .groupBy("id", "th")
         .agg(F.collect_set(F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + min_words).alias("hi"))).alias("spans"))
