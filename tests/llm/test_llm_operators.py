@@ -97,7 +97,6 @@ def test_substring_dedup_common_passage_in_many_settings(spark, monkeypatch):
     rows = [(i, f"{word()} {rng.choice(before)} {passage[0]} {rng.choice(after)} {word()}") for i in range(300)]
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 400)
     monkeypatch.setattr(substring_dedup, "SPLIT_WORDS", 700)
-    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 5)
     parts, shards = [], substring_dedup._shards
     monkeypatch.setattr(substring_dedup, "_shards", lambda s: parts.append(out := shards(s)) or out)
     got = substring_dedup.remove_repeated(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept").collect()
