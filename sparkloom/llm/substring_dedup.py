@@ -6,9 +6,10 @@ a document with a smaller id.  Windows are judged on the input.
 1. Anchors.  In each window the run of ``_ANCHOR`` words with the smallest hash is its anchor: equal
    windows have equal anchors, and neighbouring windows mostly share one, so about a fifth of the
    places is shuffled, once.  All places of an anchor that two documents have get one id, its
-   *owner*: the smallest that the sorted stream of its places begins with.  Anchors with
-   ``HEAVY`` documents in a single block of text are found beforehand; they get their owner from that
-   list, are spread over all tasks and never meet in one.
+   *owner*: the smallest that the sorted stream of its places begins with.  Anchors that ``HEAVY``
+   documents of every ``PROBE``-th one (by hash) have are found beforehand; they get their owner from
+   that list, are spread over all tasks and never meet in one.  The list only spreads work; results
+   don't hang on it.  Rows with one id and text are taken once.
 2. Segments.  Runs of windows whose anchors have one owner are cut out as texts.  All occurrences of
    a window have the same anchor, hence the same owner: they meet in one reference shard.
 3. Reference shards.  Distinct segment texts (a text carries its smallest id) are grouped by owner
@@ -46,8 +47,8 @@ _ANCHOR, _FINER = 5, 9
 #: words of distinct reference text in a shard, about, and at most before it is split
 SHARD_WORDS, SPLIT_WORDS = 100_000, 400_000
 _NONE, _OPEN = np.iinfo(np.int64).max, np.iinfo(np.int64).min
-#: documents of a block of text from which an anchor counts as heavy
-HEAVY = 8
+#: an anchor is heavy if it is found in HEAVY of the documents whose hash PROBE divides
+HEAVY, PROBE = 8, 64
 
 
 class SuffixAutomaton:
@@ -151,31 +152,6 @@ def _anchor_rows(n: int):
     return run
 
 
-def _heavy_rows(n: int):
-    """(anchor, smallest id) of the anchors that HEAVY rows of one block have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            buf, off = vec.text_buffer(batch.column(2))
-            for a, b in vec.blocks(off):
-                _, _, _, row, _, place, gram = _anchors(buf[off[a] : off[b]], off[a : b + 1] - off[a], n)
-                new = np.ones(len(place), bool)
-                new[1:] = place[1:] != place[:-1]
-                key, at = gram[place[new]], row[new]
-                order = np.lexsort((at, key))
-                key, at = key[order], at[order]
-                once = np.ones(len(key), bool)
-                once[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
-                key, at = key[once], ids[a + at[once]]
-                begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-                many = np.diff(np.append(begin, len(key))) >= HEAVY
-                least = np.minimum.reduceat(at, begin)[many] if len(key) else at
-                yield pa.RecordBatch.from_arrays([pa.array(key[begin[many]].view(np.int64)), pa.array(least)], ["anchor", "owner"])
-
-    return run
-
-
 def _owned_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, th, pos, owner) of shared anchors, from (anchor, id, th, pos, owner or _OPEN) sorted by anchor and id.
 
@@ -314,10 +290,19 @@ def _cut(n_schema_cols: int):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, th, text: (id, th) is a row's key. th tells texts of one id apart; 0 where no id comes twice, as it costs bytes."""
+    """id, th, text, each key (id, th) once. th tells texts of one id apart; 0 where no id comes twice, as it costs bytes."""
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
     twice = src.groupBy("id").count().filter("count > 1").limit(1).count()
-    return src.select("id", (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("th"), "text")
+    if not twice:
+        return src.select("id", F.lit(0).cast("long").alias("th"), "text")
+    return materialize(src.groupBy("id", F.xxhash64("text").alias("th")).agg(F.first("text").alias("text")))
+
+
+def _heavy(src: DataFrame, n: int) -> DataFrame:
+    """(anchor, owner) of the heavy anchors; an owner is any document that has the anchor."""
+    probe = src.filter(F.pmod(F.xxhash64("id", "th"), F.lit(PROBE)) == 0)
+    once = probe.mapInArrow(_anchor_rows(n), "anchor long, id long, th long, pos int").select("anchor", "id").distinct()
+    return once.groupBy("anchor").agg(F.min("id").alias("owner"), F.count("*").alias("n")).filter(F.col("n") >= HEAVY).select("anchor", "owner")
 
 
 def _marked(segments: DataFrame) -> DataFrame:
@@ -348,7 +333,7 @@ def _runs(sized: DataFrame, min_words: int) -> DataFrame:
 def removed_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, spans array<struct<lo,hi>>) of the documents that lose words; hi is exclusive."""
     src = _keyed(docs, id_col, text_col)
-    heavy = materialize(src.mapInArrow(_heavy_rows(min_words), "anchor long, owner long").groupBy("anchor").agg(F.min("owner").alias("owner")))
+    heavy = materialize(_heavy(src, min_words))
     anchors = src.mapInArrow(_anchor_rows(min_words), "anchor long, id long, th long, pos int")
     anchors = anchors.join(small_or_shuffled(heavy, heavy.count()), "anchor", "left").select("anchor", "id", "th", "pos", F.coalesce("owner", F.lit(int(_OPEN))).alias("owner"))
     spread = F.when(F.col("owner") != int(_OPEN), F.pmod("id", F.lit(4096))).otherwise(F.lit(0))
