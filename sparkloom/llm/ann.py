@@ -4,11 +4,14 @@ A vector is coded as the sum of one entry from each of ``BOOKS`` full-dimensiona
 one after the other on what is left of a bounded sample (``TRAIN_ROWS`` rows by hash) and chosen for
 each vector by beam search.  Its norm over the coded norm is stored with the codes.  All vectors are coded.
 
-Search.  Rows are dealt by hash into blocks of about ``BLOCK`` rows.  The stated queries visit every
-block: a task holds one block's codes and streams queries past them.  A query's products with all
-codebook entries make a lookup table; a row's approximate score is a sum of ``BOOKS`` table entries.
-The best ``SHORT`` of a block are scored exactly on the original vectors in double precision, and
-each block gives its k nearest; the k nearest of those are the result.
+Vectors are coded in the unit of their own length, so any finite magnitude does; lengths are kept
+as shares of the table's largest component.
+
+Search.  The codes are dealt evenly into files.  Queries go to all executors in batches of bounded
+bytes; a task streams its codes past them, ``BLOCK`` rows at a time.  A query's products with all
+codebook entries make a lookup table; a row's approximate score is a sum of ``BOOKS`` table entries
+times its length.  The best ``SHORT`` of a block are scored exactly on the original vectors in double
+precision; a task keeps and gives each query's k nearest, and the k nearest of those are the result.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import in_batches, materialize, partitions, rounds
 
 BOOKS, ENTRIES, BEAM = 16, 256, 4
 TRAIN_ROWS = 8192
@@ -54,6 +57,15 @@ def train(sample: np.ndarray, books: int = BOOKS, entries: int = ENTRIES) -> np.
     return np.stack(out)
 
 
+def lengths(v: np.ndarray, largest: float) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of length 1 as floats, their lengths over the largest component), without overflow."""
+    v = v.astype(np.float64)
+    m = np.abs(v).max(1, keepdims=True)
+    u = v / m
+    n = np.sqrt((u * u).sum(1))
+    return (u / n[:, None]).astype(np.float32), m[:, 0] / largest * n
+
+
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(codes, norm over coded norm) by beam search over the codebooks."""
     n, (m, k, _) = len(x), books.shape
@@ -77,11 +89,13 @@ def _vectors(col: pa.Array, n: int) -> np.ndarray:
 
 def _encode_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, largest = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                codes, scale = encode(_vectors(part.column(1), part.num_rows).astype(np.float32), shared.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)], ["vec_id", "v", "code", "scale"])
+                unit, size = lengths(_vectors(part.column(1), part.num_rows), largest)
+                codes, scale = encode(unit, books)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale * size)], ["vec_id", "v", "code", "scale"])
 
     return run
 
@@ -98,52 +112,48 @@ def shortlist(score: np.ndarray, size: int) -> np.ndarray:
     return np.nonzero(take)[1].reshape(len(score), size)
 
 
-class _Block:
-    def __init__(self, rows: list[pa.RecordBatch], books: np.ndarray) -> None:
-        t = pa.Table.from_batches(rows).combine_chunks()
-        n = t.num_rows
-        self.books = books
-        self.ids = t.column("vec_id").to_numpy()
-        self.v = _vectors(t.column("v").combine_chunks(), n)
-        self.codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(n, len(books))
-        self.scale = t.column("scale").to_numpy()
-
-    def search(self, qids: np.ndarray, q: np.ndarray, k: int, short: int) -> pa.RecordBatch:
-        table = np.einsum("qd,mkd->mqk", q.astype(np.float32), self.books, optimize=True)
-        score = np.zeros((len(q), len(self.ids)), np.float32)
-        for m in range(len(self.books)):
-            score += table[m][:, self.codes[:, m]]
-        score *= self.scale
-        score[qids[:, None] == self.ids] = -np.inf
-        at = shortlist(score, max(short, k + 1))
-        exact = np.einsum("qrd,qd->qr", self.v[at].astype(np.float64), q.astype(np.float64))
-        exact[self.ids[at] == qids[:, None]] = -np.inf
-        out = np.lexsort((self.ids[at], -exact), axis=1)[:, :k]
-        exact, ids = np.take_along_axis(exact, out, 1), np.take_along_axis(self.ids[at], out, 1)
-        ok = exact > -np.inf
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, ok.sum(1))), pa.array(ids[ok]), pa.array(exact[ok])], ["query_id", "vec_id", "score"])
+class Best:
+    """The k best (score, id) of each query so far: higher scores first, NaN last, ties to the smaller id."""
 
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.missing = np.ones((queries, k), bool)
+        self.score, self.ids = np.zeros((queries, k)), np.zeros((queries, k), np.int64)
 
-def _search_rows(shared, k: int, short: int):
-    """Streams (block, query, vec_id, v, code, scale), sorted: a block's rows, then its queries."""
+    def add(self, of: slice, score: np.ndarray, ids: np.ndarray, missing: np.ndarray) -> None:
+        score, ids, missing = (np.concatenate([old[of], new], 1) for old, new in ((self.score, score), (self.ids, ids), (self.missing, missing)))
+        order = np.lexsort((ids, np.where(np.isnan(score), np.inf, -score), missing), axis=1)[:, : self.k]
+        self.score[of], self.ids[of], self.missing[of] = (np.take_along_axis(x, order, 1) for x in (score, ids, missing))
 
+    def rows(self, qids: np.ndarray) -> pa.RecordBatch:
+        ok = ~self.missing
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, ok.sum(1))), pa.array(self.ids[ok]), pa.array(self.score[ok])], ["query_id", "vec_id", "score"])
+
+
+def _search_rows(shared, k: int, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, rows, block = None, [], None
+        books, qids, q, unit = shared.value
+        best = Best(len(qids), k)
         for batch in batches:
-            of, query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            cuts = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (query[1:] != query[:-1])))
-            for a, b in zip(cuts, np.append(cuts[1:], len(of))):
-                if of[a] != number:
-                    number, rows, block = of[a], [], None
-                if not query[a]:
-                    rows.append(batch.slice(a, b - a))
-                    continue
-                if block is None and rows:
-                    block = _Block(rows, shared.value)
-                    rows = []
-                for at in range(a, b, 64) if block else ():
-                    part = batch.slice(at, min(64, b - at))
-                    yield block.search(part.column(2).to_numpy(), _vectors(part.column(3), part.num_rows), k, short)
+            for a in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(a, BLOCK)
+                ids, v = part.column(0).to_numpy(), _vectors(part.column(1), part.num_rows)
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(ids), len(books))
+                scale = part.column(3).to_numpy()
+                for at in range(0, len(qids), 64):
+                    of = slice(at, at + 64)
+                    table = np.einsum("qd,mkd->mqk", unit[of], books, optimize=True)
+                    score = np.zeros((len(qids[of]), len(ids)), np.float32)
+                    for m in range(len(books)):
+                        score += table[m][:, codes[:, m]]
+                    score = score * scale
+                    own = qids[of, None] == ids
+                    score[own] = -np.inf
+                    near = shortlist(score, max(short, k + 1))
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        exact = np.einsum("qrd,qd->qr", v[near].astype(np.float64), q[of].astype(np.float64))
+                    best.add(of, exact, ids[near], np.take_along_axis(own, near, 1))
+        yield best.rows(qids)
 
     return run
 
@@ -154,25 +164,28 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     Queries are the rows whose id is divisible by ``every``.  Nearest first, ties to the smaller id.
     Rows with a null id, and vectors that are null, zero, of another than the most common length, or
     hold null or non-finite components take no part.  A repeated row is a candidate as often as it
-    stands, but never for a query of its own id; a repeated query counts once.  An empty table gives
-    an empty result.
+    stands, but never for a query of its own id; a repeated query counts once.  Products too large for
+    a double are infinite, undefined ones (NaN) come last.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     # exact scores are of the given numbers: floats stay floats, all else becomes doubles
     kind = "float" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "double"
     src = vectors.filter(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
-    sizes = src.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    sizes = src.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("count"), F.max(F.array_max(F.transform("v", F.abs))).cast("double").alias("largest")).orderBy(F.desc("count"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     src = src.filter(F.size("v") == sizes["d"])
-    sample = np.array([r[0] for r in src.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("v").collect()], np.float32)
-    books = spark.sparkContext.broadcast(train(sample))
-    blocks = int(sizes["count"] // BLOCK) + 1
-    coded = materialize(src.mapInArrow(_encode_rows(books), f"vec_id long, v array<{kind}>, code binary, scale float"))
-    rows = coded.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), "vec_id", "v", "code", "scale")
-    asked = coded.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "vec_id", "v", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"))
-    dealt = rows.unionByName(asked).repartition("block").sortWithinPartitions("block", "query", "vec_id")
-    found = dealt.mapInArrow(_search_rows(books, k, short), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    sample = np.array([r[0] for r in src.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("v").collect()], np.float64)
+    books = train(lengths(sample, sizes["largest"])[0])
+    shared = spark.sparkContext.broadcast((books, sizes["largest"]))
+    dealt = src.repartition(min(max(partitions(spark), sizes["count"] // BLOCK + 1), sizes["count"] // 256 + 1))
+    coded = materialize(dealt.mapInArrow(_encode_rows(shared), f"vec_id long, v array<{kind}>, code binary, scale double"))
+    asked = materialize(coded.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select("vec_id", "v"))
+    found = []
+    for batch in in_batches(asked, "vec_id", 12.0 * sizes["d"] + 24 * k):
+        q = _vectors(batch.column("v").combine_chunks(), batch.num_rows)
+        queries = spark.sparkContext.broadcast((books, batch.column("vec_id").to_numpy(), q, lengths(q, sizes["largest"])[0]))
+        near = coded.mapInArrow(_search_rows(queries, k, short), "query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.when(F.isnan("score"), float("-inf")).otherwise(F.col("score")).desc(), F.isnan("score"), "vec_id")
+        found.append(near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    return rounds(found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
