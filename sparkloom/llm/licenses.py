@@ -5,14 +5,16 @@ a-z and every byte from 0x80), joined by one space.  Base phrases are found ther
 
 Fuzzy search.  A notice that occurs with at most e edits contains at least one of its e + 1 pieces
 unchanged (pigeonhole).  One Aho-Corasick automaton holds the pieces of all notices; a hit sets a
-candidate stretch of the notice's length plus e on both sides, stretches that overlap are joined, and
-the regex library's bounded-error matching ``(?b)(?:notice){e<=k}`` verifies each stretch, again on both
-sides of what it finds, and reports span and edits.  A notice's digits must all be there and no others, as they tell
-versions apart.  Work beyond the automaton's one pass grows with the hits.
+candidate stretch of the notice's length plus e on both sides, stretches that overlap are joined and cut
+in overlapping pieces of a few lengths, and the regex library's bounded-error matching
+``(?b)(?:notice){e<=k}`` verifies each piece, again on both sides of what it finds, and reports span and
+edits.  A notice's digits must all be there and no others, as they tell versions apart.  Pieces are of bounded
+length, so work beyond the automaton's one pass grows with the hits.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import ahocorasick
@@ -34,6 +36,7 @@ NOTICES = {
     "gnu affero general public license version 3": "agpl-3",
     "subject to the terms of the mozilla public license version 2 0": "mpl-2",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
+    "licensed under the bsd 2 clause license": "bsd",
     "licensed under the bsd 3 clause license": "bsd",
     "licensed under a creative commons attribution 4 0 international license": "cc-by",
     "licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
@@ -43,7 +46,6 @@ NOTICES = {
 }
 #: one edit for so many characters
 PER_EDIT = 18
-_DIGITS = regex.compile("[0-9]")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -54,11 +56,17 @@ def split_pieces(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def _pattern(notice: str, edits: int) -> str:
+    """Best match of a notice whose digits stay and which takes no others: each stretch between them may have all edits."""
+    parts = regex.findall("[0-9]+|[^0-9]+", notice)
+    return "(?b)(?:" + "".join(x if x[0].isdigit() else f"(?:{regex.escape(x)}){{e<={edits}:[^0-9]}}" for x in parts) + ")"
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None, per_edit: int = PER_EDIT) -> None:
         self.phrases = [(f" {p} ".encode(), label) for p, label in (PHRASES if phrases is None else phrases).items()]
         self.notices = [(n, label, len(n) // per_edit) for n, label in (NOTICES if notices is None else notices).items()]
-        self.check = [regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={k}}}") for n, _, k in self.notices]
+        self.check = [regex.compile(_pattern(n, k)) for n, _, k in self.notices]
         self.seeds = ahocorasick.Automaton()
         held: dict[str, list[tuple[int, int]]] = {}
         for i, (n, _, k) in enumerate(self.notices):
@@ -86,6 +94,20 @@ class Scanner:
             words.append(seen)
         return len(words), words, labels
 
+    @staticmethod
+    def _stretches(spans: list[tuple[int, int]], width: int) -> Iterator[tuple[int, int]]:
+        """Overlapping spans joined, in pieces of at most 4 widths of which neighbours share one: no place of a notice is cut in all."""
+        lo, hi = spans[0]
+        for a, b in [*spans[1:], (None, None)]:
+            if a is not None and a <= hi:
+                hi = max(hi, b)
+                continue
+            while hi - lo > 4 * width:
+                yield lo, lo + 4 * width
+                lo += 3 * width
+            yield lo, hi
+            lo, hi = a, b
+
     def fuzzy(self, text: str) -> list[tuple[str, int, int, int]]:
         """(label, start, end, edits), in characters of the normalised text; of overlapping ones the best."""
         if not self.held:
@@ -96,32 +118,27 @@ class Scanner:
                 n, _, k = self.notices[i]
                 lo = end + 1 - size - at - k
                 near.setdefault(i, []).append((max(lo, 0), lo + len(n) + 2 * k))
-        out = []
+        out = set()
         for i, spans in near.items():
             n, label, k = self.notices[i]
-            spans.sort()
-            joined = [list(spans[0])]
-            for lo, hi in spans[1:]:
-                if lo <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], hi)
-                else:
-                    joined.append([lo, hi])
             # a search gives the best place of a stretch, so both sides of it are searched again
-            todo = [(lo, min(hi, len(text))) for lo, hi in joined]
+            todo = [(lo, min(hi, len(text))) for lo, hi in self._stretches(sorted(spans), len(n) + 2 * k)]
             while todo:
                 lo, hi = todo.pop()
                 if hi - lo >= len(n) - k and (m := self.check[i].search(text, lo, hi)):
-                    # an edit may not make one version of another: the digits must be the notice's own
-                    if _DIGITS.findall(m[0]) == _DIGITS.findall(n):
-                        out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    if sum(m.fuzzy_counts) <= k:
+                        out.add((label, m.start(), m.end(), sum(m.fuzzy_counts)))
                     todo.append((max(m.end(), lo + 1), hi))
                     if m.end() > m.start():
                         todo.append((lo, m.start()))
         best: list[tuple[str, int, int, int]] = []
+        starts: list[int] = []
         for x in sorted(out, key=lambda x: (x[3], x[1] - x[2], x[1], x[0])):
-            if all(x[2] <= y[1] or y[2] <= x[1] for y in best):
-                best.append(x)
-        return sorted(best, key=lambda x: x[1:3])
+            at = bisect(starts, x[1])
+            if (not at or best[at - 1][2] <= x[1]) and (at == len(best) or x[2] <= best[at][1]):
+                best.insert(at, x)
+                starts.insert(at, x[1])
+        return best
 
     def scan(self, text: str | None) -> dict:
         ws = (text or "").encode("utf-8", "replace").translate(_FOLD).split()
