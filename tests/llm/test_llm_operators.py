@@ -85,6 +85,7 @@ def test_substring_dedup_matches_brute_force(docs):
 def test_substring_dedup_splits_large_shards(docs, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SPLIT_WORDS", 60)
     monkeypatch.setattr(substring_dedup, "HEAVY", 2)
+    monkeypatch.setattr(substring_dedup, "PROBE", 1)
     got = substring_dedup.remove_repeated(docs, 5).select("doc_id", "n_words", "n_removed", "kept").collect()
     assert by_key(got) == by_key(removed(ROWS, 5))
 
