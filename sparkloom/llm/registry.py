@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, langid, licenses, packing, pieces, pii, quality, simhash, substring_dedup, toxicity
+from sparkloom.llm import ann, langid, licenses, packing, pieces, pii, quality, resample, simhash, substring_dedup, toxicity
 from sparkloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op7_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
+@_query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
