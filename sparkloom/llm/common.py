@@ -36,7 +36,9 @@ def in_batches(asked: DataFrame, key: str, row_bytes: float) -> Iterator[pa.Tabl
     """The rows of a written table of queries, about ``BATCH_BYTES`` at a time, dealt by the hash of their key."""
     n = math.ceil(asked.count() * row_bytes / BATCH_BYTES)
     for i in range(n):
-        yield asked.filter(F.pmod(F.xxhash64(F.col(key), F.lit("batch")), F.lit(n)) == i).toArrow()
+        rows = asked.filter(F.pmod(F.xxhash64(F.col(key), F.lit("batch")), F.lit(n)) == i).toArrow()
+        if rows.num_rows:
+            yield rows
 
 
 def rounds(parts: list[DataFrame]) -> DataFrame:
