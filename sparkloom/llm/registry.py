@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, langid, licenses, negatives, packing, pieces, pii, quality, resample, simhash, substring_dedup, toxicity
+from sparkloom.llm import ann, langid, licenses, negatives, packing, pieces, pii, quality, resample, simhash, substring_dedup, toxicity, vector_dedup
 from sparkloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return negatives.mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+@_query
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
