@@ -55,7 +55,8 @@ def suffix_array(seq: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
     At most ``depth`` are counted, and none from the first zero on, which closes a text.
     """
-    rank, order, size = seq.astype(np.int64), np.argsort(seq, kind="stable"), 1
+    rank, size = seq.astype(np.int64), 1
+    order = np.argsort(seq, kind="stable") if depth == 1 else None
     while size < depth:
         ahead = np.zeros(len(seq), np.int64)
         ahead[: max(len(seq) - size, 0)] = rank[size:]
@@ -74,6 +75,34 @@ def suffix_array(seq: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
+_CRC_BYTE = np.array([zlib.crc32(bytes([i])) ^ zlib.crc32(b"\0") for i in range(256)], np.uint32)
+
+
+def _zero_byte(c: np.ndarray) -> np.ndarray:
+    """CRCs after one more byte, without that byte's own share."""
+    return (c >> np.uint32(8)) ^ _CRC_BYTE[c & np.uint32(255)]
+
+
+def crc_shifted(crc: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """CRCs moved past ``size`` bytes: the CRC of a joined text is that of its first part, moved, xor that of its second.
+
+    The map is linear in the bits, so for each size four tables of 256 entries hold it.
+    """
+    known, at = np.unique(size, return_inverse=True)
+    tables = np.empty((len(known), 4, 256), np.uint32)
+    entry = np.arange(256, dtype=np.uint32) << (np.arange(4, dtype=np.uint32)[:, None] * np.uint32(8))
+    past = 0
+    for i, n in enumerate(known.tolist()):
+        for _ in range(n - past):
+            entry = _zero_byte(entry)
+        past = n
+        tables[i] = entry
+    out = np.zeros(len(crc), np.uint32)
+    for byte in range(4):
+        out ^= tables[at, byte, (crc >> np.uint32(8 * byte)) & np.uint32(255)]
+    return out
+
+
 def block_buckets(buf: np.ndarray, off: np.ndarray, max_n: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket) of every feature of a block of texts, and the words of each row."""
     buf = _LOWER[buf]
@@ -86,8 +115,8 @@ def block_buckets(buf: np.ndarray, off: np.ndarray, max_n: int, buckets: int) ->
         seq, row_at, left = (np.zeros(len(ids) + len(first) - 1, np.int64) for _ in range(3))
         seq[at], row_at[at], left[at] = ids + 1, row, first[row + 1] - np.arange(len(ids))
         order, lcp = suffix_array(seq, max_n)
-        spaced = [b" " + w for w in words]
-        crc = np.array([zlib.crc32(w) for w in words], np.int64)
+        crc, size = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)), np.fromiter(map(len, words), np.int64, len(words))
+        spaced, size = crc_shifted(np.full(len(words), zlib.crc32(b" "), np.uint32), size) ^ crc, size + 1
         for n in range(1, max_n + 1):
             whole = left[order] >= n
             where = order[whole]
@@ -97,12 +126,12 @@ def block_buckets(buf: np.ndarray, off: np.ndarray, max_n: int, buckets: int) ->
             begin[0] = True
             heads = where[begin]  # one occurrence of each n-gram; its hash goes on from that of its first n - 1 words
             last = seq[heads + n - 1] - 1
-            hashed = crc[last] if n == 1 else np.array([zlib.crc32(spaced[w], c) for w, c in zip(last.tolist(), before[heads].tolist())], np.int64)
+            hashed = crc[last] if n == 1 else crc_shifted(before[heads], size[last]) ^ spaced[last]
             here = hashed[np.cumsum(begin) - 1]
-            before = np.zeros(len(seq), np.int64)
+            before = np.zeros(len(seq), np.uint32)
             before[where] = here
             rows.append(row_at[where])
-            out.append(here % buckets)
+            out.append(here.astype(np.int64) % buckets)
     return np.concatenate(rows), np.concatenate(out), np.diff(first)
 
 

@@ -81,3 +81,10 @@ def test_equal_rows_have_ranks_of_their_own(spark):
     rows = [(None, " ".join(f"w{j}" for j in range(25)))] * 300 + [(1, " ".join(f"v{j}" for j in range(25)))] * 100
     got = resample.importance(frame(spark, rows), spark.createDataFrame(TARGET, "text string")).collect()
     assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, 101)) and len(got) == 400
+
+
+def test_crc_of_joined_texts():
+    rng = np.random.default_rng(2)
+    a, b = ([rng.bytes(int(n)) for n in rng.integers(0, 70, 200)] for _ in range(2))
+    moved = resample.crc_shifted(np.array([zlib.crc32(x) for x in a], np.uint32), np.array([len(x) for x in b]))
+    assert (moved ^ np.array([zlib.crc32(x) for x in b], np.uint32)).tolist() == [zlib.crc32(x + y) for x, y in zip(a, b)]
