@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 100_000
 #: slices of the random key in which quotas are counted
 SLICES = 1 << 16
+#: bytes of rows that are sent to all executors at a time
+BATCH_BYTES = 16 << 20
 _written: dict[str, list[str]] = {}
 
 
@@ -58,6 +63,15 @@ def small_or_shuffled(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
+def in_batches(asked: DataFrame, key: str, row_bytes: float) -> Iterator[pa.Table]:
+    """The rows of a written table, about ``BATCH_BYTES`` at a time, dealt by the hash of their key."""
+    n = math.ceil(asked.count() * row_bytes / BATCH_BYTES)
+    for i in range(n):
+        rows = asked.filter(F.pmod(F.xxhash64(F.col(key), F.lit("batch")), F.lit(n)) == i).toArrow()
+        if rows.num_rows:
+            yield rows
+
+
 def unpivot(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """keys, col, value (string): one row per cell, without nulls dropped."""
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols)))

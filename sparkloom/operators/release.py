@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import columns, discern
+from sparkloom.operators import bitmaps, columns, discern
 from sparkloom.operators.helpers import collapse, global_cumsum, materialize, small_or_shuffled, uniform
 
 #: noise settings: slope above, slope below the true count
@@ -26,33 +26,30 @@ def kambiguate(df: DataFrame, attrs: list[str], k: int) -> DataFrame:
     suppressed so far decide; of their sets of columns the first in the order of attrs goes.  Rows that match
     then come for free (own duplicates from the start).  With fewer than k other rows every cell goes.
 
-    How many rows match once some columns are gone is looked up in grouped counts on the others (discern.agreeing), so
-    work grows with the distinct tuples times the column sets in use; all tuples take a step at once.
+    All tuples take a step at once, by bitmaps (bitmaps.nearest): the jobs grow with the steps, at most one for each
+    column, and no set of columns is listed, so any number of columns will do.
     """
     p = len(attrs)
-    every = (1 << p) - 1
-    tuples = materialize(collapse(df, attrs).withColumn("__id", F.monotonically_increasing_id()))
+    cols = [f"__v{i}" for i in range(p)]
+    values = [F.coalesce(F.concat(F.lit("v"), F.col(a).cast("string")), F.lit("n")).alias(c) for a, c in zip(attrs, cols)]
+    tuples = materialize(collapse(df, attrs).select("*", F.monotonically_increasing_id().alias("id"), *values))
     total = tuples.agg(F.sum("n")).first()[0] or 0
-    # gone: suppressed columns; hits: other rows that match then; size: columns to add next
-    state = materialize(tuples.select("__id", F.lit(every if total - 1 < k else 0).cast("long").alias("gone"), (F.col("n") - 1).alias("hits"), F.lit(1).alias("size")))
+    # gone: a text with 1 for each suppressed column
+    open_ = tuples.select("id", F.lit("0" * p).alias("gone"))
+    done = []
     while total - 1 >= k:
-        open_ = state.filter(F.col("hits") < k)
-        cases = open_.select("gone", "size").distinct().collect()
-        if not cases:
+        asked = materialize(tuples.select("id", *cols).join(open_.select("id", F.col("gone").alias("closed")), "id"))
+        found = bitmaps.nearest(tuples, asked, cols)
+        if not found:
             break
-        steps = [(g, z, sum(b)) for g, z in cases for b in combinations([1 << i for i in range(p) if not g >> i & 1], z)]
-        add = F.broadcast(df.sparkSession.createDataFrame(steps, "gone long, size int, bits long"))
-        asked = open_.join(add, ["gone", "size"]).join(tuples, "__id").select("__id", *attrs, "bits", F.lit(every).cast("long").bitwiseAND(F.bitwise_not(F.col("gone").bitwiseOR(F.col("bits")))).alias("chosen"))
-        counts = discern.agreeing(tuples, materialize(asked), attrs, False).select(F.col("__id").alias("__i"), "bits", (F.col("agree") - 1).alias("now"))
-        better = counts.join(open_, counts["__i"] == open_["__id"]).filter(F.col("now") > F.col("hits"))
-        # the first set of columns by the order of attrs: bits read from the lowest
-        front = F.reverse(F.lpad(F.bin("bits"), p, "0"))
-        best = better.groupBy("__i").agg(F.max(F.struct(front.alias("front"), F.col("bits"), F.col("now"))).alias("b")).select("__i", "b.bits", "b.now")
-        new = state.join(best, state["__id"] == best["__i"], "left")
-        found = F.col("bits").isNotNull()
-        state = materialize(new.select("__id", F.when(found, F.col("gone").bitwiseOR(F.col("bits"))).otherwise(F.col("gone")).alias("gone"), F.when(found, F.col("now")).otherwise(F.col("hits")).alias("hits"), F.when(found, 1).when(F.col("hits") < k, F.col("size") + 1).otherwise(F.col("size")).alias("size")))
-    names = F.filter(F.array(*(F.when(F.col("gone").bitwiseAND(F.lit(1 << i)) != 0, a) for i, a in enumerate(attrs))), lambda x: x.isNotNull())
-    plan = tuples.join(state, "__id").select(*(F.col(a).alias(f"__{a}") for a in attrs), names.alias("suppressed"))
+        step = materialize(asked.select("id", "closed").join(reduce(DataFrame.unionByName, found), "id"))
+        # own rows match themselves, one of them is not another row
+        done.append(step.filter((F.col("hits") > k) | (F.col("least") > p)).select("id", F.col("closed").alias("gone")))
+        merged = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(p)), lambda i: F.when((F.substring("closed", i, 1) == "1") | (F.substring("others", i, 1) == "0"), "1").otherwise("0")), "")
+        open_ = step.filter((F.col("hits") <= k) & (F.col("least") <= p)).select("id", merged.alias("gone"))
+    state = reduce(DataFrame.unionByName, done) if done else tuples.select("id", F.lit("1" * p).alias("gone"))
+    names = F.filter(F.array(*(F.when(F.substring("gone", i + 1, 1) == "1", a) for i, a in enumerate(attrs))), lambda x: x.isNotNull())
+    plan = tuples.join(state, "id").select(*(F.col(a).alias(f"__{a}") for a in attrs), names.alias("suppressed"))
     on = None
     for a in attrs:
         c = F.col(a).eqNullSafe(F.col(f"__{a}"))
