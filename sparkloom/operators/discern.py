@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,13 +118,11 @@ def min_union(sets: DataFrame, k: int) -> list[int]:
 
 def _told_apart(tuples: DataFrame, sets: list[list[str]], label: str) -> list[int]:
     """For each attribute set, the pairs of different label that it tells apart; one job through grouping sets."""
-    cols = sorted({a for s in sets for a in s})
     marked = [F.array(*(F.struct(F.lit(i).alias("i"), F.to_json(F.struct(*(F.col(a) for a in s)), {"ignoreNullFields": "false"}).alias("v")) for i, s in enumerate(sets)))]
     rows = tuples.select(label, "n", F.explode(*marked).alias("g")).groupBy("g.i", "g.v", label).agg(F.sum("n").alias("n"))
     within = rows.groupBy("i", "v").agg(((F.sum(F.col("n").cast("decimal(38,0)")) * F.sum("n") - F.sum(F.col("n").cast("decimal(38,0)") * F.col("n"))) / 2).alias("same"))
     same = {r["i"]: r["s"] for r in within.groupBy("i").agg(F.sum("same").alias("s")).collect()}
     total = tuples.groupBy(label).agg(F.sum("n").alias("n")).agg(_pairs(F.col("n"))).first()[0] or 0
-    del cols
     return [int(total - (same.get(i) or 0)) for i in range(len(sets))]
 
 
@@ -178,7 +178,8 @@ def agreeing(others: DataFrame, asked: DataFrame, attrs: list[str], wild: bool,
     if not sets or not patterns:
         return asked.withColumn("agree", F.lit(0).cast("long"))
     # a pair of patterns compares the chosen columns that both have
-    shared = sorted({s & p & q for s in sets for p in patterns for q in ([r[0] for r in asked.select(own.alias("p")).distinct().collect()] if wild else [every])})
+    mine = [r[0] for r in asked.select(own.alias("p")).distinct().collect()] if wild else [every]
+    shared = sorted({s & p & q for s in sets for p in patterns for q in mine})
     by = [F.col(label)] if label else [F.lit(0)]
     cells = others.select(*attrs, own.alias("__p"), by[0].alias("__l"), F.col("n").alias("__n"), F.explode(F.array(*(F.lit(s).cast("long") for s in shared))).alias("__e"))
     cells = cells.filter(F.col("__e").bitwiseAND(F.col("__p")) == F.col("__e")).withColumn("__k", _on(attrs, F.col("__e")))
@@ -200,25 +201,58 @@ def min_attributes_by_row(df: DataFrame, attrs: list[str], label: str, tau: floa
 
     A null is told from nothing; a tuple with a null label, or that nothing tells apart, gets an empty list.
     Attributes are added greedily, the first on ties, until a fraction tau of the rows of other classes that all attributes tell
-    apart is told.  Rows that agree with a tuple on an attribute list are looked up in grouped counts (agreeing), so
-    work grows with the distinct tuples times the lists in use, and all tuples take a step at once.
+    apart is told.
+
+    Rows lie in the classes of partitions that are refined from pick to pick.  A class is named by a pattern of
+    missing attributes and by the values of its rows on the attributes picked so far; a tuple asks one class
+    of each pattern, that of the rows not told from it yet.  An attribute's gain is the rows of other labels there with
+    another value, from counts grouped by class, attribute, value and label.  A pick refines only classes that
+    are still asked for, and leaves out what no open tuple asks.  A pick costs three written tables, however many lists are in use.
     """
+    p = len(attrs)
     tuples = materialize(collapse(df, [*attrs, label]).withColumn("__id", F.monotonically_increasing_id()))
-    others = tuples.filter(F.col(label).isNotNull())
-    every = (1 << len(attrs)) - 1
-    state = others.select("__id", F.lit(0).cast("long").alias("done"), F.array().cast("array<string>").alias("needed"))
-    ends = others.select("__id", *attrs, label, F.explode(F.array(F.lit(0).cast("long"), F.lit(every).cast("long"))).alias("chosen"))
-    ends = agreeing(others, ends, attrs, True, label).groupBy("__id").agg(F.max(F.when(F.col("chosen") == 0, F.col("agree"))).alias("all"), F.min("agree").alias("never"))
-    state = materialize(state.join(ends, "__id").select("__id", "done", "needed", F.col("all").alias("left"), (F.col("all") - tau * (F.col("all") - F.col("never"))).alias("goal"), F.lit(True).alias("open")))
-    for _ in attrs:
-        open_ = state.filter(F.col("open") & (F.col("left") > F.col("goal")))
-        asked = open_.join(others, "__id").select("__id", *attrs, label, F.col("done"), F.explode(F.array(*(F.lit(1 << i).cast("long") for i in range(len(attrs))))).alias("bit")).filter(F.col("done").bitwiseAND(F.col("bit")) == 0)
-        asked = materialize(asked.select("__id", *attrs, label, "bit", F.col("done").bitwiseOR(F.col("bit")).alias("chosen")))
-        if asked.limit(1).count() == 0:
+    values = F.array(*(F.concat(F.lit("v"), F.col(a).cast("string")) for a in attrs))
+    pattern = F.array_join(F.transform(values, lambda v: F.when(v.isNull(), "0").otherwise("1")), "")
+    rows = tuples.filter(F.col(label).isNotNull()).select("__id", F.col(label).alias("y"), "n", values.alias("vals"), pattern.alias("cls"))
+    others = rows.groupBy("cls", "y", "vals").agg(F.sum("n").alias("n"))
+    patterns = [r[0] for r in others.select("cls").distinct().collect()]
+    labels = others.groupBy("y").agg(F.sum("n").alias("mine"))
+    total = labels.agg(F.sum("mine")).first()[0] or 0
+    left = F.lit(total) - F.col("mine")
+    asks = rows.drop("cls", "n").join(labels, "y").select("__id", "y", "vals", left.alias("left"))
+    if tau < 1:  # the rows that nothing tells apart aren't demanded
+        every = tuples.filter(F.col(label).isNotNull()).withColumn("chosen", F.lit((1 << p) - 1).cast("long")).select("__id", *attrs, label, "chosen")
+        never = agreeing(tuples.filter(F.col(label).isNotNull()), every, attrs, True, label).select("__id", F.col("agree").alias("never"))
+        asks = asks.join(never, "__id").select("__id", "y", "vals", "left", (F.col("left") - tau * (F.col("left") - F.col("never"))).alias("goal"))
+    else:
+        asks = asks.withColumn("goal", F.lit(0.0))
+    asks = asks.withColumn("cls", F.explode(F.array(*map(F.lit, patterns)))) if patterns else asks.withColumn("cls", F.lit(""))
+    named = lambda a, v: F.concat("cls", F.lit("|"), a.cast("string"), F.lit("="), F.length(v).cast("string"), F.lit(":"), v)
+    picks = []
+    for step in range(p):
+        asks = materialize(asks.filter(F.col("left") > F.col("goal")))
+        if not asks.limit(1).count():
             break
-        best = agreeing(others, asked, attrs, True, label).groupBy(F.col("__id").alias("__i")).agg(F.min(F.struct("agree", "bit")).alias("b")).select("__i", F.col("b.agree").alias("now"), F.col("b.bit").alias("bit"))
-        named = F.element_at(F.array(*map(F.lit, attrs)), F.round(F.log2(F.col("bit"))).cast("int") + 1)
-        gained = F.coalesce(F.col("now") < F.col("left"), F.lit(False))
-        new = state.join(best, state["__id"] == best["__i"], "left")
-        state = materialize(new.select("__id", F.when(gained, F.col("done").bitwiseOR(F.col("bit"))).otherwise(F.col("done")).alias("done"), F.when(gained, F.concat("needed", F.array(named))).otherwise(F.col("needed")).alias("needed"), F.when(gained, F.col("now")).otherwise(F.col("left")).alias("left"), "goal", gained.alias("open")))
-    return tuples.join(state.select("__id", "needed"), "__id", "left").select(*attrs, label, "n", F.coalesce("needed", F.array().cast("array<string>")).alias("needed"))
+        # of all classes asked for, the rows; of classes refined now, those with the picked value
+        here = F.explode(F.concat(F.array("cls"), F.transform(F.filter(F.transform("vals", lambda v, a: F.struct(a.alias("a"), v.alias("v"))), lambda x: x["v"].isNotNull()), lambda x: named(x["a"], x["v"]))))
+        others = (others.select(here.alias("cls"), "y", "vals", "n") if step else others).join(asks.select("cls").distinct(), "cls", "left_semi")
+        # a class may be refined at a later pick too, to one that is there already
+        others = materialize(others.dropDuplicates(["cls", "y", "vals"]))
+        cell = F.posexplode("vals").alias("a", "v")
+        want = asks.select("__id", "cls", "y", cell).filter("v is not null")
+        count = others.select("cls", "y", "n", cell).filter("v is not null").unionByName(want.select("cls", "y", F.lit(0).cast("long").alias("n"), "a", "v")).groupBy("cls", "a", "v", "y").agg(F.sum("n").alias("n"))
+        told = count
+        for name, by in (("all", ["cls", "a"]), ("value", ["cls", "a", "v"]), ("label", ["cls", "a", "y"])):
+            told = told.join(count.groupBy(*by).agg(F.sum("n").alias(name)), by)
+        told = told.select("cls", "a", "v", "y", (F.col("all") - F.col("value") - F.col("label") + F.col("n")).alias("gain")).filter("gain > 0")
+        best = want.join(told, ["cls", "a", "v", "y"]).groupBy("__id", "a").agg(F.sum("gain").alias("gain")).groupBy("__id").agg(F.max(F.struct("gain", (-F.col("a")).alias("first"))).alias("b"))
+        picks.append(materialize(best.select("__id", F.lit(step).alias("step"), (-F.col("b.first")).alias("pick"), "b.gain")))
+        at = F.col("pick") + 1
+        refined = F.when(F.substr("cls", at, F.lit(1)) == "1", named(F.col("pick"), F.element_at("vals", at))).otherwise(F.col("cls"))
+        asks = asks.join(picks[-1], "__id").select("__id", "y", "vals", (F.col("left") - F.col("gain")).alias("left"), "goal", refined.alias("cls"))
+    none = F.array().cast("array<string>")
+    if not picks:
+        return tuples.select(*attrs, label, "n", none.alias("needed"))
+    lists = reduce(DataFrame.unionByName, picks).groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("step", "pick"))).alias("picks"))
+    named_attrs = F.transform("picks", lambda x: F.element_at(F.array(*map(F.lit, attrs)), x["pick"] + 1))
+    return tuples.join(lists, "__id", "left").select(*attrs, label, "n", F.coalesce(named_attrs, none).alias("needed"))
