@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.functions import private
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -53,4 +55,26 @@ q as (select {b}x, y, sum(n * n / (r * c)) - 1 q from p join r using ({b}x, y, a
 m as (select {b}x, y, n::long n, n * q chi2, nx, ny, gy, gx, vx, vy from q join rr using ({b}x, y) join cc using ({b}x, y))"""
 
 
+#: the queries' secret; as their SQL repeats the draws it is public, a release needs a secret of its own
+SECRET = b"public key of these queries"
+
+
+def digits(purpose: str, *key: str) -> str:
+    """SQL of private.keyed_digits over key (SQL expressions) with the queries' secret."""
+    k = private.noise_key(SECRET, purpose)
+    text = " || ".join(f"coalesce(length(({x})::varchar)::varchar || ':' || ({x})::varchar, 'n')" for x in key)
+    return f"sha256('{k}' || sha256('{k}' || {text}))"
+
+
+def keyed(purpose: str, *key: str) -> str:
+    """SQL of private.keyed_uniform."""
+    return f"((('0x' || substr({digits(purpose, *key)}, 1, 13))::bigint + 0.5) / 4503599627370496.0)"
+
+
+def whole_noise(eps: float, purpose: str, *key: str) -> str:
+    """SQL of private.discrete_laplace."""
+    draw = lambda side, i, chance: f"case when substr({digits(purpose, *key, repr(f'{side}{i}'))}, 1, {private.DIGITS}) < '{chance}' then {1 << i} else 0 end"
+    return "(" + " + ".join(f"{draw('+', i, x)} - {draw('-', i, x)}" for i, x in enumerate(private.laplace_bits(eps))) + ")"
+
+
 from sparkloom.jobs import q_columns, q_evaluate, q_rules  # noqa: E402,F401  they register their queries

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from sparkloom.functions import distributions as T
-from sparkloom.jobs.catalog import gamma_p, pnorm, query, table, u
+from sparkloom.jobs.catalog import SECRET, gamma_p, keyed, pnorm, query, table, u, whole_noise
 from sparkloom.operators import evaluate, release, sampling
 
 
@@ -216,48 +218,52 @@ def a4_a7_noisy_count_pmf(spark, sf):
 @query(f"""with k as (select event_type, count(*) c from events group by 1), o as (select unnest(['neutral', 'over', 'under']) preset, unnest([1.0, 1.0, 3.0]) bp, unnest([1.0, 3.0, 1.0]) bn),
 w as (select preset, event_type, r, exp(1.0 / (2 * greatest(bp, bn)) * case when r >= least(c, 2000) then -bp * (r - least(c, 2000)) else -bn * (least(c, 2000) - r) end) w from k, o, (select unnest(range(2000)) r)),
 p as (select preset, event_type, r, sum(w) over (partition by preset, event_type order by r) / sum(w) over (partition by preset, event_type) cum from w)
-select preset, event_type, coalesce(min(case when cum >= {u('event_type', seed=3)} then r end), 1999)::int as released from p group by all""")
+select preset, event_type, coalesce(min(case when cum >= {keyed('release', 'event_type')} then r end), 1999)::int as released from p group by all""")
 def a8_a9_draw_release(spark, sf):
     out = None
     for name, p in sorted(release.PRESETS.items()):
-        drawn = release.draw_release(release.release_pmf(_segments(spark, sf), "c", 1.0, bp=p["bp"], bn=p["bn"], rmin=0, rmax=2000), ["event_type"], seed=3)
+        drawn = release.draw_release(release.release_pmf(_segments(spark, sf), "c", 1.0, bp=p["bp"], bn=p["bn"], rmin=0, rmax=2000), ["event_type"], SECRET)
         part = drawn.select(F.lit(name).alias("preset"), "event_type", "released")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-_UNIT = "least(floor(({0} - (select min({0}) from c0)) / ((select max({0}) from c0) - (select min({0}) from c0))::double * 5), 4)::int"
-_COARSE = f"""c0 as (select c_nationkey, floor(c_acctbal / 2000)::int band, c_mktsegment from customer), c as (select {_UNIT.format('c_nationkey')} a1, {_UNIT.format('band')} a2, c_mktsegment from c0), t as (select count(*) n, greatest(0.5, ln(10) / ln(count(*)) / {{0}}) gamma from c)"""
+#: what a release knows beforehand of these columns, and of the number of rows
+_BOUNDS, _DOMAIN, _SIZE = {"c_nationkey": (0, 24), "band": (-1, 4)}, {"c_mktsegment": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]}, 20_000
+_UNIT = "least(floor(greatest({0} - {1}, 0)::double / ({2} - {1})::double * 5), 4)::int"
+_COARSE = f"""c as (select {_UNIT.format('c_nationkey', 0, 24)} a1, {_UNIT.format('floor(c_acctbal / 2000)', -1, 4)} a2, c_mktsegment from customer), bin as (select unnest(range(5))::int i), segment as (select unnest({_DOMAIN['c_mktsegment']}) c_mktsegment)"""
 
 
-def _noisy(cells: str, keys: list[str]) -> str:
+def _noisy(cells: str, keys: list[str], k: int) -> str:
     """CTE h: cells (keys, n) with noise on each count, those over the threshold."""
-    return f"""l as (select *, {u(*keys, seed=1)} - 0.5 v from {cells}), z as (select l.*, l.n - 1 / (t.gamma * 2.0) * sign(v) * ln(1 - 2 * abs(v)) noisy, 0.5 * ln(t.n) / 2.0 least from l, t), h as (select *, round(noisy)::long as "count" from z where noisy > least)"""
+    gamma = release.budget_share(_SIZE, k)
+    return f"""z as (select *, n + {whole_noise(gamma * 2.0, 'cells', *keys)} as "count" from {cells}), h as (select * from z where "count" > {0.5 * math.log(_SIZE) / 2.0})"""
 
 
-@query(f"""with {_COARSE.format(3)}, d as (select * from (select distinct a1 from c), (select distinct a2 from c), (select distinct c_mktsegment from c)), e as (select d.*, (select count(*) from c where c.a1 = d.a1 and c.a2 = d.a2 and c.c_mktsegment = d.c_mktsegment) n from d),
-{_noisy('e', ['a1', 'a2', 'c_mktsegment'])} select a1 as c_nationkey, a2 as band, c_mktsegment, "count" from h""")
+@query(f"""with {_COARSE}, d as (select x.i a1, y.i a2, c_mktsegment from bin x, bin y, segment), e as (select d.*, (select count(*) from c where c.a1 = d.a1 and c.a2 = d.a2 and c.c_mktsegment = d.c_mktsegment) n from d),
+{_noisy('e', ['a1', 'a2', 'c_mktsegment'], 2)} select a1 as c_nationkey, a2 as band, c_mktsegment, "count" from h""")
 def a10_a12_projected_histogram(spark, sf):
-    return release.projected_histogram(_masked(spark, sf).select("c_nationkey", "band", "c_mktsegment"), ["c_nationkey", "band"], "c_mktsegment", 2.0)
+    return release.projected_histogram(_masked(spark, sf).select("c_nationkey", "band", "c_mktsegment"), ["c_nationkey", "band"], "c_mktsegment", 2.0, SECRET, _SIZE, _BOUNDS, _DOMAIN)
 
 
 _TOLD = "(select (select (sum(n) * sum(n) - sum(n * n)) / 2 from (select count(*) n from c group by c_mktsegment)) - sum((k - q) / 2) from (select {0}, sum(n) * sum(n) k, sum(n * n) q from (select {0}, c_mktsegment, count(*) n from c group by all) group by 1))"
+_SCORE = f"{(1 - release.budget_share(_SIZE, 1)) * 2.0} * {{0}} / (2 * {_SIZE - 1})"
 
 
-@query(f"""with {_COARSE.format(2)}, g as (select {_TOLD.format('a1')} x1, {_TOLD.format('a2')} x2 from t), s as (select (1 - gamma) * 2.0 * x1 / (2 * (n - 1)) - ln(-ln({u("'c_nationkey'", "0")})) s1, (1 - gamma) * 2.0 * x2 / (2 * (n - 1)) - ln(-ln({u("'band'", "0")})) s2 from g, t),
-k as (select case when s1 >= s2 then a1 else a2 end as cell, c_mktsegment from c, s), d as (select * from (select distinct cell from k), (select distinct c_mktsegment from k)), e as (select d.*, (select count(*) from k where k.cell = d.cell and k.c_mktsegment = d.c_mktsegment) n from d),
-{_noisy('e', ['cell', 'c_mktsegment'])} select cell, c_mktsegment, unnest(range(1, "count" + 1)) as copy from h where "count" > 0""")
+@query(f"""with {_COARSE}, g as (select {_TOLD.format('a1')} x1, {_TOLD.format('a2')} x2), s as (select {_SCORE.format('x1')} - ln(-ln({keyed('picks', "'c_nationkey'", "'0'")})) s1, {_SCORE.format('x2')} - ln(-ln({keyed('picks', "'band'", "'0'")})) s2 from g),
+k as (select case when s1 >= s2 then a1 else a2 end as cell, c_mktsegment from c, s), d as (select i as cell, c_mktsegment from bin, segment), e as (select d.*, (select count(*) from k where k.cell = d.cell and k.c_mktsegment = d.c_mktsegment) n from d),
+{_noisy('e', ['cell', 'c_mktsegment'], 1)} select cell, c_mktsegment, unnest(range(1, "count" + 1)) as copy from h where "count" > 0""")
 def a10_expanded_rows(spark, sf):
-    hist = release.projected_histogram(_masked(spark, sf).select("c_nationkey", "band", "c_mktsegment"), ["c_nationkey", "band"], "c_mktsegment", 2.0, k=1)
+    hist = release.projected_histogram(_masked(spark, sf).select("c_nationkey", "band", "c_mktsegment"), ["c_nationkey", "band"], "c_mktsegment", 2.0, SECRET, _SIZE, _BOUNDS, _DOMAIN, k=1)
     return release.expand(hist).toDF("cell", "c_mktsegment", "copy")
 
 
-@query(f"with d as (select min(g) d from (select n - lag(n) over (order by n) g from (select distinct c_nationkey::double n from customer))) select c_custkey, round(c_nationkey + (2 * {u('c_custkey')} - 1) * d / 5, 9) as x from customer, d")
+@query(f"with d as (select min(g) d from (select n - lag(n) over (order by n) g from (select distinct c_nationkey::double n from customer))) select c_custkey, round(c_nationkey + (2 * {keyed('jitter', 'c_custkey')} - 1) * d / 5, 9) as x from customer, d")
 def a13_jitter(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("x"))
-    return release.jitter(df, "x", 1.0, ["c_custkey"]).select("c_custkey", F.round("x", 9).alias("x"))
+    return release.jitter(df, "x", 1.0, ["c_custkey"], SECRET, release.smallest_gap(df, "x")).select("c_custkey", F.round("x", 9).alias("x"))
 
 
 @query()
 def a14_private_logistic(spark, sf):
-    return release.private_logistic(_lines(spark, sf).drop("l_orderkey", "l_linenumber"), "y", ["l_quantity", "l_discount"], 1.0)
+    return release.private_logistic(_lines(spark, sf).drop("l_orderkey", "l_linenumber"), "y", ["l_quantity", "l_discount"], 1.0, SECRET)

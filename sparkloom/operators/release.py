@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from functools import reduce
 
@@ -11,7 +10,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
+from sparkloom.functions.private import discrete_laplace, keyed_draw, keyed_uniform, noise_key
 from sparkloom.operators import bitmaps, columns, discern
 from sparkloom.operators.helpers import collapse, global_cumsum, materialize, small_or_shuffled, uniform
 
@@ -132,37 +133,28 @@ def pmf_summary(pmf: DataFrame) -> DataFrame:
     return pmf.withColumns({"mean": mean, "variance": square - mean * mean})
 
 
-def draw_release(pmf: DataFrame, key: list[str], seed: int = 0) -> DataFrame:
-    """pmf with released: the first r whose cumulative probability reaches a uniform number of the key."""
-    u = uniform(*key, seed=seed)
+def draw_release(pmf: DataFrame, key: list[str], secret: bytes) -> DataFrame:
+    """pmf with released: the first r whose cumulative probability reaches a number drawn with the secret for the key."""
+    u = keyed_uniform(noise_key(secret, "release"), *key)
     state = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("int").alias("r"))
     found = F.aggregate("pmf", state, lambda s, x: F.struct((s["cum"] + x["p"]).alias("cum"), F.coalesce(s["r"], F.when(s["cum"] + x["p"] >= u, x["r"])).alias("r")), lambda s: s["r"])
     return pmf.withColumn("released", F.coalesce(found, F.element_at("pmf", -1)["r"]))
 
 
-def laplace(scale: float, *key: Column | str, seed: int = 0) -> Column:
-    u = uniform(*key, seed=seed) - 0.5
-    return -scale * F.signum(u) * F.log(1 - 2 * F.abs(u))
-
-
-def draw(*key: str | int, seed: int = 0) -> float:
-    """The number that helpers.uniform gives for a key, on the driver."""
-    return (int(hashlib.md5("|".join(map(str, [*key, seed])).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
-
-
-def k_attributes_private(df: DataFrame, attrs: list[str], target: str, k: int, eps: float, seed: int = 0) -> list[str]:
+def k_attributes_private(df: DataFrame, attrs: list[str], target: str, k: int, eps: float, secret: bytes, size: int) -> list[str]:
     """As discern.k_attributes, each pick drawn by the exponential mechanism with eps / k.
 
-    One row changes a count of told-apart pairs by at most n - 1, which is the sensitivity used.  A draw
-    is the largest of the scores with Gumbel noise on each.
+    One row changes a count of told-apart pairs by at most the other rows' number; ``size``, a bound on the rows
+    that the caller knows beforehand, is used for it, not the table's own count.  A draw is the largest of the
+    scores with Gumbel noise on each.
     """
     tuples = materialize(collapse(df.filter(F.col(target).isNotNull()), [*attrs, target]))
-    n = tuples.agg(F.sum("n")).first()[0] or 1
+    noise = noise_key(secret, "picks")
     out: list[str] = []
     for turn in range(min(k, len(attrs))):
         rest = [a for a in attrs if a not in out]
         got = discern._told_apart(tuples, [[*out, a] for a in rest], target)
-        noisy = [(eps / k) * x / (2 * max(n - 1, 1)) - math.log(-math.log(draw(a, turn, seed=seed))) for a, x in zip(rest, got)]
+        noisy = [(eps / k) * x / (2 * max(size - 1, 1)) - math.log(-math.log(keyed_draw(noise, a, turn))) for a, x in zip(rest, got)]
         out.append(rest[max(range(len(rest)), key=lambda i: (noisy[i], -i))])
     return out
 
@@ -173,28 +165,37 @@ def budget_share(n: int, k: int, p: float = 0.95, tau: float = 0.05, share: floa
     return min(1 - tau, max(share, need / (k + 1)))
 
 
-def projected_histogram(df: DataFrame, attrs: list[str], target: str, eps: float, k: int = 2, bins: int = 5, a: float = 0.5, gamma: float | None = None, seed: int = 0) -> DataFrame:
-    """Cells (chosen attributes, target) with a noisy, rounded count over the threshold a log(n) / eps.
+def projected_histogram(df: DataFrame, attrs: list[str], target: str, eps: float, secret: bytes, size: int, bounds: dict[str, tuple[float, float]], domain: dict[str, list], k: int = 2, bins: int = 5, a: float = 0.5, gamma: float | None = None) -> DataFrame:
+    """Cells (chosen attributes, target) with a noisy, whole count over the threshold a log(size) / eps.
 
-    Numeric columns are scaled to [0, 1] and cut in bins; k attributes are chosen privately with
-    (1 - gamma) eps, the histogram gets gamma eps.  Noise goes on every cell of the domain, empty ones too.
+    Nothing but counts is read from the data: ``size`` bounds the rows, ``bounds`` are the ends of numeric attributes,
+    which are scaled by them, clamped and cut in bins, and ``domain`` holds the values of all other columns; rows
+    with a null or another value there belong to no cell.  k attributes are chosen privately with (1 - gamma) eps,
+    the histogram gets gamma eps.  Noise goes on every cell of the domain, empty ones too.
     """
-    numeric = [f.name for f in df.schema if f.name in attrs and f.dataType.typeName() in ("integer", "long", "double", "float", "short", "byte") or f.name in attrs and f.dataType.typeName().startswith("decimal")]
-    scaled = columns.scale_unit(df, numeric) if numeric else df
-    coarse = materialize(scaled.select(*((F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)).cast("int") if c in numeric else F.col(c)).alias(c) for c in [*attrs, target])))
-    n = coarse.count()
-    gamma = budget_share(n, k) if gamma is None else gamma
-    picked = k_attributes_private(coarse, attrs, target, k, (1 - gamma) * eps, seed)
+    missing = [c for c in [*attrs, target] if c not in bounds and c not in domain]
+    if missing:
+        raise ValueError(f"neither bounds nor a domain given for {missing}")
+    kinds = {f.name: f.dataType for f in df.schema} | {c: IntegerType() for c in bounds}
+    known = {c: list(range(bins)) if c in bounds else domain[c] for c in [*attrs, target]}
+
+    def cell(c: str) -> Column:
+        if c not in bounds:
+            return F.when(F.col(c).isin(domain[c]), F.col(c))
+        lo, hi = map(float, bounds[c])
+        x = F.col(c).cast("double")
+        return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.floor(F.greatest(x - lo, F.lit(0.0)) / (hi - lo) * bins), F.lit(bins - 1)).cast("int"))
+
+    coarse = materialize(df.select(*(cell(c).alias(c) for c in [*attrs, target])).dropna())
+    gamma = budget_share(size, k) if gamma is None else gamma
+    picked = k_attributes_private(coarse, attrs, target, k, (1 - gamma) * eps, secret, size)
     cols = [*(a for a in attrs if a in picked), target]
-    known = columns.domains(coarse, cols)
-    kinds = {f.name: f.dataType for f in coarse.schema}
-    domain = df.sparkSession.range(1)
+    cells = df.sparkSession.range(1)
     for c in cols:
-        domain = domain.withColumn(c, F.explode(F.array(*(F.lit(v).cast(kinds[c]) for v in known[c])))).repartition(c)
-    domain = domain.select(*cols)
-    cells = domain.join(collapse(coarse, cols), cols, "left")
-    noisy = F.coalesce("n", F.lit(0)) + laplace(1 / (gamma * eps), *cols, seed=seed + 1)
-    return cells.withColumn("noisy", noisy).filter(F.col("noisy") > a * math.log(max(n, 2)) / eps).select(*cols, F.round("noisy").cast("long").alias("count"))
+        cells = cells.withColumn(c, F.explode(F.array(*(F.lit(v).cast(kinds[c]) for v in known[c])))).repartition(c)
+    cells = cells.select(*cols).join(collapse(coarse, cols), cols, "left")
+    noisy = F.coalesce("n", F.lit(0)) + discrete_laplace(gamma * eps, noise_key(secret, "cells"), *cols)
+    return cells.withColumn("count", noisy).filter(F.col("count") > a * math.log(max(size, 2)) / eps).select(*cols, "count")
 
 
 def expand(hist: DataFrame, count: str = "count") -> DataFrame:
@@ -202,27 +203,34 @@ def expand(hist: DataFrame, count: str = "count") -> DataFrame:
     return hist.filter(F.col(count) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(count)))).drop(count)
 
 
-def jitter(df: DataFrame, col: str, amount: float, key: list[str], seed: int = 0) -> DataFrame:
-    """Uniform noise within amount * d / 5, d the smallest gap between the column's values."""
+def smallest_gap(df: DataFrame, col: str) -> float:
+    """The smallest gap between two of the column's values, 0 without two."""
     values = df.select(F.col(col).cast("double").alias("v")).distinct().filter("v is not null")
     # gaps inside range partitions, then those between one partition's last value and the next one's first
     parts = materialize(values.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v").withColumn("p", F.spark_partition_id()))
     inside = parts.withColumn("g", F.col("v") - F.lag("v").over(Window.partitionBy("p").orderBy("v"))).groupBy("p").agg(F.min("g").alias("g"), F.min("v").alias("first"), F.max("v").alias("last"))
-    d = inside.select(F.least("g", F.col("first") - F.lag("last").over(Window.orderBy("p"))).alias("g")).agg(F.min("g")).first()[0] or 0.0
-    return df.withColumn(col, F.col(col) + (uniform(*key, seed=seed) * 2 - 1) * (amount * float(d) / 5))
+    gap = inside.select(F.least("g", F.col("first") - F.lag("last").over(Window.orderBy("p"))).alias("g")).agg(F.min("g")).first()[0]
+    return float(gap or 0.0)
+
+
+def jitter(df: DataFrame, col: str, amount: float, key: list[str], secret: bytes, gap: float) -> DataFrame:
+    """Uniform noise within amount * gap / 5; gap is the distance of the discretised values, which the caller knows (smallest_gap reads it from public values)."""
+    return df.withColumn(col, F.col(col) + (keyed_uniform(noise_key(secret, "jitter"), *key) * 2 - 1) * (amount * gap / 5))
 
 
-def private_logistic(df: DataFrame, response: str, covariates: list[str], eps: float, lam: float = 0.1, seed: int = 0) -> DataFrame:
+def private_logistic(df: DataFrame, response: str, covariates: list[str], eps: float, secret: bytes, lam: float = 0.1) -> DataFrame:
     """name, coefficient: regularised logistic regression on unit-norm rows with output perturbation.
 
-    Noise has density falling as exp(-eps n lam |b| / 2): a uniform direction and a gamma length.
+    Noise has density falling as exp(-eps n lam |b| / 2): a uniform direction and a gamma length, drawn with the secret.
     """
     x = F.array(F.lit(1.0), *(F.col(c).cast("double") for c in covariates))
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda t, v: t + v * v))
     rows = df.dropna(subset=[response, *covariates]).select(array_to_vector(F.transform(x, lambda v: v / norm)).alias("x"), F.col(response).cast("double").alias("y"))
     n = rows.count()
     fit = LogisticRegression(featuresCol="x", labelCol="y", regParam=lam, fitIntercept=False, standardization=False).fit(rows)
-    rng = np.random.default_rng(seed)
-    b = rng.normal(size=len(covariates) + 1)
-    b *= rng.gamma(len(b), 2 / (eps * n * lam)) / np.linalg.norm(b)
-    return df.sparkSession.createDataFrame([(c, float(w + e)) for c, w, e in zip(["(intercept)", *covariates], fit.coefficients, b)], "name string, coefficient double")
+    noise, names = noise_key(secret, "coefficients"), ["(intercept)", *covariates]
+    # normal numbers for the direction; a gamma length of whole shape is a sum of exponential ones
+    b = np.array([math.sqrt(-2 * math.log(keyed_draw(noise, "r", i))) * math.cos(2 * math.pi * keyed_draw(noise, "t", i)) for i in range(len(names))])
+    length = -sum(math.log(keyed_draw(noise, "e", i)) for i in range(len(names))) * 2 / (eps * n * lam)
+    b *= length / np.linalg.norm(b)
+    return df.sparkSession.createDataFrame([(c, float(w + e)) for c, w, e in zip(names, fit.coefficients, b)], "name string, coefficient double")

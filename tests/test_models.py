@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions import private
 from sparkloom.operators import columns, evaluate, matching, release, rules
 
 
@@ -82,12 +83,13 @@ def test_private_logistic_is_ridge_plus_its_noise(points):
     x = np.column_stack([np.ones(len(m)), m[:, 1:3]])
     x /= np.linalg.norm(x, axis=1)[:, None]
     want = fit_logistic(x, m[:, 4], 0.1)
-    exact = [r.coefficient for r in release.private_logistic(df, "y", ["a", "b"], 1e12).collect()]
+    exact = [r.coefficient for r in release.private_logistic(df, "y", ["a", "b"], 1e12, b"s" * 16).collect()]
     assert exact == pytest.approx(want.tolist(), abs=1e-3)
-    rng = np.random.default_rng(0)
-    b = rng.normal(size=3)
-    b *= rng.gamma(3, 2 / (1.0 * len(m) * 0.1)) / np.linalg.norm(b)
-    noisy = [r.coefficient for r in release.private_logistic(df, "y", ["a", "b"], 1.0).collect()]
+    # a direction of three normal numbers and a length that is a sum of three exponential ones, all drawn with the secret
+    d = lambda *x: private.keyed_draw(private.noise_key(b"s" * 16, "coefficients"), *x)
+    b = np.array([math.sqrt(-2 * math.log(d("r", i))) * math.cos(2 * math.pi * d("t", i)) for i in range(3)])
+    b *= sum(-math.log(d("e", i)) for i in range(3)) * 2 / (1.0 * len(m) * 0.1) / np.linalg.norm(b)
+    noisy = [r.coefficient for r in release.private_logistic(df, "y", ["a", "b"], 1.0, b"s" * 16).collect()]
     assert (np.array(noisy) - np.array(exact)).tolist() == pytest.approx(b.tolist(), abs=1e-6)
 
 

@@ -99,7 +99,7 @@ def test_noisy_counts(spark):
         pmf = release.release_pmf(df, "c", 1.0, bp=p["bp"], bn=p["bn"], rmin=20, rmax=2000)
         assert pmf.select(F.aggregate("pmf", F.lit(0.0), lambda t, x: t + x["p"])).first()[0] == pytest.approx(1)
         means[name] = release.pmf_summary(pmf).first()["mean"]
-        assert 20 <= release.draw_release(pmf, ["g"]).first()["released"] < 2000
+        assert 20 <= release.draw_release(pmf, ["g"], b"s" * 16).first()["released"] < 2000
     assert means["over"] > means["neutral"] > means["under"]
 
 
@@ -127,10 +127,10 @@ def test_spectral_swap_keeps_marginals_roughly(spark):
 
 def test_histogram_and_jitter(spark):
     df = spark.createDataFrame([(i % 3, "u" if i % 2 else "v", "t" if i % 3 else "s") for i in range(600)], "a int, b string, t string")
-    hist = release.projected_histogram(df, ["a", "b"], "t", 5.0, k=1)
+    hist = release.projected_histogram(df, ["a", "b"], "t", 5.0, b"s" * 16, 600, {"a": (0, 2)}, {"b": ["u", "v"], "t": ["s", "t"]}, k=1)
     assert hist.filter("count < 0").count() == 0 and abs(release.expand(hist).count() - 600) < 60
     x = spark.createDataFrame([(i, float(i % 4)) for i in range(100)], "id long, x double")
-    got = release.jitter(x, "x", 0.5, ["id"]).toPandas()
+    got = release.jitter(x, "x", 0.5, ["id"], b"s" * 16, release.smallest_gap(x, "x")).toPandas()
     assert (np.abs(got["x"] - got["id"] % 4) <= 0.1).all()
 
 
