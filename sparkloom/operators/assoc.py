@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.helpers import uniform, unpivot
+from sparkloom.operators.helpers import materialize, uniform, unpivot
 
 MEASURES = ("phi", "cc", "v", "pp", "pxy", "pyx", "hdiff")
 
@@ -87,11 +88,21 @@ def histogram_difference(counts: DataFrame) -> DataFrame:
 def repeated(df: DataFrame, measure: Callable[[DataFrame, list[str]], DataFrame], times: int, rows: int, key: list[str], by: list[str], seed: int = 0) -> DataFrame:
     """Median of each numeric column of measure(samples, ["rep"]) over ``times`` samples of ``rows`` rows.
 
-    All replicates are drawn in one job; a row's place in a replicate comes from a hash of its key.
+    A replicate holds the rows with the smallest hashes of their key and its number.  A threshold on the hash, tested inside
+    the row, leaves a few more rows than a replicate needs; only these become rows of their own and are
+    ranked.  Every replicate with enough rows under the threshold is exact; else the threshold is doubled.
     """
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("u", uniform(*key, "rep", seed=seed))
+    n = df.count()
+    share = min(1.0, (rows + 5 * math.sqrt(rows) + 10) / max(n, 1))
+    while True:
+        reps = F.filter(F.transform(F.sequence(F.lit(1), F.lit(times)), lambda r: F.struct(r.alias("rep"), uniform(*key, r, seed=seed).alias("u"))), lambda x: x["u"] < share)
+        few = materialize(df.withColumn("__r", F.explode(reps)).select(*df.columns, "__r.rep", F.col("__r.u").alias("u")))
+        got = few.groupBy("rep").count().agg(F.count("*").alias("reps"), F.min("count").alias("least")).first()
+        if share >= 1 or got["reps"] == times and got["least"] >= min(rows, n):
+            break
+        share = min(1.0, 2 * share)
     w = Window.partitionBy("rep").orderBy("u", *key)
-    samples = reps.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= rows).drop("rn", "u")
+    samples = few.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= rows).drop("rn", "u")
     found = measure(samples, ["rep"])
     numeric = [f.name for f in found.schema if f.name not in [*by, "rep"]]
     return found.groupBy(*by).agg(*(F.median(c).alias(c) for c in numeric))

@@ -71,11 +71,27 @@ def differing(df: DataFrame, row: dict, attrs: list[str]) -> DataFrame:
     return df.withColumn("differs", names)
 
 
+#: sets whose gains are followed exactly between two counts of all sets; what they share is counted in 2^LEADERS classes at most
+LEADERS = 16
+
+
+def _shared(left: DataFrame, leaders: list) -> list[tuple[int, int]]:
+    """(bits of the leaders that hold an element, elements) for the elements of the leaders."""
+    bit = F.lit(0)
+    for i, x in enumerate(leaders):
+        bit = F.when(F.col("set_id") == F.lit(x), 1 << i).otherwise(bit)
+    each = left.filter(F.col("set_id").isin(leaders)).groupBy("element").agg(F.sum(bit).alias("bits"))
+    return [(r["bits"], r["n"]) for r in each.groupBy("bits").agg(F.count("*").alias("n")).collect()]
+
+
 def greedy_cover(sets: DataFrame, tau: float = 1.0, cost: DataFrame | dict | None = None) -> list:
     """Ids of sets (set_id, element) that cover a fraction tau of all elements, most new elements first.
 
-    Ties go to the lowest id.  With cost (set_id, cost), gain / cost decides and ties go to the highest id.  Each
-    round is one grouped count over what is left; only the best row comes to the driver.
+    Ties go to the lowest id.  With cost (set_id, cost), gain / cost decides and ties go to the highest id.
+
+    Gains only fall, so a count of all sets bounds them from then on.  The ``LEADERS`` first sets are followed exactly, by the
+    number of elements in each class of them, and picked as long as the best is ahead of the first set behind
+    them; only then all sets are counted again, over what is left.  Picks are those of a count for each.
     """
     left = materialize(sets.select("set_id", "element").distinct())
     total = left.select("element").distinct().count()
@@ -86,33 +102,62 @@ def greedy_cover(sets: DataFrame, tau: float = 1.0, cost: DataFrame | dict | Non
         left = materialize(left.join(small_or_shuffled(prices), "set_id"))
         price = F.first("cost")
     while gone < tau * total:
-        gain = left.groupBy("set_id").agg(F.count("*").alias("c"), (F.count("*") / price).alias("gain"))
-        best = gain.orderBy(F.desc("gain"), F.asc("set_id") if cost is None else F.desc("set_id")).first()
-        if best is None:
+        gains = left.groupBy("set_id").agg(F.count("*").alias("c"), price.alias("price"))
+        order = [F.desc(F.col("c") / F.col("price")), F.asc("set_id") if cost is None else F.desc("set_id")]
+        top = gains.orderBy(*order).limit(LEADERS + 1).collect()
+        if not top:
             break
-        out.append(best["set_id"])
-        gone += best["c"]
-        hit = left.filter(F.col("set_id") == best["set_id"]).select("element")
-        left = left.join(hit, "element", "left_anti")
-        if len(out) % 4 == 0:
-            left = materialize(left)
+        lead, behind = top[:LEADERS], top[LEADERS:]
+        ahead = lambda x, y: x[0] > y[0] or x[0] == y[0] and (x[1] < y[1] if cost is None else x[1] > y[1])
+        classes = _shared(left, [r["set_id"] for r in lead])
+        picked = []
+        while gone < tau * total:
+            count = [sum(n for bits, n in classes if bits >> i & 1) for i in range(len(lead))]
+            best = None
+            for i, r in enumerate(lead):
+                if count[i] and (best is None or ahead((count[i] / r["price"], r["set_id"]), (count[best] / lead[best]["price"], lead[best]["set_id"]))):
+                    best = i
+            if best is None or behind and not ahead((count[best] / lead[best]["price"], lead[best]["set_id"]), (behind[0]["c"] / behind[0]["price"], behind[0]["set_id"])):
+                break
+            picked.append(lead[best]["set_id"])
+            gone += count[best]
+            classes = [(bits, n) for bits, n in classes if not bits >> best & 1]
+        out += picked
+        if gone < tau * total:
+            left = materialize(left.join(left.filter(F.col("set_id").isin(picked)).select("element").distinct(), "element", "left_anti"))
     return out
 
 
 def min_union(sets: DataFrame, k: int) -> list[int]:
-    """k sets, each adding least to the union so far (lowest id on ties); nothing if there are fewer."""
-    ids = sets.select("set_id").distinct()
+    """k sets, each adding least to the union so far (lowest id on ties); nothing if there are fewer.
+
+    The ``LEADERS`` sets that add least are followed exactly, as in greedy_cover.  Another set's share of new elements falls by no
+    more than the union has grown since all were counted; while that can't bring it ahead, the next is picked.
+    """
+    ids = materialize(sets.select("set_id").distinct())
     if ids.count() < k:
         return []
     out: list[int] = []
-    left, cover = sets.select("set_id", "element").distinct(), None
-    for _ in range(k):
-        new = left if cover is None else left.join(cover, "element", "left_anti")
-        adds = ids.filter(~F.col("set_id").isin(out)).join(new.filter(F.col("element").isNotNull()).groupBy("set_id").count(), "set_id", "left")
-        best = adds.orderBy(F.coalesce("count", F.lit(0)), "set_id").first()["set_id"]
-        out.append(best)
-        fresh = left.filter(F.col("set_id") == best).select("element")
-        cover = materialize(fresh if cover is None else cover.union(fresh).distinct())
+    left = materialize(sets.filter(F.col("element").isNotNull()).select("set_id", "element").distinct())
+    while len(out) < k:
+        adds = ids.filter(~F.col("set_id").isin(out)).join(left.groupBy("set_id").agg(F.count("*").alias("c")), "set_id", "left").select("set_id", F.coalesce("c", F.lit(0)).alias("c"))
+        top = adds.orderBy("c", "set_id").limit(LEADERS + 1).collect()
+        lead, behind = top[:LEADERS], top[LEADERS:]
+        classes = _shared(left, [r["set_id"] for r in lead])
+        grown, picked = 0, []
+        while len(out) + len(picked) < k:
+            rest = [(sum(n for bits, n in classes if bits >> i & 1), r["set_id"], i) for i, r in enumerate(lead) if r["set_id"] not in picked]
+            if not rest:
+                break
+            c, x, best = min(rest)
+            if behind and (c > behind[0]["c"] - grown or c == behind[0]["c"] - grown and (grown or x > behind[0]["set_id"])):
+                break
+            picked.append(x)
+            grown += c
+            classes = [(bits, n) for bits, n in classes if not bits >> best & 1]
+        out += picked
+        if len(out) < k:
+            left = materialize(left.join(left.filter(F.col("set_id").isin(picked)).select("element").distinct(), "element", "left_anti"))
     return out
 
 
