@@ -258,6 +258,40 @@ def m8_translate(spark, sf):
     return matching.translate(v, maps, ["o_orderstatus"]).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
+# distinct tuples with their rows; c: values of each column, q: pairs of values; p: mean probability of b beside the own value a
+_PREDICTED = """o as (select row_number() over () k, * from (select o_orderstatus s, o_orderpriority r, floor(o_totalprice / 100000)::long::varchar z, count(*) n from orders group by all)),
+l as (select k, n, 'o_orderstatus' col, s v from o union all select k, n, 'o_orderpriority', r from o union all select k, n, 'band', z from o), c as (select col, v b, sum(n) n from l group by all), t as (select col, count(*) kk, sum(n) nn from c group by 1), f as (select t.col, sum(u.kk) f from t join t u on t.col <> u.col group by 1),
+q as (select x.col, x.v b, y.col x, y.v, sum(x.n) n from l x join l y on x.k = y.k and x.col <> y.col group by all), d as (select c.*, ln(n + 1) - ln(nn + kk) as start, ln(d + f) as step from c join t using (col) join f using (col) join (select col, b, sum(n) d from q group by all) using (col, b)),
+s as (select l.k, d.col, d.b, max(l.n) n, max(start) + sum(ln(coalesce(q.n, 0) + 1)) - 2 * max(step) s from l join d on l.col <> d.col left join q on q.col = d.col and q.b = d.b and q.x = l.col and q.v = l.v group by all),
+e as (select *, exp(s - max(s) over (partition by k, col)) e from s), h as (select *, e / sum(e) over (partition by k, col) h from e), p as (select h.col, l.v a, h.b, sum(h.h * h.n) / sum(h.n) p from h join l on h.k = l.k and h.col = l.col group by all)"""
+
+
+def _triples(spark, sf):
+    v, w = _renamed(spark, sf)
+    return v, w, matching.value_triples(v, matching.predict_values(w, matching.value_model(w, _VCOLS), _VCOLS, "o_orderkey"), _VCOLS, "o_orderkey")
+
+
+@query(f"with {_PREDICTED} select col, 'v_' || a as a, b, round(p, 6) as p from p")
+def m9_predictors(spark, sf):
+    return _triples(spark, sf)[2].groupBy("col", "a", "b").agg(F.round(F.avg("p"), 6).alias("p"))
+
+
+@query(f"with {_PREDICTED} select col, 'v_' || a as a, b, round(0.75 * (1 - abs(x.n - y.n) / (select sum(n) from o)) + 0.25 * p, 6) as w from p join (select col, b as a, n from c) x using (col, a) join c y using (col, b)")
+def m10_update_value_graph(spark, sf):
+    v, w, triples = _triples(spark, sf)
+    return matching.update_value_graph(matching.init_value_graph(v, w, _VCOLS), triples, 0.25).withColumn("w", F.round("w", 6))
+
+
+# predicted values of the table itself, by column; a column's share of right first guesses is its run
+@query(f"with {_PREDICTED}, g as (select k, col, n, max_by(b, {{'p': round(h, 9), 'b': b}}) b from h group by all), r as (select g.col, sum(case when b = v then g.n else 0 end)::double / sum(g.n) share from g join l using (k, col) group by 1) select 'all' as setting, round(avg(share), 6) as mean, round(stddev_samp(share), 6) as sd from r")
+def m12_mapping_report(spark, sf):
+    _, w = _renamed(spark, sf)
+    p = matching.predict_values(w, matching.value_model(w, _VCOLS), _VCOLS, "o_orderkey")
+    first = p.groupBy("o_orderkey", "col").agg(F.max_by("b", F.struct(F.round("p", 9), "b")).alias("b")).join(unpivot(w, ["o_orderkey"], _VCOLS), ["o_orderkey", "col"])
+    found = matching.mapping_report(first.select(F.lit("all").alias("setting"), F.col("col").alias("run"), (F.col("b") == F.col("value")).alias("right")))
+    return found.select("setting", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
 @query()
 def m9_m12_recover_values(spark, sf):
     v, w = _renamed(spark, sf)

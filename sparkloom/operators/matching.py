@@ -7,12 +7,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.assoc import pair_counts
 from sparkloom.operators.helpers import materialize, uniform, unpivot
 
 
@@ -170,26 +168,49 @@ def translate(v: DataFrame, maps: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
-def column_predictors(w: DataFrame, cols: list[str]) -> dict[str, Callable[[DataFrame, str], DataFrame]]:
-    """For each column a function (table, key) -> key, col, b, p: likely values given the other columns."""
-    index = StringIndexer(inputCols=cols, outputCols=[f"__i_{c}" for c in cols], handleInvalid="keep").fit(w.select(*(F.col(c).cast("string").alias(c) for c in cols)))
-    hot = OneHotEncoder(inputCols=[f"__i_{c}" for c in cols], outputCols=[f"__h_{c}" for c in cols], handleInvalid="keep", dropLast=False)
-    coded = index.transform(w.select(*(F.col(c).cast("string").alias(c) for c in cols)))
-    hot = hot.fit(coded)
-    out = {}
-    for n, c in enumerate(cols):
-        whole = VectorAssembler(inputCols=[f"__h_{x}" for x in cols if x != c], outputCol="__x")
-        model = NaiveBayes(featuresCol="__x", labelCol=f"__i_{c}").fit(whole.transform(hot.transform(coded)))
-        labels = F.array(*map(F.lit, index.labelsArray[n]))
-
-        def predict(t: DataFrame, key: str, c=c, whole=whole, model=model, labels=labels) -> DataFrame:
-            rows = index.transform(t.select(key, *(F.col(x).cast("string").alias(x) for x in cols)))
-            p = model.transform(whole.transform(hot.transform(rows))).select(key, vector_to_array("probability").alias("p"))
-            pairs = F.explode(F.arrays_zip(labels.alias("b"), F.col("p").alias("p")))
-            return p.select(key, F.lit(c).alias("col"), pairs.alias("z")).select(key, "col", "z.b", "z.p").filter("b is not null")
-
-        out[c] = predict
-    return out
+def value_model(w: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Naive Bayes of every column from all others, from one grouping of all column pairs.
+
+    (pairs, classes): col, b, x, v, gain = ln(n + 1) of a column's value b beside value v of column x; and col, b, start, step:
+    a row's score for b is start, plus the gains of its other values, minus step for each of these that w has.
+    Counts are smoothed by 1, over a column's values and over all values of the other columns.
+    """
+    n = pair_counts(w, cols).filter("a is not null and b is not null")
+    both = n.select(F.col("x").alias("col"), F.col("a").alias("value"), F.col("y").alias("x"), F.col("b").alias("v"), "n").unionByName(n.select(F.col("y").alias("col"), F.col("b").alias("value"), "x", F.col("a").alias("v"), "n"))
+    pairs = materialize(both.select("col", F.col("value").alias("b"), "x", "v", "n"))
+    counts = materialize(unpivot(w, [], cols).filter("value is not null").groupBy("col", F.col("value").alias("b")).agg(F.count("*").alias("n")))
+    # one row for each column
+    sizes = {r["col"]: (r["k"], r["n"]) for r in counts.groupBy("col").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()}
+    others = {c: sum(k for x, (k, _) in sizes.items() if x != c) for c in sizes}
+    per = counts.sparkSession.createDataFrame([(c, math.log(n + k), float(others[c])) for c, (k, n) in sorted(sizes.items())], "col string, total double, others double")
+    beside = pairs.groupBy("col", "b").agg(F.sum("n").alias("beside"))
+    classes = counts.join(F.broadcast(per), "col").join(beside, ["col", "b"], "left")
+    classes = classes.select("col", "b", (F.log(F.col("n") + 1.0) - F.col("total")).alias("start"), F.log(F.coalesce("beside", F.lit(0)) + F.col("others")).alias("step"))
+    return pairs.select("col", "b", "x", "v", F.log(F.col("n") + 1.0).alias("gain")), materialize(classes)
+
+
+def predict_values(t: DataFrame, model: tuple[DataFrame, DataFrame], cols: list[str], key: str) -> DataFrame:
+    """key, col, b, p: of each row and column the probability of each of the model's values, given the row's other columns.
+
+    All columns are scored by the same joins; values that the model hasn't seen say nothing.  A null key is no row.
+    """
+    pairs, classes = model
+    known = classes.select(F.col("col").alias("x"), F.col("b").alias("v"))
+    cells = unpivot(t, [key], cols).select(key, F.col("col").alias("x"), F.col("value").alias("v")).join(known, ["x", "v"])
+    heard = cells.groupBy(key).agg(F.collect_set("x").alias("heard"))
+    gains = cells.join(pairs, ["x", "v"]).groupBy(key, "col", "b").agg(F.sum("gain").alias("gain"))
+    others = F.size("heard") - F.array_contains("heard", F.col("col")).cast("int")
+    asked = t.select(key).filter(F.col(key).isNotNull()).distinct().join(heard, key, "left").withColumn("heard", F.coalesce("heard", F.array().cast("array<string>")))
+    asked = asked.withColumn("col", F.explode(F.array(*map(F.lit, cols)))).join(classes, "col")
+    scored = asked.join(gains, [key, "col", "b"], "left").select(key, "col", "b", (F.col("start") + F.coalesce("gain", F.lit(0.0)) - others * F.col("step")).alias("s"))
+    row = Window.partitionBy(key, "col")
+    raised = scored.withColumn("e", F.exp(F.col("s") - F.max("s").over(row)))
+    return raised.select(key, "col", "b", (F.col("e") / F.sum("e").over(row)).alias("p"))
+
+
+def value_triples(v: DataFrame, predicted: DataFrame, cols: list[str], key: str) -> DataFrame:
+    """col, a, b, p: V's own value of each cell beside each value predicted for it."""
+    return predicted.join(unpivot(v, [key], cols).select(key, "col", F.col("value").alias("a")), [key, "col"]).select("col", "a", "b", "p")
 
 
 def update_value_graph(g: DataFrame, triples: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -201,14 +222,10 @@ def update_value_graph(g: DataFrame, triples: DataFrame, alpha: float = 0.5) ->
 def recover_values(v: DataFrame, w: DataFrame, cols: list[str], key: str, times: int = 2, alpha: float = 0.5) -> DataFrame:
     """col, a, b: V's values in terms of W's, by rounds of mapping, translating and predicting."""
     g = materialize(init_value_graph(v, w, cols))
-    predictors = column_predictors(w, cols)
-    raw = unpivot(v, [key], cols).select(key, "col", F.col("value").alias("a"))
+    model = value_model(w, cols)
     for _ in range(times):
         turned = materialize(translate(v, best_value_map(g), cols))
-        triples = None
-        for c in cols:
-            part = predictors[c](turned, key).join(raw, [key, "col"]).select("col", "a", "b", "p")
-            triples = part if triples is None else triples.unionByName(part)
+        triples = value_triples(v, predict_values(turned, model, cols, key), cols, key)
         g = materialize(update_value_graph(g, triples, alpha))
     return best_value_map(g)
 

@@ -74,7 +74,8 @@ def adjacency(edges: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def write_adjacency(edges: DataFrame, path: str) -> None:
-    adjacency(edges).coalesce(1).orderBy("x").write.csv(path, header=True)
+    """The matrix in range-partitioned files, each with the header; in the order of the files, rows are sorted."""
+    adjacency(edges).repartitionByRange("x").sortWithinPartitions("x").write.csv(path, header=True)
 
 
 def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
