@@ -3,10 +3,11 @@
 Base spans are regex matches.  Their places come from the gaps between matches (``split`` beside
 ``regexp_extract_all``), so each text is scanned a fixed number of times and no row is exploded.
 
-Beyond them, wider patterns propose candidates: national phone numbers, emails with ``(at)``, grouped
-card numbers.  Five labelers vote on each candidate and each base span: regex (a stricter pattern of the
-kind), shape, gazetteer, context and boundary.  Votes are counted by (kind,
-vote pattern), a table of at most 4 x 32 rows; on that table expectation-maximisation estimates each
+Beyond them, wider patterns propose candidates: national phone numbers, emails spelled out with (at) and dot,
+masked and defanged ips, card numbers inside longer runs of digits.  Six labelers vote on each candidate and each
+base span: regex (a stricter pattern of the kind), shape, gazetteer (ends of domains, calling codes, first digits
+of cards), context, boundary and checksum (Luhn, octets, labels of domains, digits).  Votes are counted by (kind,
+vote pattern), a table of at most 4 x 64 rows; on that table expectation-maximisation estimates each
 labeler's hit and false-alarm rate, and a logistic span classifier is trained on the posteriors, with
 the votes as its features.  Its weights go back into the plan as an expression: candidates at
 0.5 or more that touch no base span are added.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,23 +37,29 @@ PATTERNS = {
 }
 #: what a text must contain for a match
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: candidates of the method
+#: candidates of the method: spelled-out addresses, masked and defanged ips, cards inside longer runs of digits, national phones
+_AT, _DOT = "(?: ?[(\\[](?:at|AT)[)\\]] ?| (?:at|AT) )", "(?:\\.| ?[(\\[](?:dot|DOT)[)\\]] ?| (?:dot|DOT) )"
 WIDER = {
-    "email": f"(?<!{_LOCAL}){_LOCAL}++ ?[(\\[]at[)\\]] ?[A-Za-z0-9-]++(?: ?(?:\\.|[(\\[]dot[)\\]]) ?[A-Za-z0-9-]++)++",
-    "card": "(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])",
-    "phone": "(?<![0-9+])\\(?[0-9]{3}[) .-]{1,2}[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "email": f"(?<!{_LOCAL}){_LOCAL}++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
+    "ip": "(?<![0-9.])[0-9]{1,3}(?:\\.[0-9]{1,3}){2}\\.(?:[xX]{1,3}|\\*)(?![0-9A-Za-z.])|(?<![0-9.])[0-9]{1,3}(?:(?:\\[\\.\\]|\\(\\.\\))[0-9]{1,3}){3}(?![0-9])",
+    "card": "(?<![0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{14,19})(?![0-9])",
+    "phone": "(?<![0-9+])(?:\\(?[0-9]{3}[) .-]{1,2}[0-9]{3}[ .-]?[0-9]{4}|0[1-9](?:[ .-]?[0-9]{2}){4}|0[1-9][0-9]{1,4}[ /-][0-9]{3,4}[ -]?[0-9]{3,5}|00[1-9][0-9 ().-]{7,16}[0-9])(?![0-9])",
 }
-_WIDER_NEEDS = {"email": "at", "card": None, "phone": None}
-LABELERS = ("regex", "shape", "gazetteer", "context", "boundary")
+_WIDER_NEEDS = {"email": ("at)", "at]", "AT)", "AT]", " dot ", " DOT "), "ip": (".x", ".X", ".*", "[.]", "(.)"), "card": None, "phone": None}
+LABELERS = ("regex", "shape", "gazetteer", "context", "boundary", "checksum")
+# Ends of domains, calling codes and first digits of cards.
+_ENDS = "com org net edu gov mil int info biz name pro io co me tv app dev cloud online site shop ai eu de fr es it uk nl be ch at pl se no dk fi ie pt gr cz hu ro ru ua tr il in cn jp kr au nz ca us mx br ar cl za"
+_CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 234 254 351 352 353 354 358 359 370 371 372 380 385 386 420 421 852 886 966 971 972"
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _STRICT = {
-    "email": "^[A-Za-z0-9][A-Za-z0-9._%+-]*(@| ?[(\\[]at[)\\]] ?)[A-Za-z0-9][A-Za-z0-9-]*( ?(\\.|[(\\[]dot[)\\]]) ?[A-Za-z0-9-]+)*?( ?(\\.|[(\\[]dot[)\\]]) ?[A-Za-z]{2,})$",
-    "ip": "^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\\.|$)){4}$",
-    "card": "^(4[0-9]{15}|5[1-5][0-9]{14}|3[47][0-9]{13}|6(011|5[0-9]{2})[0-9]{12})$",
-    "phone": "^(\\+[1-9][0-9]{0,2}[ .-]?)?\\(?[2-9][0-9]{2}\\)?[ .-]{0,2}[2-9][0-9]{2}[ .-]?[0-9]{4}$",
+    "email": f"^[A-Za-z0-9][A-Za-z0-9._%+-]*(@[A-Za-z0-9][A-Za-z0-9-]*(\\.[A-Za-z0-9-]+)*?\\.[A-Za-z]{{2,}}|({_AT}|@)[A-Za-z0-9][A-Za-z0-9-]*({_DOT}[A-Za-z0-9-]+)*?{_DOT}({_ENDS.replace(' ', '|')}))$",
+    "ip": f"^({_OCTET}(\\.|\\[\\.\\]|\\(\\.\\))){{3}}({_OCTET}|[xX]{{1,3}}|\\*)$",
+    "card": "^(4[0-9]{15}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|6(011|5[0-9]{2})[0-9]{12})$",
+    "phone": "^(\\+[1-9][0-9]{0,2}[ .-]?)?\\(?[2-9][0-9]{2}\\)?[ .-]{0,2}[2-9][0-9]{2}[ .-]?[0-9]{4}$|^(0|00|\\+)[1-9][0-9 ()./-]{7,18}$",
 }
-_SHAPE = {"email": "@[^@]+\\.[A-Za-z]{2,}$", "ip": "^[0-9.]{7,15}$", "card": "^[0-9]{4}([ -]?)[0-9]{4}\\1[0-9]{4}\\1[0-9]{2,7}$", "phone": "^(\\+[0-9]{1,3} ?)?\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}$"}
-_GAZETTEER = {"email": "(?i)(\\.|dot[)\\]] ?)(com|org|net|edu|gov|io|de|fr|es|uk|info)$", "ip": "^(?!0\\.|127\\.|255\\.)", "card": "^(4|5[1-5]|3[47]|6011|65)", "phone": "^(\\+1 ?)?\\(?[2-9][0-9]{2}\\)?|^\\+[2-9][0-9]"}
-_CONTEXT = {"email": "mail|contact|write|schreib|correo|courriel", "ip": "\\bip\\b|host|server|address|addr", "card": "card|visa|credit|karte|carte|tarjeta", "phone": "phone|call|tel|fax|mobil|cell"}
+_SHAPE = {"email": f"(@|{_AT})[^@]+{_DOT}[A-Za-z]{{2,}}$", "ip": "^([0-9.]{7,15}|[0-9.]{6,12}[xX*]+|[0-9.\\[\\]()]{13,21})$", "card": "^([0-9]{4}([ -]?)[0-9]{4}\\2[0-9]{4}\\2[0-9]{2,7}|[0-9]{4}([ -]?)[0-9]{6}\\3[0-9]{5})$", "phone": "^(\\+[0-9]{1,3} ?)?\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}$|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$|^0[0-9]([ .-][0-9]{2}){4}$|^0[0-9]{2,5}[ /-][0-9 -]+$|^00[0-9 ().-]+$"}
+_GAZETTEER = {"email": f"(?i){_DOT}({_ENDS.replace(' ', '|')})$", "ip": "^(?!0[.\\[(]|127[.\\[(]|255[.\\[(])", "card": "^(4|5[1-5]|2[2-7]|3[47]|6011|65)", "phone": f"^(\\+|00)({_CALLING.replace(' ', '|')})|^\\(?[2-9][0-8][0-9]|^0[1-9]"}
+_CONTEXT = {"email": "mail|contact|write|reach|schreib|correo|courriel", "ip": "\\bip\\b|host|server|address|addr|login|client", "card": "card|visa|credit|karte|carte|tarjeta|pay", "phone": "phone|call|tel|fax|mobil|cell|ring|whatsapp"}
 _BEFORE = 24
 #: values of an array that are added up in one go
 _STRETCH = 256
@@ -71,7 +79,7 @@ def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Colum
     return let(let(values, cut), lambda parts: let(ends(parts), lambda done: F.flatten(F.transform(parts, lambda x, i: F.transform(x, lambda y: merge(y, F.when(i == 0, 0).otherwise(F.get(done, i - 1))))))))
 
 
-def _matches(text: Column, pattern: str, need: str | None) -> Column:
+def _matches(text: Column, pattern: str, need: str | tuple[str, ...] | None) -> Column:
     """array<struct<s,e,m,before,edge>> of all matches: start and end in code points, the text, what stands before
     it (since the match before, lower case) and the characters on its two sides ("0" for another match)."""
     none = F.expr("cast(array() as array<struct<s:int,e:int,m:string,before:string,edge:string>>)")
@@ -86,7 +94,8 @@ def _matches(text: Column, pattern: str, need: str | None) -> Column:
         return let(_running(sizes, lambda a, b: a + b), lambda ends: placed(m, gap, ends))
 
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(F.split(text, pattern, -1), lambda gap: whole(m, gap)))
-    hit = text.contains(need) if need else text.rlike(pattern)
+    needs = [need] if isinstance(need, str) else need or ()
+    hit = reduce(Column.__or__, [text.contains(x) for x in needs]) if needs else text.rlike(pattern)
     return F.when(hit, found).otherwise(none)
 
 
@@ -120,7 +129,15 @@ def _voted(kind: str, spans: Column) -> Column:
 
 def _votes(kind: str, x: Column) -> Column:
     digits = _digits(x["m"]) if kind == "card" else x["m"]
-    votes = (digits.rlike(_STRICT[kind]), x["m"].rlike(_SHAPE[kind]), digits.rlike(_GAZETTEER[kind]), x["before"].rlike(_CONTEXT[kind]), ~x["edge"].rlike("[0-9A-Za-z_/=]"))
+    # what a number or a name can be checked by alone: Luhn, octets, labels of a domain, digits of a phone
+    n = F.length(_digits(x["m"]))
+    check = {
+        "card": lambda: F.when((n >= 13) & (n <= 19), luhn(digits)).otherwise(False),
+        "ip": lambda: ~x["m"].rlike("(^|[^0-9])(0[0-9]|[3-9][0-9]{2}|2[6-9][0-9]|25[6-9])"),
+        "email": lambda: ~x["m"].rlike("[.-][.-]|[ .@)\\]]-|-( |\\.|$)|\\.@|^[^A-Za-z]+[ @(\\[]"),
+        "phone": lambda: (n >= 10) & (n <= 15) & ~digits.rlike("([0-9])\\1{5}"),
+    }[kind]()
+    votes = (digits.rlike(_STRICT[kind]), x["m"].rlike(_SHAPE[kind]), digits.rlike(_GAZETTEER[kind]), x["before"].rlike(_CONTEXT[kind]), ~x["edge"].rlike("[0-9A-Za-z_/=]"), check)
     return F.concat(*(F.when(v, "1").otherwise("0") for v in votes))
 
 
@@ -156,7 +173,7 @@ def fit(rows: DataFrame, rounds: int = 50) -> dict[int, list[float]]:
 
 def estimate(table: list[tuple[list[int], int]], rounds: int = 50) -> tuple[float, list[float], list[float], list[float]]:
     """EM over vote patterns with counts: (share of true spans, hit rates, false-alarm rates, posterior of each pattern)."""
-    m = len(LABELERS)
+    m = len(table[0][0]) if table else len(LABELERS)
     hit, false, prior = [0.8] * m, [0.2] * m, 0.5
     post: list[float] = []
     for _ in range(rounds):
@@ -176,7 +193,7 @@ def estimate(table: list[tuple[list[int], int]], rounds: int = 50) -> tuple[floa
 def _train(table: list[tuple[list[int], int]], rounds: int) -> list[float]:
     """Logistic regression of EM's posteriors on the votes."""
     post = estimate(table, rounds)[3]
-    w, total = [0.0] * (len(LABELERS) + 1), sum(n for _, n in table) or 1
+    w, total = [0.0] * (len(table[0][0]) + 1 if table else len(LABELERS) + 1), sum(n for _, n in table) or 1
     for _ in range(400):
         grad = [0.002 * x for x in w]
         for p, (v, n) in zip(post, table):
@@ -245,9 +262,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Overlapping spans become one.  Null texts stay null.
     """
-    src = docs.select(F.col(text_col).alias("__text"))
-    weights = fit(candidates(src, "__text").select("__base", "__more"))
-    rows = candidates(docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))), "__text").withColumn("__spans", chosen(weights))
+    # written once, with the texts: fitting and marking both read the candidates
+    rows = materialize(candidates(docs, text_col))
+    rows = rows.withColumns({"__spans": chosen(fit(rows)), "__text": F.coalesce(F.col(text_col), F.lit(""))})
     text = F.when(F.size("__spans") > 0, _marked(F.col("__text"), F.col("__spans"))).otherwise(F.col(text_col))
     rows = rows.withColumn(text_col, text)
     if "n_chars" in docs.columns:
