@@ -48,7 +48,7 @@ _ANCHOR, _FINER = 5, 9
 SHARD_WORDS, SPLIT_WORDS = 100_000, 400_000
 _NONE, _OPEN = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 #: an anchor is heavy if it is found in HEAVY of the documents whose hash PROBE divides
-HEAVY, PROBE = 8, 64
+HEAVY, PROBE = 32, 64
 
 
 class SuffixAutomaton:
