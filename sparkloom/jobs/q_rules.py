@@ -251,6 +251,17 @@ def m7_value_map(spark, sf):
     return maps.join(count(v, "a"), ["col", "a"]).join(count(w, "b"), ["col", "b"]).groupBy("col", "a_rows", "b_rows").agg(F.count("*").alias("pairs"))
 
 
+# any number of values: both sides have as many, so the places by frequency and value decide
+_RANKED = " union all ".join(f"select '{c}' col, {{0}} v, row_number() over (order by count(*), {{0}}) place from lineitem group by {c}".replace("{0}", "{" + c + "}") for c in ("l_partkey", "l_suppkey", "l_orderkey"))
+_PLAIN = {c: f"{c}::varchar" for c in ("l_partkey", "l_suppkey", "l_orderkey")}
+
+
+@query(f"with x as ({_RANKED.format(**_PLAIN)}), y as ({_RANKED.format(**{c: f'md5({t})' for c, t in _PLAIN.items()})}) select col, x.v as a, y.v as b from x join y using (col, place)")
+def m6_m7_frequency_map(spark, sf):
+    v = table(spark, sf, "lineitem").select(*(F.col(c).cast("string").alias(c) for c in _PLAIN))
+    return matching.frequency_map(v, v.select(*(F.md5(c).alias(c) for c in _PLAIN)), list(_PLAIN))
+
+
 @query("select o_orderstatus, count(*) as n from orders group by 1")
 def m8_translate(spark, sf):
     v, w = _renamed(spark, sf)

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.assoc import pair_counts
-from sparkloom.operators.helpers import materialize, uniform, unpivot
+from sparkloom.operators.helpers import global_cumsum, materialize, small_or_shuffled, uniform, unpivot
+from sparkloom.operators.transport import used_capacity
 
-
-#: different values of a column whose values are recovered
+#: different values of a column whose pairs of values are listed; wider columns are mapped by frequency_map
 VALUES = 2000
 
 
@@ -102,14 +102,14 @@ def frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
 def init_value_graph(v: DataFrame, w: DataFrame, cols: list[str]) -> DataFrame:
     """col, a, b, w = 1 - |difference of relative frequencies| over the pairs of a column's values.
 
-    Recovery is for categories: a column with more than ``VALUES`` different values on either side is an error, and
-    that bounds the pairs, the side that is broadcast and the matrix that best_value_map solves.
+    A column with more than ``VALUES`` different values on either side is an error, and that bounds the pairs, the side that is
+    broadcast and the matrix that best_value_map solves; frequency_map gives wider columns' best map without the pairs.
     """
     a = materialize(frequencies(v, cols).select("col", F.col("value").alias("a"), F.col("f").alias("fa")))
     b = materialize(frequencies(w, cols).select("col", F.col("value").alias("b"), F.col("f").alias("fb")))
     most = a.groupBy("col").count().unionByName(b.groupBy("col").count()).agg(F.max("count")).first()[0] or 0
     if most > VALUES:
-        raise ValueError(f"a column has {most} values; values are recovered for at most {VALUES}")
+        raise ValueError(f"a column has {most} values, pairs are listed for at most {VALUES}; see frequency_map")
     return a.join(F.broadcast(b), "col").select("col", "a", "b", (1 - F.abs(F.col("fa") - F.col("fb"))).alias("w"))
 
 
@@ -159,6 +159,51 @@ def best_value_map(g: DataFrame) -> DataFrame:
     return g.groupBy("col").applyInPandas(solve, "col string, a string, b string")
 
 
+def ranked_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """col, value, n rows, place (from 1): each column's values by rising frequency, ties by value; nulls are left out."""
+    n = unpivot(df, [], cols).filter("value is not null").groupBy("col", "value").agg(F.count("*").alias("n"))
+    run = materialize(global_cumsum(n, [F.col("col"), F.col("n"), F.col("value")], {"upto": F.lit(1)}))
+    first = run.groupBy("col").agg(F.min("upto").alias("first"))
+    return run.join(F.broadcast(first), "col").select("col", "value", "n", (F.col("upto") - F.col("first") + 1).alias("place"))
+
+
+def frequency_map(v: DataFrame, w: DataFrame, cols: list[str]) -> DataFrame:
+    """col, a, b: a map of largest total weight over init_value_graph's pairs, for any number of values and without the pairs.
+
+    A weight falls with the distance of two frequencies on a line, so some best map keeps the order of the values (ties by
+    value), and values of one frequency are alike: only the numbers of values of each frequency decide which values of the
+    larger side stay without a partner.  A column of N rows has at most sqrt(2 N) frequencies; its (frequency, number) rows are
+    one group, solved exactly in whole numbers (transport.used_capacity).  The values then meet by equi-joins on their places.
+    Columns without values on one side have no map.
+    """
+    a, b = (ranked_values(df, cols) for df in (v, w))
+    classes = lambda t, side: t.groupBy("col", "n").agg(F.count("*").alias("k")).withColumn("side", F.lit(side))
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        kinds = [[(int(n), int(k)) for n, k in zip(t["n"], t["k"])] for t in (rows[rows["side"] == side].sort_values("n") for side in (0, 1))]
+        total = [sum(n * k for n, k in x) for x in kinds]
+        wide = 0 if sum(k for _, k in kinds[0]) > sum(k for _, k in kinds[1]) else 1
+        supply = {n * total[wide]: k for n, k in kinds[1 - wide]}
+        capacity = {n * total[1 - wide]: k for n, k in kinds[wide]}
+        line = sorted(supply.keys() | capacity.keys())
+        used = dict(zip(line, used_capacity([(x, supply.get(x, 0), capacity.get(x, 0)) for x in line])))
+        out, before, taken = [], 0, 0
+        for n, k in kinds[wide]:
+            u = used[n * total[1 - wide]]
+            out.append((rows["col"].iloc[0], wide, n, before, u, taken))
+            before, taken = before + k, taken + u
+        return pd.DataFrame(out, columns=["col", "wide", "n", "before", "used", "taken"])
+
+    plan = materialize(classes(a, 0).unionByName(classes(b, 1)).groupBy("col").applyInPandas(solve, "col string, wide int, n long, before long, used long, taken long"))
+    partner = F.col("place") - F.col("before")
+    found = []
+    for wide, (large, small), names in ((0, (a, b), ("a", "b")), (1, (b, a), ("b", "a"))):
+        chosen = large.join(small_or_shuffled(plan.filter(F.col("wide") == wide)), ["col", "n"]).filter(partner <= F.col("used"))
+        chosen = chosen.select("col", F.col("value").alias(names[0]), (F.col("taken") + partner).alias("place"))
+        found.append(chosen.join(small.select("col", "place", F.col("value").alias(names[1])), ["col", "place"]).select("col", "a", "b"))
+    return found[0].unionByName(found[1])
+
+
 def translate(v: DataFrame, maps: DataFrame, cols: list[str]) -> DataFrame:
     """v with each value replaced by its mapped one; values without a map become null."""
     out = v
@@ -168,8 +213,8 @@ def translate(v: DataFrame, maps: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
-def value_model(w: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Naive Bayes of every column from all others, from one grouping of all column pairs.
+def value_model(w: DataFrame, cols: list[str], asked: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Naive Bayes of every column (of those asked) from all others, from one grouping of all column pairs.
 
     (pairs, classes): col, b, x, v, gain = ln(n + 1) of a column's value b beside value v of column x; and col, b, start, step:
     a row's score for b is start, plus the gains of its other values, minus step for each of these that w has.
@@ -177,7 +222,7 @@ def value_model(w: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """
     n = pair_counts(w, cols).filter("a is not null and b is not null")
     both = n.select(F.col("x").alias("col"), F.col("a").alias("value"), F.col("y").alias("x"), F.col("b").alias("v"), "n").unionByName(n.select(F.col("y").alias("col"), F.col("b").alias("value"), "x", F.col("a").alias("v"), "n"))
-    pairs = materialize(both.select("col", F.col("value").alias("b"), "x", "v", "n"))
+    pairs = materialize(both.filter(F.col("col").isin(asked or cols)).select("col", F.col("value").alias("b"), "x", "v", "n"))
     counts = materialize(unpivot(w, [], cols).filter("value is not null").groupBy("col", F.col("value").alias("b")).agg(F.count("*").alias("n")))
     # one row for each column
     sizes = {r["col"]: (r["k"], r["n"]) for r in counts.groupBy("col").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()}
@@ -189,8 +234,8 @@ def value_model(w: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     return pairs.select("col", "b", "x", "v", F.log(F.col("n") + 1.0).alias("gain")), materialize(classes)
 
 
-def predict_values(t: DataFrame, model: tuple[DataFrame, DataFrame], cols: list[str], key: str) -> DataFrame:
-    """key, col, b, p: of each row and column the probability of each of the model's values, given the row's other columns.
+def predict_values(t: DataFrame, model: tuple[DataFrame, DataFrame], cols: list[str], key: str, asked: list[str] | None = None) -> DataFrame:
+    """key, col, b, p: of each row and column (asked) the probability of each of the model's values, given the row's other columns.
 
     All columns are scored by the same joins; values that the model hasn't seen say nothing.  A null key is no row.
     """
@@ -200,9 +245,9 @@ def predict_values(t: DataFrame, model: tuple[DataFrame, DataFrame], cols: list[
     heard = cells.groupBy(key).agg(F.collect_set("x").alias("heard"))
     gains = cells.join(pairs, ["x", "v"]).groupBy(key, "col", "b").agg(F.sum("gain").alias("gain"))
     others = F.size("heard") - F.array_contains("heard", F.col("col")).cast("int")
-    asked = t.select(key).filter(F.col(key).isNotNull()).distinct().join(heard, key, "left").withColumn("heard", F.coalesce("heard", F.array().cast("array<string>")))
-    asked = asked.withColumn("col", F.explode(F.array(*map(F.lit, cols)))).join(classes, "col")
-    scored = asked.join(gains, [key, "col", "b"], "left").select(key, "col", "b", (F.col("start") + F.coalesce("gain", F.lit(0.0)) - others * F.col("step")).alias("s"))
+    rows = t.select(key).filter(F.col(key).isNotNull()).distinct().join(heard, key, "left").withColumn("heard", F.coalesce("heard", F.array().cast("array<string>")))
+    rows = rows.withColumn("col", F.explode(F.array(*map(F.lit, asked or cols)))).join(classes, "col")
+    scored = rows.join(gains, [key, "col", "b"], "left").select(key, "col", "b", (F.col("start") + F.coalesce("gain", F.lit(0.0)) - others * F.col("step")).alias("s"))
     row = Window.partitionBy(key, "col")
     raised = scored.withColumn("e", F.exp(F.col("s") - F.max("s").over(row)))
     return raised.select(key, "col", "b", (F.col("e") / F.sum("e").over(row)).alias("p"))
@@ -220,14 +265,25 @@ def update_value_graph(g: DataFrame, triples: DataFrame, alpha: float = 0.5) ->
 
 
 def recover_values(v: DataFrame, w: DataFrame, cols: list[str], key: str, times: int = 2, alpha: float = 0.5) -> DataFrame:
-    """col, a, b: V's values in terms of W's, by rounds of mapping, translating and predicting."""
-    g = materialize(init_value_graph(v, w, cols))
-    model = value_model(w, cols)
+    """col, a, b: V's values in terms of W's, by rounds of mapping, translating and predicting.
+
+    Columns of more than ``VALUES`` values on a side have no list of pairs to update: frequency_map's map of them stays,
+    and in the rounds they help to predict the other columns.
+    """
+    sizes = [unpivot(t, [], cols).filter("value is not null").distinct().groupBy("col").count() for t in (v, w)]
+    wide = {r["col"] for r in sizes[0].unionByName(sizes[1]).filter(F.col("count") > VALUES).collect()}
+    few = [c for c in cols if c not in wide]
+    fixed = materialize(frequency_map(v, w, [c for c in cols if c in wide])) if wide else None
+    if not few:
+        return fixed
+    g = materialize(init_value_graph(v, w, few))
+    maps = lambda: best_value_map(g).unionByName(fixed) if wide else best_value_map(g)
+    model = value_model(w, cols, few)
     for _ in range(times):
-        turned = materialize(translate(v, best_value_map(g), cols))
-        triples = value_triples(v, predict_values(turned, model, cols, key), cols, key)
+        turned = materialize(translate(v, maps(), cols))
+        triples = value_triples(v, predict_values(turned, model, cols, key, few), few, key)
         g = materialize(update_value_graph(g, triples, alpha))
-    return best_value_map(g)
+    return maps()
 
 
 def mapping_report(found: DataFrame, setting: str = "setting") -> DataFrame:
