@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.helpers import global_cumsum, hold_by_hash, materialize, uniform
+from sparkloom.operators.helpers import global_cumsum, hold_by_hash, materialize, small_or_shuffled, uniform
 
 #: values of a column's domain that may come to the driver
 DOMAIN_LIMIT = 10_000
@@ -90,6 +90,28 @@ def restore(df: DataFrame, known: dict[str, list], strategy: str = "maxi", key:
     return df.withColumns(out).drop(*drop)
 
 
+def codes(df: DataFrame, col: str) -> DataFrame:
+    """value, at: the place (from 0) of each of a column's values in their order, for any number of values; nulls left out."""
+    values = df.filter(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
+    return materialize(global_cumsum(values, [F.col("value")], {"upto": F.lit(1)}).select("value", (F.col("upto") - 1).cast("int").alias("at")))
+
+
+def coded(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """df with each column of tables (codes) replaced by its value's place: dummify in sparse form, as the place says which dummy is 1.
+
+    Nulls and values that are not in the table become null.
+    """
+    out = df
+    for c, t in tables.items():
+        out = out.join(small_or_shuffled(t.select(F.col("value").alias("__value"), F.col("at").alias("__at"))), F.col(c) == F.col("__value"), "left").withColumn(c, F.col("__at")).drop("__value", "__at")
+    return out
+
+
+def decoded(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Values back from places; a place that is null or not in the table becomes null."""
+    return coded(df, {c: t.select(F.col("at").alias("value"), F.col("value").alias("at")) for c, t in tables.items()})
+
+
 def quantiles(df: DataFrame, cols: list[str], at: list[float]) -> dict[str, tuple[list[float], int]]:
     """Quantiles of each column, interpolated linearly, and its number of different values; nulls are left out.
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +21,11 @@ from sparkloom.operators.helpers import collapse, global_cumsum, materialize, sm
 #: noise settings: slope above, slope below the true count
 PRESETS = {"neutral": {"bp": 1.0, "bn": 1.0}, "over": {"bp": 1.0, "bn": 3.0}, "under": {"bp": 3.0, "bn": 1.0}}
 
+#: dummies whose Gramian comes to the driver, 72 MB of doubles
+DUMMIES = 3000
+#: doubles that a task computes at a time
+CELLS = 1 << 21
+
 
 def kambiguate(df: DataFrame, attrs: list[str], k: int) -> DataFrame:
     """df with attrs suppressed to null so that each row matches at least k other rows, and suppressed: array of names.
@@ -76,31 +83,70 @@ def match_count(released: DataFrame, original: DataFrame, attrs: list[str]) -> D
     return out
 
 
+def gramian(places: DataFrame, p: int) -> np.ndarray:
+    """Dummy by dummy counts of the rows' arrays of places (column places), from one grouping of the pairs inside each row."""
+    i = F.explode(F.transform("places", lambda x: F.struct(x.alias("i"), F.filter("places", lambda y: y >= x).alias("js")))).alias("x")
+    n = places.select(i).select("x.i", F.explode("x.js").alias("j")).groupBy("i", "j").agg(F.count("*").alias("n")).toArrow()
+    at = [n.column(c).to_numpy() for c in ("i", "j", "n")]
+    g = np.zeros((p, p))
+    g[at[0], at[1]] = at[2]
+    g[at[1], at[0]] = at[2]
+    return g
+
+
 def spectral_swap(df: DataFrame, which: list[str], key: str, seed: int = 0) -> DataFrame:
     """key and swapped columns: the table's left singular vectors are each permuted on their own.
 
-    The Gramian of the dummy columns is one aggregate; its eigenvectors (columns x columns) are found on
-    the driver.  Permutations rank rows by hashes through global running counts, those of all vectors
-    in one pass, never in one partition.
+    Rows carry the places of their dummies, not dummy columns.  The Gramian is one grouped count; its eigenvectors
+    (dummies x dummies, at most ``DUMMIES``, an error beyond) are found on the driver and go to the tasks as one array.
+    Permutations rank rows by hashes through global running counts, those of all vectors in one pass, never in one
+    partition.  A null cell has no dummy; every swapped cell has the value of the largest score, the first on ties, and a
+    column without values stays null.
     """
-    known = columns.domains(df, which)
-    wide = materialize(columns.dummify(df.select(key, *which), which, known))
-    names = [c for c in wide.columns if c != key]
-    grams = wide.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j)).first()
-    g = np.array([[grams[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(names))] for i in range(len(names))])
-    values, v = np.linalg.eigh(g)
-    keep = values > max(values.max(), 0) * 1e-10
-    v = v[:, keep]
+    tables = {c: columns.codes(df, c) for c in which}
+    sizes = [tables[c].count() for c in which]
+    widths = [n if n > 2 else 1 for n in sizes]
+    starts = [sum(widths[:i]) for i in range(len(which))]
+    p = sum(widths)
+    if p > DUMMIES:
+        raise ValueError(f"{p} dummies; singular vectors are found for at most {DUMMIES}")
+    # the dummy that is 1 in a row: none for a constant, one for the second of two values
+    place = [F.when(F.lit(n > 2), F.col(c) + s).when(F.lit(n == 2) & (F.col(c) == 1), s) for c, n, s in zip(which, sizes, starts)]
+    rows = columns.coded(df.select(key, *which), tables)
+    rows = materialize(rows.select(key, F.filter(F.array(*(x.cast("int") for x in place)), lambda x: x.isNotNull()).alias("places")))
+    values, v = np.linalg.eigh(gramian(rows, p))
+    v = v[:, values > max(values.max(initial=0), 0) * 1e-10]
     r = v.shape[1]
-    scores = F.array(*(sum((F.col(c) * float(v[i, j]) for i, c in enumerate(names)), F.lit(0.0)) for j in range(r)))
+    if not r:
+        return df.select(key, *which)
+    shared = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(v))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, step) for step in [max(1, CELLS // r)] for i in range(0, batch.num_rows, step)):
+                lists = part.column(1)
+                of = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                u = np.zeros((part.num_rows, r))
+                np.add.at(u, of, shared.value[lists.flatten().to_numpy()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(u.ravel(), r).cast(pa.list_(pa.float64()))], [key, "u"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, step) for step in [max(1, CELLS // max(p, r))] for i in range(0, batch.num_rows, step)):
+                back = part.column(1).flatten().to_numpy().reshape(part.num_rows, r) @ shared.value.T
+                best = [back[:, s : s + n].argmax(1) if n > 2 else (back[:, s] > 1 - back[:, s]) if n == 2 else np.zeros(len(back)) for s, n in zip(starts, sizes)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(b.astype(np.int32)) for b in best)], [key, *which])
+
     # where each row stands, once for itself and once for each vector's values: two global orders in all
-    target = global_cumsum(wide.select(key, uniform(key, seed=seed).alias("h")), [F.col("h"), F.col(key)], {"at": F.lit(1)}).select(key, "at")
-    n = wide.count()
-    each = wide.select(key, F.posexplode(scores).alias("j", "u")).withColumn("h", uniform(key, "j", seed=seed + 1))
+    target = global_cumsum(rows.select(key, uniform(key, seed=seed).alias("h")), [F.col("h"), F.col(key)], {"at": F.lit(1)}).select(key, "at")
+    n = rows.count()
+    kind = df.schema[key].dataType.simpleString()
+    each = rows.mapInArrow(score, f"`{key}` {kind}, u array<double>").select(key, F.posexplode("u").alias("j", "u")).withColumn("h", uniform(key, "j", seed=seed + 1))
     source = global_cumsum(each, [F.col("j"), F.col("h"), F.col(key)], {"at": F.lit(1)}).withColumn("at", F.col("at") - F.col("j").cast("long") * n)
-    source = source.groupBy("at").agg(*(F.max(F.when(F.col("j") == j, F.col("u"))).alias(f"u{j}") for j in range(r)))
-    back = target.join(source, "at").select(key, *(sum((F.col(f"u{j}") * float(v[i, j]) for j in range(r)), F.lit(0.0)).alias(c) for i, c in enumerate(names)))
-    return columns.restore(back, known, "maxi")
+    # one entry for each vector
+    source = source.groupBy("at").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "u"))), lambda x: x["u"]).alias("u"))
+    back = target.join(source, "at").select(key, "u").mapInArrow(choose, ", ".join([f"`{key}` {kind}", *(f"`{c}` int" for c in which)]))
+    return columns.decoded(back, tables).select(key, *which)
 
 
 def utility(r: Column, c: Column, ap: float, bp: float, an: float, bn: float) -> Column:
