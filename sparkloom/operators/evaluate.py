@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 from statistics import NormalDist
 
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.distributions import norm_cdf
+from sparkloom.operators import logistic
 from sparkloom.operators.helpers import global_cumsum, materialize, uniform
 
 
@@ -138,24 +138,27 @@ def logistic_cindex(train: DataFrame, test: DataFrame, features: list[str], labe
     return cindex(logistic_scores(train, test, features, label), "score", label).first()["cindex"]
 
 
-def subset_score(mask: tuple[int, ...], features: list[str], train: DataFrame, hold: DataFrame, label: str, rho: float = 0.5) -> float:
-    """rho * c-index + (1 - rho) * fraction of unused features; 0 for none."""
-    used = [f for f, m in zip(features, mask) if m]
-    if not used:
-        return 0.0
-    return rho * (logistic_cindex(train, hold, used, label) or 0.0) + (1 - rho) * (1 - len(used) / len(features))
+def subset_scores(masks: list[tuple[int, ...]], train: DataFrame, hold: DataFrame, rho: float = 0.5) -> list[float]:
+    """rho * c-index on hold + (1 - rho) * fraction of unused features for each mask; 0 for the empty one.
+
+    train and hold are prepared rows (logistic.prepared); all masks are fitted and scored together.
+    """
+    models = [logistic.Model(m) for m in masks if any(m)]
+    found = logistic.cindexes(logistic.scored(hold, logistic.fit(train, models)), len(models)) if models else []
+    value = {m.mask: rho * (c or 0.0) + (1 - rho) * (1 - sum(m.mask) / len(m.mask)) for m, c in zip(models, found)}
+    return [value.get(m, 0.0) for m in masks]
 
 
-def select_variables(train: DataFrame, hold: DataFrame, test: DataFrame, features: list[str], label: str, rho: float = 0.5, size: int = 8, generations: int = 3, elite: int = 2, flip: float = 0.2, seed: int = 0, threads: int = 2) -> dict:
-    """Genetic search over feature masks; each new mask is one fit on the cluster, known masks are looked up."""
+def select_variables(train: DataFrame, hold: DataFrame, test: DataFrame, features: list[str], label: str, rho: float = 0.5, size: int = 8, generations: int = 3, elite: int = 2, flip: float = 0.2, seed: int = 0) -> dict:
+    """Genetic search over feature masks; a generation's new masks are fitted together, known masks are looked up."""
     rng = random.Random(seed)
     known: dict[tuple[int, ...], float] = {}
     people = [tuple(rng.randint(0, 1) for _ in features) for _ in range(size)]
+    part = [materialize(logistic.prepared(x, features, label)) for x in (train, hold, test)]
 
     def rate(masks: list[tuple[int, ...]]) -> None:
-        new = sorted(set(masks) - known.keys())
-        with ThreadPoolExecutor(threads) as pool:
-            known.update(zip(new, pool.map(lambda m: subset_score(m, features, train, hold, label, rho), new)))
+        if new := sorted(set(masks) - known.keys()):
+            known.update(zip(new, subset_scores(new, part[0], part[1], rho)))
 
     for _ in range(generations):
         rate(people)
@@ -169,8 +172,9 @@ def select_variables(train: DataFrame, hold: DataFrame, test: DataFrame, feature
         people = nxt
     rate(people)
     mask = max(known, key=lambda m: (known[m], m))
-    used = [f for f, m in zip(features, mask) if m]
-    return {"variables": used, "train": logistic_cindex(train, train, used, label), "test": logistic_cindex(train, test, used, label), "score": known[mask]}
+    fits = logistic.fit(part[0], [logistic.Model(mask)])
+    ends = [logistic.cindexes(logistic.scored(x, fits), 1)[0] for x in (part[0], part[2])]
+    return {"variables": [f for f, m in zip(features, mask) if m], "train": ends[0], "test": ends[1], "score": known[mask]}
 
 
 def folds(df: DataFrame, n: int, key: list[str], seed: int = 0) -> DataFrame:
@@ -187,3 +191,17 @@ def cross_validate(df: DataFrame, models: dict[str, Callable[[DataFrame, DataFra
             train, test = dealt.filter(F.col("fold") != k).drop("fold"), dealt.filter(F.col("fold") == k).drop("fold")
             out += [(rep, k, name, score(f(train, test))) for name, f in models.items()]
     return df.sparkSession.createDataFrame(out, "rep int, fold int, model string, score double")
+
+
+def cross_validate_logistic(df: DataFrame, models: dict[str, list[str]], label: str, n: int, key: list[str], reps: int = 1, seed: int = 0) -> DataFrame:
+    """rep, fold, model, score: c-indexes of logistic regressions, each on some features, on the folds of cross_validate.
+
+    The fits of all models, folds and repetitions share every pass over the table, so jobs grow with Newton steps alone.
+    """
+    features = sorted({c for cols in models.values() for c in cols})
+    dealt = df.withColumn("__folds", F.array(*(F.floor(uniform(*key, seed=seed + rep) * n).cast("int") for rep in range(reps))))
+    rows = materialize(logistic.prepared(dealt, features, label, "__folds"))
+    asked = [(rep, k, name) for rep in range(reps) for k in range(n) for name in models]
+    each = [logistic.Model(tuple(int(c in models[name]) for c in features), rep, k) for rep, k, name in asked]
+    found = logistic.cindexes(logistic.scored(rows, logistic.fit(rows, each)), len(each))
+    return df.sparkSession.createDataFrame([(*a, c) for a, c in zip(asked, found)], "rep int, fold int, model string, score double")
