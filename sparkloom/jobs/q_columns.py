@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import distributions as T
 from sparkloom.jobs.catalog import gamma_p, measures_sql, pnorm, query, table, u
-from sparkloom.operators import assoc, columns, discern
-from sparkloom.operators.helpers import unpivot
+from sparkloom.operators import assoc, columns, discern, sketches
+from sparkloom.operators.helpers import materialize, unpivot
 
 _GAP = "case when l_orderkey % 10 = 0 then null else l_returnflag end"
 
@@ -97,6 +97,27 @@ def p12_p13_memberships(spark, sf):
     return df.select(F.explode(every).alias("s")).groupBy("s.level").agg(F.round(F.sum("s.m"), 4).alias("mass"))
 
 
+_SKETCHED, _FIVE, _ERROR = ["l_quantity", "l_extendedprice", "l_discount"], [0.0, 0.25, 0.5, 0.75, 1.0], 0.01
+
+
+@query(f"""with c as (unpivot (select l_quantity, l_extendedprice, l_discount from lineitem) on {', '.join(_SKETCHED)} into name col value v)
+select col, i::int as i, count(*) as n, min(v) as low, max(v) as high, true as within from c, (select unnest([0, 1, 2, 3, 4]) i) group by 1, 2""")
+def p7_p9_p13_sketched_quantiles(spark, sf):
+    """Quantiles from the merged sketches of all ship months, and whether their counted ranks keep the stated error."""
+    df = table(spark, sf, "lineitem")
+    months = materialize(sketches.sketch(df.withColumn("month", F.date_format("l_shipdate", "yyyy-MM")), _SKETCHED, _ERROR, by=["month"]))
+    whole = materialize(sketches.merge(months))
+    asked = sketches.at_shares(whole, _FIVE).collect()
+    below = [F.sum((F.col(r["col"]) < r["value"]).cast("long")).alias(f"b{j}") for j, r in enumerate(asked)]
+    upto = [F.sum((F.col(r["col"]) <= r["value"]).cast("long")).alias(f"u{j}") for j, r in enumerate(asked)]
+    ranks = df.agg(*below, *upto)
+    checked = F.explode(F.array(*(
+        F.struct(F.lit(r["col"]).alias("col"), F.lit(r["i"]).alias("i"), ((F.col(f"b{j}") <= (r["share"] + _ERROR) * r["n"]) & (F.col(f"u{j}") >= (r["share"] - _ERROR) * r["n"])).alias("within"))
+        for j, r in enumerate(asked)
+    )))
+    return ranks.select(checked.alias("x")).select("x.*").join(F.broadcast(whole.select("col", "n", "low", "high")), "col").select("col", "i", "n", "low", "high", "within")
+
+
 @query("select o_orderstatus, count(*) as n, round(sum(o_totalprice)::double, 2) as total from orders where o_totalprice > 100000 group by 1")
 def p14_a15_processor(spark, sf):
     run = columns.Processors()

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators import sketches
 from sparkloom.operators.helpers import global_cumsum, hold_by_hash, materialize, small_or_shuffled, uniform
 
 #: values of a column's domain that may come to the driver
@@ -112,12 +113,16 @@ def decoded(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     return coded(df, {c: t.select(F.col("at").alias("value"), F.col("value").alias("at")) for c, t in tables.items()})
 
 
-def quantiles(df: DataFrame, cols: list[str], at: list[float]) -> dict[str, tuple[list[float], int]]:
+def quantiles(df: DataFrame, cols: list[str], at: list[float], known: DataFrame | None = None) -> dict[str, tuple[list[float], int]]:
     """Quantiles of each column, interpolated linearly, and its number of different values; nulls are left out.
 
     All columns are counted by value in one job and put in order by range partitions with running counts; only the
     two values on either side of each quantile come to the driver.  A column without values has none.
+
+    known: stored sketches of the columns (sketches.stored), which are asked instead, within their rank error; df is not read then.
     """
+    if known is not None:
+        return sketches.quantiles(known, cols, at)
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("value")) for c in cols)))
     counts = df.select(cells.alias("x")).select("x.*").filter("value is not null").groupBy("col", "value").agg(F.count("*").alias("n"))
     run = materialize(global_cumsum(counts, [F.col("col"), F.col("value")], {"upto": F.col("n")}))
@@ -136,9 +141,9 @@ def quantiles(df: DataFrame, cols: list[str], at: list[float]) -> dict[str, tupl
     return {c: ([found[c, i] for i in range(len(at))], sizes[c]["values"]) if c in sizes else ([], 0) for c in cols}
 
 
-def cuts_between_quantiles(df: DataFrame, cols: list[str], levels: int) -> dict[str, list[float] | None]:
+def cuts_between_quantiles(df: DataFrame, cols: list[str], levels: int, known: DataFrame | None = None) -> dict[str, list[float] | None]:
     """Midpoints of neighbouring quantiles at 0, 1/(levels-1), .., 1; None where a column has at most levels values."""
-    found = quantiles(df, cols, [i / (levels - 1) for i in range(levels)])
+    found = quantiles(df, cols, [i / (levels - 1) for i in range(levels)], known)
     return {c: None if n <= levels else [(a + b) / 2 for a, b in zip(q, q[1:])] for c, (q, n) in found.items()}
 
 
@@ -147,9 +152,9 @@ def level(x: Column, cuts: list[float]) -> Column:
     return F.when(x.isNotNull(), sum(((x > c).cast("int") for c in cuts), F.lit(0)))
 
 
-def cuts_inner_quantiles(df: DataFrame, cols: list[str], n: int) -> dict[str, list[float]]:
+def cuts_inner_quantiles(df: DataFrame, cols: list[str], n: int, known: DataFrame | None = None) -> dict[str, list[float]]:
     """n quantiles at (i + 1) / (n + 1), interpolated linearly."""
-    return {c: q for c, (q, _) in quantiles(df, cols, [(i + 1) / (n + 1) for i in range(n)]).items()}
+    return {c: q for c, (q, _) in quantiles(df, cols, [(i + 1) / (n + 1) for i in range(n)], known).items()}
 
 
 def cuts_equal_width(df: DataFrame, cols: list[str], n: int) -> dict[str, list[float]]:
@@ -184,9 +189,9 @@ def membership(x: Column, left: float, top: float, right: float, height: float =
     return F.when(x.isNotNull(), value)
 
 
-def membership_table(df: DataFrame, cols: list[str], levels: int) -> list[tuple[str, int, float, float, float]]:
+def membership_table(df: DataFrame, cols: list[str], levels: int, known: DataFrame | None = None) -> list[tuple[str, int, float, float, float]]:
     """(column, level, left, top, right) over the quantiles, with infinite shoulders."""
-    found = quantiles(df, cols, [i / (levels - 1) for i in range(levels)])
+    found = quantiles(df, cols, [i / (levels - 1) for i in range(levels)], known)
     out = []
     for c in cols:
         points = [-math.inf, *found[c][0], math.inf]
@@ -200,9 +205,9 @@ def strongest(values: list[Column]) -> Column:
     return (F.array_position(every, F.array_max(every)) - 1).cast("int")
 
 
-def discretize_fuzzy(df: DataFrame, cols: list[str], n: int = 3) -> DataFrame:
+def discretize_fuzzy(df: DataFrame, cols: list[str], n: int = 3, known: DataFrame | None = None) -> DataFrame:
     """Columns with more than n values become the number of their strongest triangle; others stay."""
-    found = quantiles(df, cols, [(i + 1) / (n + 1) for i in range(n)])
+    found = quantiles(df, cols, [(i + 1) / (n + 1) for i in range(n)], known)
     out = {}
     for c in [c for c in cols if found[c][1] > n]:
         points = [-math.inf, *found[c][0], math.inf]
