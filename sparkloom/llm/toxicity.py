@@ -5,8 +5,9 @@ Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lowered.  Featu
 for a text.  Each coordinate has its own rate (from its summed squared gradients), and L1 keeps most
 weights at zero, so the model is a short list of places and weights that is sent to all tasks.
 
-Training takes at most ``TRAIN_ROWS`` labelled rows (in expectation; chosen by hash, whole texts) in a
-fixed order, in one task that holds their feature lists.
+Training takes at most ``TRAIN_ROWS`` labelled rows with ``TRAIN_FEATURES`` features in all (both in expectation;
+chosen by hash, whole texts) in a fixed order, in one task that holds their feature lists: at most 256 MiB, and
+4 MiB for one text, however long.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from sparkloom.llm import vec
 from sparkloom.llm.common import materialize, small_or_shuffled
 
 BITS = 20
-TRAIN_ROWS = 12_000
+TRAIN_ROWS, TRAIN_FEATURES = 12_000, 1 << 26
 EPOCHS = 5
 #: L1 is this times the root of the number of training rows, as noise in summed gradients grows
 ALPHA, BETA, L1_RATE, L2 = 1.0, 1.0, 0.055, 0.0
@@ -99,6 +100,12 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], ["place", "w"])
 
 
+def bounded(feats: DataFrame, most: int) -> DataFrame:
+    """Rows of (o, label, x) chosen by the hash of o, with at most ``most`` places in all, in expectation."""
+    share = most / (feats.agg(F.sum(F.size("x"))).first()[0] or 1)
+    return feats.filter(F.pmod(F.xxhash64("o", F.lit("fits")), F.lit(1 << 30)) < share * (1 << 30))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> dict[int, float]:
     """Non-zero weights by place, the bias at 2**BITS; empty if there is no labelled row."""
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
@@ -108,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = known.filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).withColumn("o", order)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small_or_shuffled(sample, sample.count(), 24), "id").select("o", "label", "text")
     feats = materialize(picked.mapInArrow(_features, "o long, label int, x array<int>"))
-    return {r[0]: r[1] for r in feats.coalesce(1).mapInArrow(_fit, "place int, w double").collect()}
+    return {r[0]: r[1] for r in bounded(feats, TRAIN_FEATURES).coalesce(1).mapInArrow(_fit, "place int, w double").collect()}
 
 
 def _score(shared):
