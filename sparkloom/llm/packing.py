@@ -5,7 +5,8 @@
    hashes of its words under as many hash functions, which like texts tend to share, then a hash of all its words.
 2. Signatures in order are cut into shards of about ``SHARD_BYTES`` by their cumulated bytes, so that more texts with
    one smallest hash are told apart by the next ones.  Only texts with the same words, and more of them than
-   a shard holds, are dealt by id.  Texts are shuffled to their shards once, sorted by id.
+   a shard holds, are dealt by id, and null ids and rows that repeat an id and text by their number.  Texts are
+   shuffled to their shards once, sorted by id.
 3. A task takes a shard: it tokenises, builds an inverted index and packs greedily.  The document
    that a sequence begins with is the seed.  BM25 with the seed's ``QUERY_TERMS`` weightiest words ranks
    the unused documents of the shard; they fill the window in that order.  The one that does not fit
@@ -25,11 +26,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
-from sparkloom.llm.common import LAST_ID, materialize, partitions
+from sparkloom.llm.common import materialize, partitions
 from sparkloom.operators.helpers import global_cumsum
 
 WIDTH = 2048
@@ -143,11 +146,31 @@ def _cuts(sizes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([s for s, _ in rows], f"S{SIGNATURE_BYTES}"), np.cumsum(parts) - parts, parts
 
 
+class Spread:
+    """Hashes that deal the texts of one signature: of the id; for null ids and further copies of an (id, text) also of a number.
+
+    Copies are numbered within a task and the task's number is hashed in, so copies in other tasks go elsewhere.  Equal
+    rows are interchangeable, so a task that runs again in another order deals the same rows.
+    """
+
+    def __init__(self, task: int) -> None:
+        self.task, self.met = task, {}
+
+    def __call__(self, key: int | None, text: bytes) -> int:
+        digest = xxhash.xxh3_128_digest(text)
+        copy = self.met.get((key, digest), 0)
+        self.met[key, digest] = copy + 1
+        if key is not None and not copy:
+            return int(vec.mix(np.array([key], np.int64).view(np.uint64))[0])
+        return xxhash.xxh3_64_intdigest(f"{key}|{self.task}|{copy}|".encode() + digest)
+
+
 def _deal(shared):
-    """Adds the shard: the run that the signature lies in, and a part of it by id if it has several."""
+    """Adds the shard: the run that the signature lies in, and a part of it (Spread) if it has several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, base, parts = shared.value
+        spread = Spread(TaskContext.get().partitionId())
         for batch in batches:
             buf, off = vec.text_buffer(batch.column(1))
             at = np.zeros(batch.num_rows, np.int64)
@@ -156,8 +179,10 @@ def _deal(shared):
                 ws, we, first = vec.words(part, off[a : b + 1] - off[a])
                 own = _signature(vec.word_hashes(part, ws, we), first).view(f"S{SIGNATURE_BYTES}").ravel()
                 at[a:b] = np.searchsorted(begin, own, "right") - 1
-            spread = (vec.mix(batch.column(0).fill_null(LAST_ID).to_numpy().view(np.uint64)) % parts[at].astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(base[at] + spread), batch.column(0), batch.column(1)], ["shard", "id", "text"])
+            shard = base[at]
+            for i in np.flatnonzero(parts[at] > 1).tolist():
+                shard[i] += spread(batch.column(0)[i].as_py(), buf[off[i] : off[i + 1]].tobytes()) % int(parts[at[i]])
+            yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), batch.column(1)], ["shard", "id", "text"])
 
     return run
 

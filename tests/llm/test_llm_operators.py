@@ -241,6 +241,21 @@ def test_packing_deals_by_id_only_what_has_the_same_words(spark, monkeypatch):
     assert len(set(copies)) > 1 and max(map(copies.count, copies)) < 200
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_packing_deals_repeated_rows_and_null_ids(spark, monkeypatch, key):
+    """Thousands of rows with one id, or none, and one text fill many shards evenly, and each comes out whole."""
+    monkeypatch.setattr(packing, "SHARD_BYTES", 2000)
+    args = (public_tokenizers.path("byte_bpe_50k.json"), 1, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    df = spark.createDataFrame([(key, "same words " * 4)] * 3000, "doc_id long, text string").repartition(8)
+    out = packing.pack(df, *args, with_ids=False).collect()
+    per = {}
+    for r in out:
+        per[r.sequence_id >> 32] = per.get(r.sequence_id >> 32, 0) + r.length
+    assert len(per) > 20 and max(per.values()) < 6 * sum(per.values()) / len(per)
+    assert sum(r.length for r in out) == 3000 * out[0].doc_tokens and sum(r.start == 0 for r in out) == 3000
+    assert {r.doc_id for r in out} == {key}
+
+
 # language
 
 
@@ -361,6 +376,20 @@ def test_fuzzy_finds_adjacent_notices_the_first_more_edited():
 # toxicity
 
 
+def test_toxicity_training_is_bounded_in_features(spark, monkeypatch):
+    feats = spark.range(4000).select(F.xxhash64("id").alias("o"), (F.col("id") % 2).cast("int").alias("label"), F.sequence(F.lit(0), (F.col("id") % 100).cast("int")).alias("x"))
+    whole = feats.agg(F.sum(F.size("x"))).first()[0]
+    assert toxicity.bounded(feats, whole).count() == toxicity.bounded(feats, 2 * whole).count() == 4000
+    tenth = toxicity.bounded(feats, whole // 10).agg(F.sum(F.size("x")).alias("n"), F.avg("label").alias("y")).first()
+    assert 0.07 * whole < tenth["n"] < 0.13 * whole and 0.4 < tenth["y"] < 0.6
+    assert toxicity.bounded(feats.limit(0), 10).count() == 0
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(40)) + (" rotten" if i % 4 == 0 else "")) for i in range(2000)]
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TRAIN_FEATURES", 40_000)
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), lab).filter("held_out").collect()
+    assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in got) >= 0.97 * len(got)
+
+
 def test_toxicity_learns_and_scores(spark, none):
     rng = random.Random(6)
     plain = [f"w{i}" for i in range(40)]
