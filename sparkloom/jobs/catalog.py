@@ -55,6 +55,39 @@ q as (select {b}x, y, sum(n * n / (r * c)) - 1 q from p join r using ({b}x, y, a
 m as (select {b}x, y, n::long n, n * q chi2, nx, ny, gy, gx, vx, vy from q join rr using ({b}x, y) join cc using ({b}x, y))"""
 
 
+def newton_sql(name: str, rows: str, by: list[str], k: int, steps: int = 8) -> str:
+    """CTEs {name}0, .. of logistic regressions of y on z1, .., zk for each by of rows; the last, {name}{steps}, has weights w0, .., wk.
+
+    Each step adds up gradients and Hessians and solves for the step by Cholesky factors written out.
+    """
+    z, keys = ["1.0::double", *(f"z{i}" for i in range(1, k + 1))], ", ".join(by)
+    w = [f"w{i}" for i in range(k + 1)]
+    places = [(i, j) for i in range(k + 1) for j in range(i + 1)]
+    out = [f"{name}0 as materialized (select {keys}, {', '.join(f'0.0::double {x}' for x in w)} from {rows} group by {keys})"]
+    for n in range(1, steps + 1):
+        linear = " + ".join(f"{a} * {b}" for a, b in zip(z, w))
+        sums = [*(f"sum({z[i]} * (y - p)) g{i}" for i in range(k + 1)), *(f"sum({z[i]} * {z[j]} * p * (1 - p)) h{i}_{j}" for i, j in places)]
+        factor = []
+        for i, j in places:
+            rest = "".join(f" - l{i}_{m} * l{j}_{m}" for m in range(j))
+            factor.append(f"sqrt(h{i}_{i}{rest}) l{i}_{i}" if i == j else f"(h{i}_{j}{rest}) / l{j}_{j} l{i}_{j}")
+        factor += [f"(g{i}{''.join(f' - l{i}_{m} * f{m}' for m in range(i))}) / l{i}_{i} f{i}" for i in range(k + 1)]
+        factor += [f"(f{i}{''.join(f' - l{m}_{i} * d{m}' for m in range(i + 1, k + 1))}) / l{i}_{i} d{i}" for i in reversed(range(k + 1))]
+        summed = f"select {keys}, {', '.join([*w, *sums])} from (select *, 1 / (1 + exp(-({linear}))) p from {rows} join {name}{n - 1} using ({keys})) group by {', '.join([keys, *w])}"
+        # a level for each number, as one that refers to another of its level is expanded, again and again
+        for x in factor:
+            summed = f"select *, {x} from ({summed})"
+        out.append(f"{name}{n} as materialized (select {keys}, {', '.join(f'{x} + d{i} as {x}' for i, x in enumerate(w))} from ({summed}))")
+    return ",\n".join(out)
+
+
+def cindex_sql(name: str, scores: str, by: list[str]) -> str:
+    """CTE with by and c: the c-index of score against y (0 or 1) in scores, turned over under one half."""
+    keys = ", ".join(by)
+    ranks = f"select *, rank() over (partition by {keys} order by score) + (count(*) over (partition by {keys}, score) - 1) / 2.0::double r from {scores}"
+    return f"{name} as (select {keys}, greatest(c, 1 - c) c from (select {keys}, (sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) c from ({ranks}) group by {keys}))"
+
+
 #: the queries' secret; as their SQL repeats the draws it is public, a release needs a secret of its own
 SECRET = b"public key of these queries"
 
