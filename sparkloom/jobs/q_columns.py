@@ -315,8 +315,9 @@ def g7_association_edges(spark, sf):
 
 @query("select name, array_to_string(list(printf('%.6f', p) order by p desc), ',') as freqs, round((1 - sum(p * p)) / 2, 6) as value from (" + " union all ".join(f"select '{c}' as name, count(*)::double / sum(count(*)) over () p from part group by {c}" for c in ("p_brand", "p_size")) + ") group by 1")
 def g8_g9_vertices(spark, sf):
+    # format_number rounds the double itself, as printf does; format_string rounds its shortest decimal, half up
     out = assoc.vertex_histograms(table(spark, sf, "part"), ["p_brand", "p_size"])
-    return out.select("name", F.concat_ws(",", F.transform("freqs", lambda p: F.format_string("%.6f", p))).alias("freqs"), F.round("value", 6).alias("value"))
+    return out.select("name", F.concat_ws(",", F.transform("freqs", lambda p: F.call_function("format_number", p, F.lit("0.000000")))).alias("freqs"), F.round("value", 6).alias("value"))
 
 
 @query(f"with {_MEASURES}, d as (select x, y, (vy - gy) / vy pxy, (vx - gx) / vx pyx from m) select case when pxy >= pyx then x else y end as source, case when pxy >= pyx then y else x end as target, round(greatest(pxy, pyx, 0), 6) as weight from d")
