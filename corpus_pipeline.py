@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (Jaccard 0.8 over five-word shingles) stays."""
+    """The document with the smallest id of each group of near copies (SimHash and MinHash candidates, Jaccard 0.8 over five-word shingles) stays."""
     return simhash.keep_least(docs, shingled.groups(docs))
 
 

@@ -3,10 +3,11 @@
 Words and their case are those of SimHash (``simhash``); a text's set holds its runs of ``SHINGLE`` words
 (fewer words: the whole sequence), as 64-bit hashes.
 
-1. Texts with the same words are one class.  ``BANDS`` keys of a class are made of ``ROWS`` MinHashes each; two
-   sets of similarity s share a key with chance 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.8, 0.99999 at 0.85.
-2. The members of a key are linked to its smallest one; the components are the candidates.  Only these texts
-   are read again.  A component over ``PART_WORDS`` words is split into parts that meet in pairs.
+1. Texts with the same words are one class.  Each class has its SimHash fingerprint (``simhash.fingerprint`` over
+   the same shingles, repeats included); bit-sliced comparison links those at most 4 bits apart.
+2. Most sets of similarity 0.8 are further apart than that, so a class also has ``BANDS`` keys of ``ROWS`` MinHashes each;
+   sets of similarity s share one with chance 1 - (1 - s**ROWS)**BANDS: 0.9993 at 0.8, 0.99999 at 0.85.  The members
+   of a key are linked to its smallest one.  The components of both are the candidates.  Only these texts are read again.  A component over ``PART_WORDS`` words is split into parts that meet in pairs.
 3. In each pair of parts the sets themselves decide: a search over an inverted index reaches, from each text,
    those not yet reached that have the similarity.  Its links give the components.
 """
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
-from sparkloom.llm.common import materialize
-from sparkloom.llm.simhash import _LOWER, components
+from sparkloom.llm.common import materialize, small_or_shuffled
+from sparkloom.llm.simhash import _LOWER, components, fingerprint, links
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 24, 6
@@ -72,7 +73,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate(bands).view(np.int64).ravel()
         keys = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * np.int32(BANDS)), pa.array(keys))
         marks = pa.array([digest(t.as_py()) for t in batch.column(1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), marks, pa.array(np.concatenate(size)), keys], ["doc_id", "mark", "n", "bands"])
+        prints = pa.array([fingerprint(t.as_py(), SHINGLE) for t in batch.column(1)], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), marks, pa.array(np.concatenate(size)), keys, prints], ["doc_id", "mark", "n", "bands", "fp"])
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,6 +138,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(nodes, texts)
 
 
+def _linked(classes: DataFrame) -> DataFrame:
+    """u > v: links between classes (node, n, bands, fp) that are candidates, by fingerprints or by keys; a text without words has none."""
+    worded = classes.filter("n > 0")
+    prints = materialize(worded.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("c")))
+    several = prints.filter("c > 1").select("fp", "least")
+    same = worded.select("node", "fp").join(small_or_shuffled(several, several.count()), "fp").filter("node > least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    end = lambda fp, node: prints.select(F.col("fp").alias(fp), F.col("least").alias(node))
+    near = links(prints.select("fp")).join(end("u", "a"), "u").join(end("v", "b"), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    keys = worded.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = keys.groupBy("band", "key").agg(F.min("node").alias("v"), F.count("*").alias("c")).filter("c > 1")
+    met = keys.join(shared, ["band", "key"]).filter("node > v").select(F.col("node").alias("u"), "v")
+    return same.unionByName(near).unionByName(met).distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id (smallest doc_id of the group, itself included): a row per input row.
 
@@ -143,12 +159,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     group (null if there is none).  Repeated rows stay.  An empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(src.mapInArrow(_sketch, "doc_id long, mark binary, n long, bands array<long>"))
-    classes = rows.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    rows = materialize(src.mapInArrow(_sketch, "doc_id long, mark binary, n long, bands array<long>, fp long"))
+    classes = rows.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
-    keys = classes.filter("n > 0").select("node", F.posexplode("bands").alias("band", "key"))
-    shared = keys.groupBy("band", "key").agg(F.min("node").alias("v"), F.count("*").alias("c")).filter("c > 1")
-    found = materialize(components(keys.join(shared, ["band", "key"]).filter("node > v").select(F.col("node").alias("u"), "v").distinct()))
+    found = materialize(components(_linked(classes)))
     member = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "mark", "n"), "node")
     parts = member.groupBy("root").agg(F.ceil(F.sum("n") / PART_WORDS).cast("int").alias("parts"))
     member = materialize(member.join(parts, "root").select("root", "node", "mark", "parts"))
