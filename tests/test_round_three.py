@@ -27,3 +27,27 @@ def test_frequencies_halfway_between_two_printed_ones(spark, tmp_path):
     part = spark.range(128).select(F.col("id").alias("p_partkey"), F.when(F.col("id") < 1, "one").when(F.col("id") < 4, "three").otherwise("rest").alias("p_brand"), (F.col("id") % 3).cast("int").alias("p_size"))
     part.write.parquet(str(tmp_path / "part.parquet"))
     _same(spark, "g8_g9_vertices", tmp_path, "part")
+
+
+def test_threshold_on_digits_is_that_on_numbers(spark):
+    from sparkloom.operators.helpers import uniform, uniform_below
+
+    drawn = spark.range(400).select("id", uniform("id", seed=3).alias("u")).collect()
+    for share in (0.0, 0.37, drawn[7].u, drawn[8].u + 2**-53, 1.0):
+        kept = {r.id for r in spark.range(400).filter(uniform_below(share, "id", seed=3)).collect()}
+        assert kept == {r.id for r in drawn if r.u < share}
+
+
+def test_replicates_are_hashed_on_all_tasks(spark, tmp_path):
+    """A table in one file is dealt over the shuffle's partitions before its rows are hashed."""
+    from sparkloom.operators import assoc
+
+    spark.range(2000).select("id", (F.col("id") % 5).alias("g")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    seen = []
+    plain = assoc.materialize
+    try:
+        assoc.materialize = lambda df: (seen.append(df.rdd.getNumPartitions()), plain(df))[1]
+        assoc.repeated(spark.read.parquet(str(tmp_path / "t")), lambda s, by: s.groupBy("rep", "g").agg(F.count("*").alias("c")), 3, 50, ["id"], ["g"]).collect()
+    finally:
+        assoc.materialize = plain
+    assert seen[0] == 4
