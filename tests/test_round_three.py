@@ -51,3 +51,23 @@ def test_replicates_are_hashed_on_all_tasks(spark, tmp_path):
     finally:
         assoc.materialize = plain
     assert seen[0] == 4
+
+
+def test_values_are_predicted_once_for_each_tuple(spark, monkeypatch):
+    """Means over rows with repeats and nulls are those of plain Python, from predictions of the distinct tuples only."""
+    from sparkloom.operators import matching
+
+    rows = [(i, "xy"[i % 2] if i % 11 else None, "pqr"[i % 3]) for i in range(330)] + [(None, "x", "p")]
+    w = spark.createDataFrame(rows, "id long, a string, b string")
+    v = w.select("id", F.concat(F.lit("v_"), "a").alias("a"), F.concat(F.lit("v_"), "b").alias("b"))
+    model = matching.value_model(w, ["a", "b"])
+    want = {}
+    own = {r.id: r for r in v.collect()}
+    for r in matching.predict_values(w, model, ["a", "b"], "id").collect():
+        want.setdefault((r.col, own[r.id][r.col], r.b), []).append(r.p)
+    plain, seen = matching.predict_values, []
+    monkeypatch.setattr(matching, "predict_values", lambda t, *a: (seen.append(t.count()), plain(t, *a))[1])
+    got = {(r.col, r.a, r.b): (r.p, r.n) for r in matching.value_triples(v, w, model, ["a", "b"], "id").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - sum(x) / len(x)) < 1e-9 and got[k][1] == len(x) for k, x in want.items())
+    matching.recover_values(v, w, ["a", "b"], "id").collect()
+    assert len(seen) == 3 and max(seen) <= 9
