@@ -114,6 +114,19 @@ def classify(points: DataFrame, scored: DataFrame, priors: DataFrame, key: str,
     return out.withColumn("strength", F.col("strength") / F.sum("strength").over(w)) if normal else out
 
 
+def of_rows(df: DataFrame, points: DataFrame, found: DataFrame, key: str, attrs: list[str]) -> DataFrame:
+    """found (tuple, ...), made for the distinct tuples of attrs (helpers.distinct_rows), for each row of df by its key.
+
+    Rules see nothing of a row but its attributes, so equal rows are applied, classified and called once.
+    """
+    held = points.select("tuple", *(F.col(a).alias(f"__{a}") for a in attrs))
+    same = F.lit(True)
+    for a in attrs:
+        same = same & F.col(a).eqNullSafe(F.col(f"__{a}"))
+    all_ = materialize(found.join(held, "tuple"))
+    return df.select(key, *attrs).join(small_or_shuffled(all_), same).drop("tuple", *attrs, *(f"__{a}" for a in attrs))
+
+
 def call(pred: DataFrame, key: str) -> DataFrame:
     """key, outcome (largest strength, then largest label) and last: strength of the last class of the label order."""
     last = pred.agg(F.max("outcome")).first()[0]
