@@ -137,7 +137,7 @@ def logistic_scores(train: DataFrame, test: DataFrame, features: list[str], labe
 def logistic_cindex(train: DataFrame, test: DataFrame, features: list[str], label: str) -> float | None:
     """c-index on test of the logistic regression fitted to train, by Newton steps to the best likelihood; None without both classes."""
     fits = logistic.fit(materialize(logistic.prepared(train, features, label)), [logistic.Model((1,) * len(features))])
-    return logistic.cindexes(logistic.scored(logistic.prepared(test, features, label), fits), 1)[0]
+    return logistic.held_cindexes(logistic.prepared(test, features, label), fits)[0]
 
 
 def subset_scores(masks: list[tuple[int, ...]], train: DataFrame, hold: DataFrame, rho: float = 0.5) -> list[float]:
@@ -146,7 +146,7 @@ def subset_scores(masks: list[tuple[int, ...]], train: DataFrame, hold: DataFram
     train and hold are prepared rows (logistic.prepared); all masks are fitted and scored together.
     """
     models = [logistic.Model(m) for m in masks if any(m)]
-    found = logistic.cindexes(logistic.scored(hold, logistic.fit(train, models)), len(models)) if models else []
+    found = logistic.held_cindexes(hold, logistic.fit(train, models)) if models else []
     value = {m.mask: rho * (c or 0.0) + (1 - rho) * (1 - sum(m.mask) / len(m.mask)) for m, c in zip(models, found)}
     return [value.get(m, 0.0) for m in masks]
 
@@ -175,7 +175,7 @@ def select_variables(train: DataFrame, hold: DataFrame, test: DataFrame, feature
     rate(people)
     mask = max(known, key=lambda m: (known[m], m))
     fits = logistic.fit(part[0], [logistic.Model(mask)])
-    ends = [logistic.cindexes(logistic.scored(x, fits), 1)[0] for x in (part[0], part[2])]
+    ends = [logistic.held_cindexes(x, fits)[0] for x in (part[0], part[2])]
     return {"variables": [f for f, m in zip(features, mask) if m], "train": ends[0], "test": ends[1], "score": known[mask]}
 
 
@@ -205,5 +205,5 @@ def cross_validate_logistic(df: DataFrame, models: dict[str, list[str]], label:
     rows = materialize(logistic.prepared(dealt, features, label, "__folds"))
     asked = [(rep, k, name) for rep in range(reps) for k in range(n) for name in models]
     each = [logistic.Model(tuple(int(c in models[name]) for c in features), rep, k) for rep, k, name in asked]
-    found = logistic.cindexes(logistic.scored(rows, logistic.fit(rows, each)), len(each))
+    found = logistic.held_cindexes(rows, logistic.fit(rows, each))
     return df.sparkSession.createDataFrame([(*a, c) for a, c in zip(asked, found)], "rep int, fold int, model string, score double")

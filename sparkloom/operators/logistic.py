@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,12 @@ from sparkloom.operators.helpers import global_cumsum, materialize
 STEPS, GAIN = 30, 1e-12
 #: rows that a task computes at a time
 ROWS = 1 << 14
+#: rows times models that it computes at a time
+CELLS = 1 << 17
+#: scores of a model in a slice, which one task puts in order, and rows of the sample behind each cut between slices
+SLICE, CUT_ROWS = 1 << 21, 64
+#: scores that a task gathers before it deals them to slices
+GATHERED = 1 << 21
 
 
 class Model(NamedTuple):
@@ -48,6 +55,19 @@ def _rows_of(m: Model, x: np.ndarray, folds: np.ndarray, used: np.ndarray, held:
     return known if m.rep is None else known & ((folds[:, m.rep] == m.fold) == held)
 
 
+def _fitted(models: list[Model], x: np.ndarray, folds: np.ndarray) -> np.ndarray:
+    """rows x models: whether the model is fitted to the row (_rows_of of each)."""
+    out = np.ones((len(x), len(models)), bool)
+    missing = np.isnan(x)
+    if missing.any():
+        asked = np.array([(1, *m.mask) for m in models], float).T
+        out = missing.astype(float) @ asked == 0
+    for j, m in enumerate(models):
+        if m.rep is not None:
+            out[:, j] &= folds[:, m.rep] != m.fold
+    return out
+
+
 def _used(m: Model) -> np.ndarray:
     return np.flatnonzero([1, *m.mask])
 
@@ -83,18 +103,28 @@ def fit(rows: DataFrame, models: list[Model]) -> Fits:
         asked, weights = list(open_), [at[i] for i in open_]
 
         def sums(batches: Iterator[pa.RecordBatch], asked: list[int] = asked, weights: list[np.ndarray] = weights) -> Iterator[pa.RecordBatch]:
-            total = [np.zeros(2 + len(used[i]) + len(used[i]) ** 2) for i in asked]
+            w = np.zeros((d + 1, len(asked)))
+            for j, (i, own) in enumerate(zip(asked, weights)):
+                w[used[i], j] = own
+            mine = [models[i] for i in asked]
+            ends, slope, bend = np.zeros((2, len(asked))), np.zeros((d + 1, len(asked))), np.zeros((d + 1, d + 1, len(asked)))
+            step = max(256, CELLS // len(asked))
             for x, y, folds in _blocks(batches, center, scale):
-                for i, w, t in zip(asked, weights, total):
-                    mine = _rows_of(models[i], x, folds, used[i], False)
-                    xs, ys = x[mine][:, used[i]], y[mine]
+                for at in range(0, len(y), step):
+                    xs, ys = x[at : at + step], y[at : at + step, None]
+                    fitted = _fitted(mine, xs, folds[at : at + step]).astype(float)
+                    xs = np.nan_to_num(xs, nan=0.0)
                     z = xs @ w
-                    p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-                    k = len(used[i])
-                    t[0] += len(ys)
-                    t[1] += (ys * z - np.logaddexp(0, z)).sum()
-                    t[2 : 2 + k] += xs.T @ (ys - p)
-                    t[2 + k :] += ((xs * (p * (1 - p))[:, None]).T @ xs).ravel()
+                    e = np.exp(-np.abs(z))
+                    q = 1 / (1 + e)
+                    p = np.where(z >= 0, q, e * q)
+                    ends[0] += fitted.sum(axis=0)
+                    ends[1] += (fitted * (ys * z - np.maximum(z, 0) + np.log(q))).sum(axis=0)
+                    slope += xs.T @ (fitted * (ys - p))
+                    spread = fitted * (e * q * q)
+                    for c in range(d + 1):
+                        bend[c] += (xs * xs[:, c : c + 1]).T @ spread
+            total = [np.concatenate([ends[:, j], slope[used[i], j], bend[np.ix_(used[i], used[i])][:, :, j].ravel()]) for j, i in enumerate(asked)]
             yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int32()), pa.array(total, pa.list_(pa.float64()))], ["model", "total"])
 
         parts = rows.mapInArrow(sums, "model int, total array<double>").select("model", F.posexplode("total").alias("i", "v"))
@@ -121,6 +151,14 @@ def fit(rows: DataFrame, models: list[Model]) -> Fits:
     return Fits(models, [b[0] if b else a for a, b in zip(at, best)], center, scale)
 
 
+def _chance(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of label 1; column by column, as a matrix product may round equal rows in different ways, and ties count."""
+    z = np.zeros(len(x))
+    for c, own in enumerate(w):
+        z += x[:, c] * own
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+
 def scored(rows: DataFrame, fits: Fits, held: bool = True) -> DataFrame:
     """model (number), y, score of every row that a model is tested on (held: of a model with folds its own fold, else every row)."""
     models, weights, center, scale = fits
@@ -130,12 +168,76 @@ def scored(rows: DataFrame, fits: Fits, held: bool = True) -> DataFrame:
             for i, (m, w) in enumerate(zip(models, weights)):
                 used = _used(m)
                 mine = _rows_of(m, x, folds, used, held)
-                p = 1 / (1 + np.exp(-np.clip(x[mine][:, used] @ w, -700, 700)))
+                p = _chance(x[mine][:, used], w)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), i, np.int32)), pa.array(y[mine]), pa.array(p)], ["model", "y", "score"])
 
     return rows.mapInArrow(score, "model int, y double, score double")
 
 
+def _own_scores(fits: Fits, held: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(model, labels, scores) as scored gives them, block by block."""
+    models, weights, center, scale = fits
+    for x, y, folds in _blocks(batches, center, scale):
+        for i, (m, w) in enumerate(zip(models, weights)):
+            used = _used(m)
+            mine = _rows_of(m, x, folds, used, held)
+            yield i, y[mine], _chance(x[mine][:, used], w)
+
+
+def held_cindexes(rows: DataFrame, fits: Fits, held: bool = True) -> list[float | None]:
+    """cindexes(scored(rows, fits, held)) for labels of 0 and 1, without a row for each score.
+
+    Scores are dealt to slices of about SLICE of them, cut where a sample of the rows says; the sample decides nothing
+    else.  A task sends a model's scores for a slice as two sorted arrays, those of ones and of zeros; a slice counts its own
+    pairs, ties half, and the pairs between slices follow from their sizes.  Equal scores lie in one slice.
+    """
+    n = rows.count()
+    slices = -(-n // SLICE)
+    cuts = [np.zeros(0)] * len(fits.models)
+    if slices > 1:
+        few = rows.sample(fraction=min(1.0, CUT_ROWS * slices / n), seed=0).toArrow().combine_chunks().to_batches()
+        met: list[list[np.ndarray]] = [[np.zeros(0)] for _ in fits.models]
+        for i, _, p in _own_scores(fits, held, few):
+            met[i].append(p)
+        tried = [np.concatenate(m) for m in met]
+        cuts = [np.unique(np.quantile(t, np.arange(1, slices) / slices, method="lower")) if len(t) else np.zeros(0) for t in tried]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for i, parts in kept.items():
+                y, p = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+                sides = [np.sort(p[y == side]) for side in (1, 0)]
+                ends = [[0, *np.searchsorted(s, cuts[i], "right").tolist(), len(s)] for s in sides]
+                blobs = [[s[a:b].tobytes() for a, b in zip(e, e[1:])] for s, e in zip(sides, ends)]
+                full = [j for j in range(len(cuts[i]) + 1) if blobs[0][j] or blobs[1][j]]
+                if full:
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(full), pa.int32()), pa.array(full, pa.int32()), *(pa.array([b[j] for j in full], pa.binary()) for b in blobs)], ["model", "slice", "ones", "zeros"])
+
+        for i, y, p in _own_scores(fits, held, batches):
+            kept.setdefault(i, []).append((y, p))
+            size += len(y)
+            if size >= GATHERED:
+                yield from flush()
+                kept, size = {}, 0
+        yield from flush()
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        ones, zeros = (np.sort(np.frombuffer(b"".join(part[c]), np.float64)) for c in ("ones", "zeros"))
+        twice = int(np.searchsorted(zeros, ones, "left").sum()) + int(np.searchsorted(zeros, ones, "right").sum())
+        return pd.DataFrame({"model": part["model"].iloc[:1], "slice": part["slice"].iloc[:1], "ones": [len(ones)], "zeros": [len(zeros)], "won": [twice / 2]})
+
+    parts = rows.mapInArrow(dealt, "model int, slice int, ones binary, zeros binary").groupBy("model", "slice")
+    found: dict[int, list] = {}
+    for r in sorted(parts.applyInPandas(count, "model int, slice int, ones long, zeros long, won double").collect(), key=lambda r: (r["model"], r["slice"])):
+        ones, zeros, won = found.get(r["model"], (0, 0, 0.0))
+        found[r["model"]] = (ones + r["ones"], zeros + r["zeros"], won + r["won"] + r["ones"] * zeros)
+    shares = {i: won / (ones * zeros) for i, (ones, zeros, won) in found.items() if ones and zeros}
+    return [max(shares[i], 1 - shares[i]) if i in shares else None for i in range(len(fits.models))]
+
+
 def cindexes(scores: DataFrame, models: int) -> list[float | None]:
     """The c-index of each model (turned over under one half; None without both classes), all from one order of (model, score)."""
     g = scores.groupBy("model", "score").agg(F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros"))

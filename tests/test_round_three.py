@@ -71,3 +71,16 @@ def test_values_are_predicted_once_for_each_tuple(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k][0] - sum(x) / len(x)) < 1e-9 and got[k][1] == len(x) for k, x in want.items())
     matching.recover_values(v, w, ["a", "b"], "id").collect()
     assert len(seen) == 3 and max(seen) <= 9
+
+
+def test_cindexes_by_slices_equal_those_of_all_scores(spark, monkeypatch):
+    """Ties, held folds, missing features and many slices."""
+    from sparkloom.operators import logistic
+
+    df = spark.range(3000).select((F.col("id") * 37 % 101).alias("a"), F.when(F.col("id") % 13 > 0, F.col("id") * 17 % 29).alias("b"), (F.col("id") * 7919 % 10 < 4).cast("int").alias("y"), F.array((F.col("id") % 2).cast("int")).alias("f"))
+    rows = logistic.prepared(df, ["a", "b"], "y", "f").repartition(3)
+    fits = logistic.fit(rows, [logistic.Model(m, 0, k) for m in ((1, 0), (1, 1)) for k in (0, 1)])
+    want = logistic.cindexes(logistic.scored(rows, fits), 4)
+    for size in (1 << 21, 100):
+        monkeypatch.setattr(logistic, "SLICE", size)
+        assert all(abs(a - b) < 1e-12 for a, b in zip(logistic.held_cindexes(rows, fits), want))
