@@ -48,6 +48,7 @@ def grams(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return key
 
 
+@vec.lean
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, key, n) of (lang, text), block by block."""
     for batch in batches:
@@ -145,6 +146,7 @@ def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", r
 
 
 def _score(shared):
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
@@ -191,6 +193,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
         return docs.limit(0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = vec.text_buffer(batch.column(batch.schema.get_field_index("text")))

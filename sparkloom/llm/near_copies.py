@@ -62,6 +62,7 @@ def digest(text: str | None) -> bytes:
     return hashlib.md5(b" ".join((text or "").encode("utf-8", "replace").translate(_LOWER).split()), usedforsecurity=False).digest()
 
 
+@vec.lean
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, off = vec.text_buffer(batch.column(1))
@@ -77,6 +78,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), marks, pa.array(np.concatenate(size)), keys, prints], ["doc_id", "mark", "n", "bands", "fp"])
 
 
+@vec.lean
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array([digest(t.as_py()) for t in batch.column(0)], pa.binary()), batch.column(0)], ["mark", "text"])
@@ -111,6 +113,7 @@ def reach(sets: list[np.ndarray], least: float = LEAST) -> tuple[list[int], list
     return us, vs
 
 
+@vec.lean
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v) of the links of each (root, lo, hi); rows are sorted by these."""
 

@@ -90,6 +90,7 @@ def _terms(text: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(terms)
 
 
+@vec.lean
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, key, signature, n): 0 documents with a term, 1 bytes with a signature, 2 documents, 3 words."""
     df = np.zeros(1 << TERM_BITS, np.int64)
@@ -168,6 +169,7 @@ class Spread:
 def _deal(shared):
     """Adds the shard: the run that the signature lies in, and a part of it (Spread) if it has several."""
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, base, parts = shared.value
         spread = Spread(TaskContext.get().partitionId())
@@ -299,6 +301,7 @@ def _pack(shared, args: tuple, with_ids: bool):
         arrays = [pa.array(c, pa.int64()) for c in cols]
         return pa.RecordBatch.from_arrays(arrays + [pa.array(cut, pa.binary())] * with_ids, _NAMES + ["ids"] * with_ids)
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, ids, texts = None, [], []
         for batch in batches:
@@ -308,6 +311,7 @@ def _pack(shared, args: tuple, with_ids: bool):
                 if of[a] != shard:
                     if ids:
                         yield solve(shard, ids, texts)
+                        vec.give_back()
                     shard, ids, texts = int(of[a]), [], []
                 ids += batch.column(1).slice(a, b - a).to_pylist()
                 texts += [t or "" for t in batch.column(2).slice(a, b - a).to_pylist()]

@@ -138,6 +138,7 @@ def _anchors(buf: np.ndarray, off: np.ndarray, n: int, size: int = _ANCHOR):
 
 
 def _anchor_rows(n: int):
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
@@ -152,6 +153,7 @@ def _anchor_rows(n: int):
     return run
 
 
+@vec.lean
 def _owned_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, th, pos, owner) of shared anchors, from (anchor, id, th, pos, owner or _OPEN) sorted by anchor and id.
 
@@ -187,6 +189,7 @@ def _owned_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segment_rows(n: int):
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
@@ -219,6 +222,7 @@ def _segment_rows(n: int):
 def _finer_rows(n: int):
     """Pieces of (owner, t1, t2, first_id, segment): runs of its windows with one finer anchor, which is the piece's owner."""
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = [batch.column(c).to_numpy() for c in range(4)]
@@ -269,6 +273,7 @@ def _match_shard(n: int):
 
 
 def _cut(n_schema_cols: int):
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, gone = [], [], []
@@ -405,6 +410,7 @@ def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     joined = keyed.join(side, ["__id", "__th"], "left").select(*docs.columns, "__spans")
     n_chars = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
 
+    @vec.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols, names = batch.columns[:-1], batch.schema.names[:-1]

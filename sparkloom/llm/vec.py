@@ -8,7 +8,9 @@ words in Python.  Hashes only route or weight rows; whoever needs exactness comp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,24 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def give_back() -> None:
+    """Hand memory that was freed back to the system: a worker goes on to other tasks, and to other stages, with what it holds."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, which hands back its memory when the task ends."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply), applied elementwise."""
     h = h ^ U64(salt & 0xFFFFFFFFFFFFFFFF)
