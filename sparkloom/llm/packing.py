@@ -37,6 +37,8 @@ from sparkloom.operators.helpers import global_cumsum
 
 WIDTH = 2048
 SHARD_BYTES = 2 << 20
+#: bytes of text whose words are hashed at a time: what that takes fits a core's cache
+BLOCK_BYTES = 512 << 10
 TERM_BITS = 18
 #: smallest hashes in a signature, 16 bits of each
 LEVELS = 8
@@ -102,7 +104,7 @@ def _terms(text: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row, word hash) of every word."""
     buf, off = vec.text_buffer(pa.array(text, pa.string()))
     rows, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for a, b in vec.blocks(off):
+    for a, b in vec.blocks(off, BLOCK_BYTES):
         part = buf[off[a] : off[b]]
         ws, we, first = vec.words(part, off[a : b + 1] - off[a])
         rows.append(a + vec.row_of_word(first))
@@ -117,7 +119,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs = total = 0
     for batch in batches:
         buf, off = vec.text_buffer(batch.column(0))
-        for a, b in vec.blocks(off):
+        for a, b in vec.blocks(off, BLOCK_BYTES):
             part = buf[off[a] : off[b]]
             ws, we, first = vec.words(part, off[a : b + 1] - off[a])
             h = vec.word_hashes(part, ws, we)
@@ -198,7 +200,7 @@ def _deal(shared):
         for batch in batches:
             buf, off = vec.text_buffer(batch.column(1))
             at = np.zeros(batch.num_rows, np.int64)
-            for a, b in vec.blocks(off):
+            for a, b in vec.blocks(off, BLOCK_BYTES):
                 part = buf[off[a] : off[b]]
                 ws, we, first = vec.words(part, off[a : b + 1] - off[a])
                 own = _signature(vec.word_hashes(part, ws, we), first).view(f"S{SIGNATURE_BYTES}").ravel()
